@@ -19,22 +19,26 @@ def area_map(groups: DataFrame, regions: DataFrame, country: str = "unitedkingdo
     return own.unionByName(grouped).unionByName(whole).distinct()
 
 
-def densify(df: DataFrame, parties: Sequence[str], keys: Sequence[str]) -> DataFrame:
+def densify(df: DataFrame, parties: Sequence[str], keys: Sequence[str], total: str | None = None) -> DataFrame:
     """One row for each listed party in each (keys) group, ``votes`` 0 where it had none.
 
     Votes are summed side by side, one column per listed party, and unpivoted: a
-    single aggregation, without pairing groups and parties first.
+    single aggregation, without pairing groups and parties first. ``total`` names an
+    extra column with the sum of the listed parties.
     """
     sums = [
         F.coalesce(F.sum(F.when(F.col("party") == p, F.col("votes"))), F.lit(0)).alias(f"votes_{i}")
         for i, p in enumerate(parties)
     ]
     wide = df.groupBy(*keys).agg(*sums)
+    extra = []
+    if total is not None:
+        extra = [sum((F.col(f"votes_{i}") for i in range(1, len(parties))), F.col("votes_0")).alias(total)]
     cells = [
         F.struct(F.lit(p).alias("party"), F.lit(i).alias("party_ord"), F.col(f"votes_{i}").alias("votes"))
         for i, p in enumerate(parties)
     ]
-    return wide.select(*keys, F.inline(F.array(*cells)))
+    return wide.select(*keys, *extra, F.inline(F.array(*cells)))
 
 
 def regional_totals(
@@ -42,11 +46,8 @@ def regional_totals(
 ) -> DataFrame:
     """Votes of every listed party per region, the turnout of those parties, and the share."""
     placed = result.join(seats.select("seat", "region"), "seat")
-    dense = densify(placed, parties, [*keys, "region"])
-    turnout = F.sum("votes").over(Window.partitionBy(*keys, "region"))  # one row per listed party
-    return dense.withColumn("turnout", turnout).withColumn(
-        "share", F.try_divide(F.col("votes"), F.col("turnout"))
-    )
+    dense = densify(placed, parties, [*keys, "region"], total="turnout")
+    return dense.withColumn("share", F.try_divide(F.col("votes"), F.col("turnout")))
 
 
 def vote_totals(
@@ -168,19 +169,20 @@ def seat_change_vs_baseline(totals: DataFrame, baseline: DataFrame) -> DataFrame
 def group_shares(prev: DataFrame, members: DataFrame, group_party: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Previous percent of each group's parties, over the whole group and per region.
 
-    ``prev``: keys, region, party, votes (other already folded), one row per region
-    and party. ``members``: region_group, region. ``group_party``: region_group,
-    party: the parties counted in that group.
+    ``prev``: keys, region, party, votes, one row for every party of every region as
+    ``regional_totals`` gives them, other already folded. ``members``: region_group,
+    region. ``group_party``: region_group, party: the parties counted in that group.
     """
-    cells = members.join(group_party, "region_group")
-    # both grains start at 0 votes for every counted party, then the votes are added
-    seen = prev.select(*keys, "region").distinct()
-    zero = seen.join(cells, "region").select(*keys, "region_group", "region", "party", F.lit(0).cast("bigint").alias("votes"))
-    held = prev.join(cells, ["region", "party"]).select(*keys, "region_group", "region", "party", "votes")
-    by_region = zero.unionByName(held).groupBy(*keys, "region_group", "region", "party").agg(F.sum("votes").alias("votes"))
     group = [*keys, "region_group"]
-    overall = by_region.groupBy(*group, "party").agg(F.sum("votes").alias("group_votes"))
-    group_total = F.sum("group_votes").over(Window.partitionBy(*group))  # one row per party
-    region_total = F.sum("votes").over(Window.partitionBy(*group, "region"))
-    overall = overall.withColumn("overall_pct", pct(F.col("group_votes"), group_total)).drop("group_votes")
-    return by_region.withColumn("region_pct", pct(F.col("votes"), region_total)).join(overall, [*group, "party"])
+    cells = prev.join(members, "region").join(group_party, ["region_group", "party"])
+    # the coarsest grain comes first: the finer ones then need no shuffle of their own
+    counted = (
+        cells.withColumn("_group_total", F.sum("votes").over(Window.partitionBy(*group)))
+        .withColumn("_group_votes", F.sum("votes").over(Window.partitionBy(*group, "party")))
+        .withColumn("_region_total", F.sum("votes").over(Window.partitionBy(*group, "region")))
+    )
+    return counted.select(
+        *group, "region", "party", "votes",
+        pct(F.col("votes"), F.col("_region_total")).alias("region_pct"),
+        pct(F.col("_group_votes"), F.col("_group_total")).alias("overall_pct"),
+    )

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.numeric import pct
-from ..functions.text import clean_fact, is_good_fact, plain_text
+from ..functions.text import is_good_fact, plain_text, with_clean_fact
 
 # Words in the headings of sections that list events, and of those that never do.
 EVENT_HEADINGS = [
@@ -151,12 +151,24 @@ def load_facts(calendar: DataFrame, extracted: DataFrame, existing: DataFrame |
     )
 
 
-def clean_facts(facts: DataFrame, window: int = 100, only_kept: bool = False) -> DataFrame:
-    """Adds ``cleaned`` and ``kept``; ``only_kept`` drops the facts that fail."""
-    rows = facts.withColumn("cleaned", clean_fact(F.col("event"), F.col("year"), window)).withColumn(
+def clean_facts(facts: DataFrame, window: int = 100) -> DataFrame:
+    """Adds ``cleaned`` and ``kept``."""
+    return with_clean_fact(facts, "event", F.col("year"), "cleaned", window).withColumn(
         "kept", is_good_fact(F.col("cleaned"))
     )
-    return rows.where("kept") if only_kept else rows
+
+
+def kept_facts(facts: DataFrame, window: int = 100) -> DataFrame:
+    """Facts that pass, with ``cleaned``.
+
+    Failing facts are dropped by exploding a list of at most one text. A filter would
+    be pushed below the cleaning steps and repeat all of them in its condition.
+    """
+    if "kept" in facts.columns:
+        return facts.where("kept").drop("kept")
+    rows = with_clean_fact(facts, "event", F.col("year"), "_text", window)
+    passing = F.filter(F.array("_text"), is_good_fact)
+    return rows.select(*facts.columns, F.explode(passing).alias("cleaned"))
 
 
 def fact_groups(facts: DataFrame, min_n: int = 1, event: str = "event") -> DataFrame:

@@ -9,11 +9,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numeric import half_even, half_up, pct, truncate
-from .results import ELECTION, VIEW, normalise
+from .results import ELECTION, VIEW
 
 SCENARIO = ("scenario_id", "view_id")
 
@@ -57,16 +57,18 @@ def _lead(parties: Column, field: str) -> Column:
 def regional_change(estimates: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     """Normalised new share, and its change from the old share where that was not 0.
 
-    ``estimates``: keys, region, party, old_share, estimate, had_polls. Regions
-    without polls keep their old share: change 0.
+    ``estimates``: keys, region, party, old_share, estimate, had_polls. Regions and
+    parties without polls keep their old share: change 0.
     """
-    polled = normalise(estimates.where("had_polls"), [*keys, "region"], "estimate")
-    quiet = estimates.where(~F.col("had_polls")).withColumn("estimate", F.col("old_share"))
+    region = Window.partitionBy(*keys, "region")  # one row per party
+    clipped = F.greatest(F.col("estimate"), F.lit(0.0))
+    new = F.when(F.col("had_polls"), F.try_divide(clipped, F.sum(clipped).over(region)))
     existed = F.col("old_share") != 0
-    return polled.unionByName(quiet).select(
-        *keys, "region", "party", "old_share", F.col("estimate").alias("new_share"), "had_polls",
-        F.when(existed, F.col("estimate") - F.col("old_share")).alias("change"),
-        F.when(existed, F.try_divide("estimate", "old_share")).alias("relative"),
+    rows = estimates.withColumn("new_share", F.coalesce(new, "old_share"))
+    return rows.select(
+        *keys, "region", "party", "old_share", "new_share", "had_polls",
+        F.when(existed, F.col("new_share") - F.col("old_share")).alias("change"),
+        F.when(existed, F.try_divide("new_share", "old_share")).alias("relative"),
     )
 
 
@@ -152,11 +154,16 @@ def validate_inputs(inputs: DataFrame, keys: Sequence[str] = SCENARIO) -> tuple[
     group = [*keys, "region_group"]
     hundredths = half_up(F.coalesce(F.greatest(F.col("pct"), F.lit(0.0)), F.lit(0.0)) * 100.0)
     clean = inputs.withColumn("hundredths", hundredths)
-    sums = clean.groupBy(*group).agg(F.sum("hundredths").alias("sum_h"), F.max("hundredths").alias("max_h"))
-    accepted = clean.join(sums.where("max_h > 0 and sum_h <= 10000"), group).select(
+    per_group = Window.partitionBy(*group)  # one row per party
+    summed = clean.select(
+        *group, "party", "hundredths", F.sum("hundredths").over(per_group).alias("sum_h"),
+        F.max("hundredths").over(per_group).alias("max_h"),
+    )
+    accepted = summed.where("max_h > 0 and sum_h <= 10000").select(
         *group, "party", (F.col("hundredths") / 100.0).alias("pct"),
         ((F.lit(10000) - F.col("sum_h")) / 100.0).alias("other_pct"),
     )
+    sums = clean.groupBy(*group).agg(F.sum("hundredths").alias("sum_h"))
     rejected = sums.where("sum_h > 10000").select(*group, (F.col("sum_h") / 100.0).alias("sum_pct"))
     return accepted, rejected
 

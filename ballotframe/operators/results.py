@@ -226,10 +226,8 @@ def with_labels(df: DataFrame, labels: DataFrame, code: str, label: str = "label
 def normalise(df: DataFrame, keys: Sequence[str], col: str, total: float = 1.0) -> DataFrame:
     """Clips negatives, then scales ``col`` to sum to ``total`` in every group.
 
-    The sums are aggregated before they are joined back, so a group of any size
-    stays spread over many tasks.
+    Groups are seats or regions and hold one row per party.
     """
-    clipped = df.withColumn(col, F.greatest(F.col(col), F.lit(0.0)))
-    sums = clipped.groupBy(*keys).agg(F.sum(col).alias("_sum"))
-    scaled = F.try_divide(F.col(col) * F.lit(total), F.col("_sum"))
-    return clipped.join(sums, list(keys)).withColumn(col, scaled).drop("_sum")
+    clipped = F.greatest(F.col(col), F.lit(0.0))
+    group_sum = F.sum(clipped).over(Window.partitionBy(*keys))
+    return df.withColumn(col, F.try_divide(clipped * F.lit(total), group_sum))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numeric import half_up
@@ -36,9 +36,13 @@ def validate_rules(rules: DataFrame, keys: Sequence[str] = ("scenario_id", "elec
     source = [*keys, "party_from"]
     whole = F.coalesce(F.col("pct").cast("string").try_cast("double").cast("int"), F.lit(0))
     clean = rules.withColumn("pct", whole)
-    sums = clean.groupBy(*source).agg((F.lit(100) - F.sum("pct")).cast("int").alias(NOT_VOTING))
-    active = clean.join(sums.where((F.col(NOT_VOTING) >= 0) & (F.col(NOT_VOTING) != 100)), source)
-    return active, sums.where(F.col(NOT_VOTING) < 0)
+    left_over = (F.lit(100) - F.sum("pct")).cast("int")
+    per_source = F.lit(100) - F.sum("pct").over(Window.partitionBy(*source))  # one row per receiver
+    active = clean.withColumn(NOT_VOTING, per_source.cast("int")).where(
+        (F.col(NOT_VOTING) >= 0) & (F.col(NOT_VOTING) != 100)
+    )
+    rejected = clean.groupBy(*source).agg(left_over.alias(NOT_VOTING)).where(F.col(NOT_VOTING) < 0)
+    return active, rejected
 
 
 def _pack_rules(rules: DataFrame, keys: Sequence[str]) -> DataFrame:

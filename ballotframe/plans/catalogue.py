@@ -186,14 +186,13 @@ def baseline_change(spark, d):
 
 
 def _group_shares(spark, d):
-    before = _pair(spark, d).where(F.col("prev_votes").isNotNull()).join(
-        bridge.seat(spark, d).select("seat", "region"), "seat"
-    ).groupBy("view_id", "region", "party").agg(F.sum("prev_votes").alias("votes"))
+    before = _pair(spark, d).where(F.col("prev_votes").isNotNull()).withColumn("votes", F.col("prev_votes"))
+    dense = areas.regional_totals(before, bridge.seat(spark, d), PARTIES, ["view_id"])
     groups = bridge.region_group(spark, d)
     counted = groups.select("region_group").distinct().withColumn(
         "party", F.explode(F.array(*[F.lit(p) for p in PARTIES]))
     )
-    return areas.group_shares(before, groups, counted, ["view_id"])
+    return areas.group_shares(dense, groups, counted, ["view_id"])
 
 
 @query
@@ -630,17 +629,17 @@ def _facts(spark, d):
 
 @query
 def extract_facts(spark, d):
-    return facts.extract_facts(bridge.table(spark, d, "pages"), tag="p", include=["the", "de", "der"], exclude=["zz"])
+    return facts.extract_facts(bridge.text_table(spark, d, "pages", "page_id"), tag="p", include=["the", "de", "der"], exclude=["zz"])
 
 
 @query
 def extract_list_items(spark, d):
-    return facts.extract_facts(bridge.table(spark, d, "pages"), tag="li", min_len=3, include=None, exclude=[])
+    return facts.extract_facts(bridge.text_table(spark, d, "pages", "page_id"), tag="li", min_len=3, include=None, exclude=[])
 
 
 @query
 def first_two_sentences(spark, d):
-    rows = bridge.table(spark, d, "conversations")
+    rows = bridge.text_table(spark, d, "conversations", "conv_id", "turn")
     return rows.select("conv_id", "turn", first_sentences(F.col("text")).alias("start"))
 
 
@@ -691,7 +690,7 @@ def timeframe_calendar(spark, d):
 
 def _page_facts(spark, d):
     """Facts under page titles: documents of one source sit under the second title of their year."""
-    lines = bridge.table(spark, d, "documents").select(
+    lines = bridge.text_table(spark, d, "documents", "doc_id").select(
         "doc_id", "source", F.posexplode(F.split("text", "\n")).alias("pos", "event")
     )
     placed = facts.with_timeframe(lines.select(

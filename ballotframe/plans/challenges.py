@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.facts import GROUP, clean_facts, fact_groups, one_per_period, sample_per_group
+from ..operators.facts import GROUP, fact_groups, kept_facts, one_per_period, sample_per_group
 
 
 def challenges(
@@ -18,8 +18,7 @@ def challenges(
     ever gathered: one passes on counts, the other at most ``n`` facts per task and group.
     Hand in facts already cleaned (with ``cleaned`` and ``kept``) to clean only once.
     """
-    cleaned = facts if "cleaned" in facts.columns else clean_facts(facts, window)
-    kept = cleaned.where("kept")
+    kept = kept_facts(facts, window)
     periods = one_per_period(
         fact_groups(kept, min_facts, "cleaned").withColumn("group_year", F.col("year"))
     )

@@ -19,6 +19,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def text_table(spark: SparkSession, sf_dir: str, name: str, *keys: str) -> DataFrame:
+    """A table of long texts, spread over all cores where it has fewer splits than cores.
+
+    Text rules are bound by CPU, and a small file may be one split. Large inputs have
+    more splits than there are cores and are left alone, so this never shuffles them.
+    """
+    df = table(spark, sf_dir, name)
+    cores = spark.sparkContext.defaultParallelism
+    return df.repartition(cores, *keys) if df.rdd.getNumPartitions() < cores else df
+
+
 def _votes(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_suppkey", "l_quantity")
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate", "o_orderpriority")
@@ -82,8 +93,9 @@ def seat(spark: SparkSession, sf_dir: str) -> DataFrame:
     suppliers = table(spark, sf_dir, "supplier").join(
         _places(spark, sf_dir), F.col("s_nationkey") == F.col("n_nationkey")
     )
-    return suppliers.join(electorate, F.col("s_suppkey") == F.col("seat")).select(
-        "seat",
+    # a left join: where the electorate is not asked for, the optimizer drops it and its scan
+    return suppliers.join(electorate, F.col("s_suppkey") == F.col("seat"), "left").select(
+        F.col("s_suppkey").alias("seat"),
         F.col("s_name").alias("name"),
         F.col("n_name").alias("region"),
         F.col("r_name").alias("region_group"),
@@ -196,27 +208,24 @@ def target(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def link(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(link_id, url): saved views made from the regions and parties that hold votes."""
-    held = (
-        result(spark, sf_dir).join(seat(spark, sf_dir).select("seat", "region"), "seat")
-        .select("region", "party").distinct()
+    votes = result(spark, sf_dir).join(seat(spark, sf_dir).select("seat", "region"), "seat")
+    # region and party, party alone, region alone: all three kinds of links from one pass
+    held = votes.groupingSets([["region", "party"], ["party"], ["region"]], "region", "party").agg(
+        F.grouping("region").alias("no_region"), F.grouping("party").alias("no_party")
     )
     base = F.lit("http://maps.example/?map=latest")
-    high = F.concat(F.lit("&majlow=0&majhigh="), F.col("region_no"))
-    by_region = held.withColumn("region_no", (F.length("region") * 2 + F.substring("party", 2, 1).cast("int"))
-                                .cast("string")).select(
-        F.concat_ws("-", F.lit("seats"), "region", "party").alias("link_id"),
-        F.concat(base, F.lit("&region="), "region", F.lit("&incumbent="), "party", high,
-                 F.when(F.col("party") == "p1", F.lit("&gains=yes")).otherwise(F.lit(""))).alias("url"),
-    )
-    by_party = held.select("party").distinct().select(
-        F.concat_ws("-", F.lit("party"), "party").alias("link_id"),
-        F.concat(base, F.lit("&incumbent="), F.upper("party"), F.lit("&byelection=true")).alias("url"),
-    )
-    duel = held.select("region").distinct().select(
-        F.concat_ws("-", F.lit("duel"), "region").alias("link_id"),
-        F.concat(base, F.lit("&incumbent=p1&challenger=p2&majhigh=30&region="), "region").alias("url"),
+    region_no = (F.length("region") * 2 + F.substring("party", 2, 1).cast("int")).cast("string")
+    gains = F.when(F.col("party") == "p1", F.lit("&gains=yes")).otherwise(F.lit(""))
+    no_region, no_party = F.col("no_region") == 1, F.col("no_party") == 1
+    return held.select(
+        F.when(no_region, F.concat(F.lit("party-"), "party"))
+        .when(no_party, F.concat(F.lit("duel-"), "region"))
+        .otherwise(F.concat(F.lit("seats-"), "region", F.lit("-"), "party")).alias("link_id"),
+        F.when(no_region, F.concat(base, F.lit("&incumbent="), F.upper("party"), F.lit("&byelection=true")))
+        .when(no_party, F.concat(base, F.lit("&incumbent=p1&challenger=p2&majhigh=30&region="), "region"))
+        .otherwise(F.concat(base, F.lit("&region="), "region", F.lit("&incumbent="), "party",
+                            F.lit("&majlow=0&majhigh="), region_no, gains)).alias("url"),
     )
-    return by_region.unionByName(by_party).unionByName(duel)
 
 
 def boundary(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -230,7 +239,7 @@ def boundary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def fact(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(fact_id, year, era, timeframe_type, event, source_page): one fact per line of every document."""
-    documents = table(spark, sf_dir, "documents")
+    documents = text_table(spark, sf_dir, "documents", "doc_id")
     lines = documents.select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "event"))
     return lines.select(
         (F.col("doc_id") * 100000 + F.col("pos")).alias("fact_id"),

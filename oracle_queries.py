@@ -18,7 +18,7 @@ VIEWS = {
         select s_suppkey as seat, s_name as name, n_name as region, r_name as region_group, e.electorate,
                case when s_suppkey % 7 = 0 then 'May 6th 2021' end as by_election
         from supplier join nation on s_nationkey = n_nationkey join region on n_regionkey = r_regionkey
-        join (select l_suppkey as k, cast(sum(l_quantity) as bigint) as electorate from lineitem group by 1) e
+        left join (select l_suppkey as k, cast(sum(l_quantity) as bigint) as electorate from lineitem group by 1) e
           on e.k = s_suppkey""",
     "pair": """
         select 'latest' as view_id, seat, party, party_ord,
@@ -760,7 +760,7 @@ STATEMENTS = {
     "timeframe_calendar": """
         select title, fallback, timeframe_type, first_year, last_year, count(*) as n_facts from fact group by 1, 2, 3, 4, 5""",
     "load_facts": f"""
-        select year, era, timeframe_type, source_page, count(*) as n_facts, min(pos) as first_pos, max(event) as last_event
+        select cast(year as int) as year, era, timeframe_type, source_page, count(*) as n_facts, min(pos) as first_pos, max(event) as last_event
         from (
           select c.year, c.era, c.timeframe_type, c.source_page, p.pos, p.event
           from (select year, era, timeframe_type, source_page,
