@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.numeric import pct
 from .results import ELECTION, top_party
+from .spread import spread_join
 
 _BUCKET_PCT = 5.0  # width of the majority buckets that saved views and seats are joined on
 _LAST_BUCKET = 20
@@ -145,7 +146,8 @@ def match_views(specs: DataFrame, seats: DataFrame, groups: DataFrame) -> DataFr
     and region as well as ``*``, each spec asks for exactly one combination, and
     both sides carry the bucket of the majority. So the match is an equi-join;
     only the exact bounds and the flags are left to check on its rows. A spec
-    without criteria is spread over all majority buckets.
+    without criteria is spread over all majority buckets, and links that ask the same
+    are spread over many tasks.
     """
     asked = specs.where(F.col("challenger").isNull())
     everywhere = asked.where(F.col("region").isNull()).withColumn("region", F.lit("*"))
@@ -161,7 +163,7 @@ def match_views(specs: DataFrame, seats: DataFrame, groups: DataFrame) -> DataFr
         F.explode(F.array(F.lower("winner"), F.lit("*"))).alias("k_winner"),
         F.lower("region").alias("region"), _bucket(F.col("majority_pct")).alias("k_bucket"),
     ).withColumn("k_region", F.explode(F.array("region", F.lit("*")))).withColumnRenamed("by_election", "held_on")
-    joined = offered.join(keyed, ["view_id", "k_winner", "k_region", "k_bucket"])
+    joined = spread_join(keyed, offered, ["view_id", "k_winner", "k_region", "k_bucket"], ["link_id"])
     return joined.where(
         F.col("majority_pct").between(F.col("lo"), F.col("hi"))
         & (~F.col("gains") | (F.col("winner") != F.col("prev_winner")))
@@ -194,6 +196,6 @@ def match_battlegrounds(
         .join(seats.select("seat", F.lower("region").alias("region")), "seat")
         .withColumn("k_region", F.explode(F.array("region", F.lit("*"))))
     )
-    return leads.join(keyed, ["view_id", "incumbent", "challenger", "k_region"]).where(
+    return spread_join(keyed, leads, ["view_id", "incumbent", "challenger", "k_region"], ["link_id"]).where(
         F.col("lead_pct").between(F.col("lo"), F.col("hi"))
     ).select("link_id", "view_id", "seat")

@@ -40,15 +40,23 @@ def score_guesses(guesses: DataFrame, targets: DataFrame) -> DataFrame:
     )
 
 
+def first_attempts(guesses: DataFrame, max_attempts: int = 8) -> DataFrame:
+    """The guesses that can count, numbered by ``attempt_no``.
+
+    The rank limit is applied before the shuffle too, so a game with a very long log
+    passes on ``max_attempts`` rows per task.
+    """
+    order = Window.partitionBy("game_id").orderBy("attempt")
+    return guesses.withColumn("attempt_no", F.row_number().over(order)).where(F.col("attempt_no") <= max_attempts)
+
+
 def game_outcomes(scored: DataFrame, max_attempts: int = 8) -> DataFrame:
     """Attempts used and result per game; guesses after a win or after the last attempt do not count.
 
-    ``attempt`` orders the guesses of a game. Only the first ``max_attempts`` are ever
-    shuffled: the rank limit is applied on the map side too, so a game with a very
-    long log stays cheap.
+    ``attempt`` orders the guesses of a game. Score only ``first_attempts`` where logs
+    are long; they are numbered here otherwise.
     """
-    order = Window.partitionBy("game_id").orderBy("attempt")
-    counted = scored.withColumn("attempt_no", F.row_number().over(order)).where(F.col("attempt_no") <= max_attempts)
+    counted = scored if "attempt_no" in scored.columns else first_attempts(scored, max_attempts)
     won_at = F.min(F.when(F.col("is_win"), F.col("attempt_no")))
     return counted.groupBy("game_id").agg(
         won_at.isNotNull().alias("won"),

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions.numeric import half_even, half_up, pct, truncate
 from .results import ELECTION, VIEW
+from .spread import spread_join
 
 SCENARIO = ("scenario_id", "view_id")
 
@@ -226,7 +227,8 @@ def project_inputs(pair: DataFrame, seats: DataFrame, changes: DataFrame, keys:
         .where(F.col("turnout").isNotNull())
         .join(seats.select("seat", "region", "electorate"), "seat")
     )
-    rows = packed.join(changes, [*VIEW, "region"])
+    by = [k for k in keys if k not in VIEW]
+    rows = spread_join(changes, packed, [*VIEW, "region"], by)
 
     def moved(c: Column, i: Column) -> Column:
         held = F.try_element_at(F.filter(F.col("ballots"), lambda b: b["party"] == c["party"]), F.lit(1))
@@ -279,7 +281,8 @@ def unchanged_seats(
             b["party_ord"].alias("party_ord"), b["party"].alias("party"), b["votes"].cast("double").alias("votes")
         ),
     )
-    return packed.join(left_alone, [*VIEW, "region"]).withColumn("parties", parties).select(
+    by = [k for k in keys if k not in VIEW]
+    return spread_join(left_alone, packed, [*VIEW, "region"], by).withColumn("parties", parties).select(
         *keys, "seat", "region", "electorate", "turnout", _best(F.col("parties"), "votes").alias("winner"),
         truncate(_lead(F.col("parties"), "votes")).alias("majority"), "parties",
     )

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.numeric import half_up
 from .project import _best, _lead
 from .results import ELECTION
+from .spread import spread_join
 
 NOT_VOTING = "not_voting"
 
@@ -83,7 +84,7 @@ def redistribute(
             )
         ).alias("ballots"),
     )
-    rows = packed.join(_pack_rules(rules, rule_keys), shared, "left")
+    rows = spread_join(packed, _pack_rules(rules, rule_keys), shared, ["seat"], "left")
 
     def hand_on(state: Column, source: Column) -> Column:
         leaving = F.filter(

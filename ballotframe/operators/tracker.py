@@ -8,6 +8,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .spread import spread_join
+
 # Default date bounds of the tracker.
 DEFAULT_START = dt.date(2015, 5, 6)
 DEFAULT_END = dt.date(2017, 6, 8)
@@ -64,7 +66,7 @@ def moving_average(
     ).withColumn("_parts", F.ceil(F.col("_rows") / F.lit(float(block_rows))))
     width = F.greatest(F.lit(1.0), (F.col("_last") - F.col("_first") + 1) / F.col("_parts"))
     placed = (
-        points.join(days, [*keys, day])
+        spread_join(points, days, [*keys, day], [tie])
         .withColumn("_part", F.floor((F.col(tie) - F.col("_first")) / width))
         .drop("_rows", "_first", "_last", "_parts")
     )

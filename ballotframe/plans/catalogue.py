@@ -32,8 +32,8 @@ def query(fn: Query) -> Query:
     return fn
 
 
-def _pair(spark: SparkSession, d: str, views: DataFrame | None = None) -> DataFrame:
-    return results.election_pair(bridge.result(spark, d), views if views is not None else bridge.views(spark))
+def _pair(spark: SparkSession, d: str) -> DataFrame:
+    return results.election_pair(bridge.result(spark, d), bridge.views(spark))
 
 
 def _seat_rows(spark: SparkSession, d: str) -> DataFrame:
@@ -74,7 +74,7 @@ def winners(spark, d):
 
 @query
 def compare(spark, d):
-    rows = results.compare(_pair(spark, d, bridge.view_pairs(spark)))
+    rows = results.compare(_pair(spark, d))
     return rows.drop("party_ord")
 
 
@@ -179,7 +179,8 @@ def seat_tally(spark, d):
 @query
 def baseline_change(spark, d):
     rows = _seat_rows(spark, d)
-    baseline = rows.where(F.col("prev_winner").isNotNull()).groupBy("region", F.col("prev_winner").alias("party")).agg(
+    held = rows.where((F.col("view_id") == "latest") & F.col("prev_winner").isNotNull())
+    baseline = held.groupBy("region", F.col("prev_winner").alias("party")).agg(
         F.count(F.lit(1)).alias("seats")
     )
     return areas.seat_change_vs_baseline(areas.seats_won(rows, ["view_id", "region"]), baseline)
@@ -441,8 +442,8 @@ def _scenario_inputs(spark, d):
     totals = sums.groupBy("company", "area").agg(F.sum("n").alias("total"))
     lift = F.lit(0.9) + F.substring("company", 2, 1).cast("int") / F.lit(16.0)
     return sums.join(totals, ["company", "area"]).where(F.col("party") != "p5").select(
-        F.col("company").alias("scenario_id"), F.lit("latest").alias("view_id"), F.col("area").alias("region_group"),
-        "party", (pct(F.col("n"), F.col("total")) * lift).alias("pct"),
+        F.col("company").alias("scenario_id"), F.explode(F.array(F.lit("latest"), F.lit("again"))).alias("view_id"),
+        F.col("area").alias("region_group"), "party", (pct(F.col("n"), F.col("total")) * lift).alias("pct"),
     )
 
 
@@ -482,8 +483,8 @@ def unchanged_seats(spark, d):
 
 
 def _marked(spark, d):
-    """Current result; p5 stands down in by-election seats, p4 in two region groups."""
-    current = _election(spark, d, "cur")
+    """Both results; p5 stands down in by-election seats, p4 in two region groups."""
+    current = bridge.result(spark, d)
     seat_attr = bridge.seat(spark, d).select("seat", "by_election", "region_group")
     gone = ((F.col("party") == "p5") & F.col("by_election").isNotNull()) | (
         (F.col("party") == "p4") & F.col("region_group").isin("ASIA", "EUROPE")
@@ -499,8 +500,8 @@ def _transfer_rules(spark, d):
     factor = F.when(F.col("company") == "c7", 200.0).otherwise(100.0)
     share = F.floor(F.try_divide(factor * F.col("n"), F.col("total"))).cast("int")
     given = sums.join(totals, "company").where(F.col("party").isin("p1", "p2", "p3")).select(
-        F.col("company").alias("scenario_id"), F.lit("cur").alias("election_id"), F.col("party").alias("party_to"),
-        share.alias("pct"),
+        F.col("company").alias("scenario_id"), F.explode(F.array(F.lit("cur"), F.lit("prev"))).alias("election_id"),
+        F.col("party").alias("party_to"), share.alias("pct"),
     )
     return given.withColumn("source", F.explode(F.array(
         F.struct(F.lit(1).alias("ord"), F.lit("p5").alias("party_from")),
@@ -588,7 +589,9 @@ def model_series(spark, d):
 
 @query
 def upsert_snapshot(spark, d):
-    now = results.winners(_election(spark, d, "cur")).withColumn("date", F.lit("1998-01-01").cast("date"))
+    """History, with the years from 1997 counted again on closed orders only."""
+    recount = bridge.yearly_result(spark, d, closed_only=True).where(F.col("date") >= F.lit(dt.date(1997, 1, 1)))
+    now = results.winners(recount, keys=("date",))
     return tracker.upsert_snapshot(_history(spark, d), areas.seat_tally(now, ["p1", "p2", "p3"], ["date"]))
 
 
@@ -718,7 +721,8 @@ def score_guesses(spark, d):
 
 @query
 def game_outcomes(spark, d):
-    return guesses.game_outcomes(guesses.score_guesses(bridge.guess(spark, d), bridge.target(spark, d)))
+    counted = guesses.first_attempts(bridge.guess(spark, d))
+    return guesses.game_outcomes(guesses.score_guesses(counted, bridge.target(spark, d)))
 
 
 # --- documents ----------------------------------------------------------------

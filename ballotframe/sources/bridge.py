@@ -32,11 +32,12 @@ def text_table(spark: SparkSession, sf_dir: str, name: str, *keys: str) -> DataF
 
 def _votes(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_suppkey", "l_quantity")
-    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate", "o_orderpriority")
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate", "o_orderpriority", "o_orderstatus")
     return lines.join(orders, lines.l_orderkey == orders.o_orderkey).select(
         F.col("l_suppkey").alias("seat"),
         F.concat(F.lit("p"), F.substring("o_orderpriority", 1, 1)).alias("party"),
         "o_orderdate",
+        "o_orderstatus",
         "l_quantity",
     )
 
@@ -56,10 +57,11 @@ def result(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _with_ord(votes)
 
 
-def yearly_result(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(date, seat, party, votes, party_ord): one election per order year."""
+def yearly_result(spark: SparkSession, sf_dir: str, closed_only: bool = False) -> DataFrame:
+    """(date, seat, party, votes, party_ord): one election per order year, of all or of closed orders."""
+    rows = _votes(spark, sf_dir)
     votes = (
-        _votes(spark, sf_dir)
+        (rows.where(F.col("o_orderstatus") == "F") if closed_only else rows)
         .groupBy(F.trunc("o_orderdate", "year").alias("date"), "seat", "party")
         .agg(F.sum("l_quantity").cast("bigint").alias("votes"))
     )
@@ -67,11 +69,6 @@ def yearly_result(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def views(spark: SparkSession) -> DataFrame:
-    columns = {"view_id": "string", "current_id": "string", "previous_id": "string"}
-    return inline_table(spark, columns, [("latest", "cur", "prev")])
-
-
-def view_pairs(spark: SparkSession) -> DataFrame:
     """Two views: the latest election against the one before it, and against itself."""
     columns = {"view_id": "string", "current_id": "string", "previous_id": "string"}
     return inline_table(spark, columns, [("latest", "cur", "prev"), ("again", "cur", "cur")])

@@ -24,7 +24,9 @@ VIEWS = {
         select 'latest' as view_id, seat, party, party_ord,
                cast(sum(case when election_id = 'cur' then votes end) as bigint) as votes,
                cast(sum(case when election_id = 'prev' then votes end) as bigint) as prev_votes
-        from result group by 2, 3, 4""",
+        from result group by 2, 3, 4
+        union all
+        select 'again', seat, party, party_ord, votes, votes from result where election_id = 'cur'""",
     "ranked": """
         select *, row_number() over (partition by view_id, seat order by votes desc nulls last, party_ord) as rn,
                row_number() over (partition by view_id, seat order by prev_votes desc nulls last, party_ord) as prn,
@@ -162,10 +164,11 @@ VIEWS = {
             from group_region group by 1, 2, 3) o
           on o.view_id = r.view_id and o.region_group = r.region_group and o.party = r.party""",
     "inputs": """
-        select company as scenario_id, 'latest' as view_id, area as region_group, party,
+        select company as scenario_id, v.view_id, area as region_group, party,
                100.0::double * n / total * (0.9::double + cast(substr(company, 2, 1) as int) / 16.0::double) as pct
         from (select company, area, party, sum(n) as n, sum(sum(n)) over (partition by company, area) as total
-              from poll group by 1, 2, 3) where party <> 'p5'""",
+              from poll group by 1, 2, 3) join (select unnest(['latest', 'again']) as view_id) v on true
+        where party <> 'p5'""",
     "clean_inputs": """
         select *, sum(h) over w as sum_h, max(h) over w as max_h
         from (select *, cast(floor(greatest(pct, 0) * 100.0::double + 0.5::double) as bigint) as h from inputs)
@@ -191,15 +194,16 @@ VIEWS = {
         select r.election_id, r.seat, r.party, r.party_ord, r.votes,
                case when (r.party = 'p5' and s.by_election is not null)
                       or (r.party = 'p4' and s.region_group in ('ASIA', 'EUROPE')) then 0 end as standing
-        from result r join seat s using (seat) where election_id = 'cur'""",
+        from result r join seat s using (seat)""",
     "rules_raw": """
-        select company as scenario_id, 'cur' as election_id, party as party_to,
+        select company as scenario_id, e.election_id, party as party_to,
                cast(floor(case when company = 'c7' then 200.0::double else 100.0::double end * n / total) as int) as pct
         from (select company, party, sum(n) as n, sum(sum(n)) over (partition by company) as total
-              from poll group by 1, 2) where party in ('p1', 'p2', 'p3')""",
+              from poll group by 1, 2) join (select unnest(['cur', 'prev']) as election_id) e on true
+        where party in ('p1', 'p2', 'p3')""",
     "rules_all": """
         select scenario_id, election_id, s.ord, s.party_from, party_to, pct,
-               cast(100 - sum(pct) over (partition by scenario_id, s.party_from) as int) as not_voting
+               cast(100 - sum(pct) over (partition by scenario_id, election_id, s.party_from) as int) as not_voting
         from rules_raw join (select 1 as ord, 'p5' as party_from union all select 2, 'p4') s on true""",
     "rules": "select * from rules_all where not_voting >= 0 and not_voting <> 100",
     "points": """
@@ -213,22 +217,6 @@ VIEWS = {
               from (select *, case when company = 'c0' then n * total / 100.0::double else n::double end as v from poll
                     where not (company = 'c1' and area = 'ASIA')) group by 1, 2, 3)
         join (select unnest(['p1', 'p2', 'p3', 'others']) as party) k on true""",
-    "history": """
-        select y.date, k.party, cast(count(case when w.winner = k.party
-                                             or (k.party = 'others' and w.winner not in ('p1', 'p2', 'p3')) then 1 end)
-                                     as bigint) as seats
-        from (select distinct cast(date_trunc('year', o_orderdate) as date) as date
-              from lineitem join orders on l_orderkey = o_orderkey) y
-        join (select unnest(['p1', 'p2', 'p3', 'others']) as party) k on true
-        join (select date, winner from (
-                select cast(date_trunc('year', o_orderdate) as date) as date, l_suppkey as seat,
-                       concat('p', substr(o_orderpriority, 1, 1)) as winner,
-                       row_number() over (partition by date_trunc('year', o_orderdate), l_suppkey
-                                          order by cast(sum(l_quantity) as bigint) desc, substr(o_orderpriority, 1, 1)) as rn
-                from lineitem join orders on l_orderkey = o_orderkey
-                group by date_trunc('year', o_orderdate), l_suppkey, substr(o_orderpriority, 1, 1)) where rn = 1) w
-          on w.date = y.date
-        group by 1, 2""",
     "referendum": """
         select l.seat, leave, 100.0::double - leave as remain,
                case when leave > 100.0::double - leave then 'leave' else 'remain' end as current,
@@ -322,6 +310,26 @@ def _plain_text(expr: str) -> str:
     return _sub(expr, _STRIP, "")
 
 
+def _yearly(condition: str) -> str:
+    """Seats per year and party, of the orders that meet a condition."""
+    return f"""
+        select y.date, k.party, cast(count(case when y.winner = k.party
+                                             or (k.party = 'others' and y.winner not in ('p1', 'p2', 'p3')) then 1 end)
+                                     as bigint) as seats
+        from (select cast(date_trunc('year', o_orderdate) as date) as date, l_suppkey as seat,
+                     concat('p', substr(o_orderpriority, 1, 1)) as winner,
+                     row_number() over (partition by date_trunc('year', o_orderdate), l_suppkey
+                                        order by cast(sum(l_quantity) as bigint) desc, substr(o_orderpriority, 1, 1)) as rn
+              from lineitem join orders on l_orderkey = o_orderkey where {condition}
+              group by date_trunc('year', o_orderdate), l_suppkey, substr(o_orderpriority, 1, 1)) y
+        join (select unnest(['p1', 'p2', 'p3', 'others']) as party) k on true
+        where y.rn = 1 group by 1, 2"""
+
+
+VIEWS["history"] = _yearly("true")
+VIEWS["recount"] = _yearly("o_orderstatus = 'F' and o_orderdate >= timestamp '1997-01-01'")
+
+
 def _cleaned_views() -> dict[str, str]:
     """The cleaning rules step by step, each step a view over the one before."""
     steps = [
@@ -415,13 +423,15 @@ _STANDDOWN = """
            max(case when m.party = 'p5' and standing = 0 and f5.nv is not null then m.votes::double end) over w as given5,
            max(case when m.party = 'p4' and standing = 0 and f4.nv is not null then m.votes::double end) over w as given4,
            sum(m.votes::double) over w as turnout0, f5.nv as nv5, f4.nv as nv4, t5.pct as pct5, t4.pct as pct4
-    from marked m join (select distinct scenario_id from rules) x on true
-    left join (select distinct scenario_id, not_voting as nv from rules where party_from = 'p5') f5
-      on f5.scenario_id = x.scenario_id
-    left join (select distinct scenario_id, not_voting as nv from rules where party_from = 'p4') f4
-      on f4.scenario_id = x.scenario_id
-    left join rules t5 on t5.scenario_id = x.scenario_id and t5.party_from = 'p5' and t5.party_to = m.party
-    left join rules t4 on t4.scenario_id = x.scenario_id and t4.party_from = 'p4' and t4.party_to = m.party
+    from marked m join (select distinct scenario_id, election_id from rules) x on x.election_id = m.election_id
+    left join (select distinct scenario_id, election_id, not_voting as nv from rules where party_from = 'p5') f5
+      on f5.scenario_id = x.scenario_id and f5.election_id = x.election_id
+    left join (select distinct scenario_id, election_id, not_voting as nv from rules where party_from = 'p4') f4
+      on f4.scenario_id = x.scenario_id and f4.election_id = x.election_id
+    left join rules t5 on t5.scenario_id = x.scenario_id and t5.election_id = x.election_id
+         and t5.party_from = 'p5' and t5.party_to = m.party
+    left join rules t4 on t4.scenario_id = x.scenario_id and t4.election_id = x.election_id
+         and t4.party_from = 'p4' and t4.party_to = m.party
     window w as (partition by x.scenario_id, m.election_id, m.seat)"""
 
 STATEMENTS = {
@@ -432,14 +442,10 @@ STATEMENTS = {
                      cast(sum(votes) over (partition by election_id, seat) as bigint) as turnout from result)""",
     "winners": "select * from winners",
     "compare": f"""
-        select 'latest' as view_id, c.seat, c.party, c.votes, c.prev_votes, cast(c.turnout as bigint) as turnout,
+        select c.view_id, c.seat, c.party, c.votes, c.prev_votes, cast(c.turnout as bigint) as turnout,
                cast(c.prev_turnout as bigint) as prev_turnout, share_pct, prev_share_pct,
                share_pct - prev_share_pct as change_pct, c.winner, s.prev_winner, c.winner <> s.prev_winner as gain
-        from ({_COMPARED}) c join seat_rows s on s.seat = c.seat
-        union all
-        select 'again', c.seat, c.party, c.votes, c.votes, cast(c.turnout as bigint), cast(c.turnout as bigint),
-               share_pct, share_pct, 0.0::double, c.winner, c.winner, false
-        from ({_COMPARED}) c""",
+        from ({_COMPARED}) c join seat_rows s on s.view_id = c.view_id and s.seat = c.seat""",
     "seat_summary": "select * from seat_full",
     "fold_others": """
         select election_id, seat, case when party = 'p5' then 'p4' else party end as party,
@@ -534,7 +540,9 @@ STATEMENTS = {
         select view_id, region, party, cast(sum(won) as bigint) as seats, cast(sum(base) as bigint) as baseline_seats,
                cast(sum(won) - sum(base) as bigint) as seat_change
         from (select view_id, region, winner as party, 1 as won, 0 as base from seat_rows
-              union all select view_id, region, prev_winner, 0, 1 from seat_rows where prev_winner is not null)
+              union all select v.view_id, s.region, s.prev_winner, 0, 1
+              from seat_rows s join (select distinct view_id, region from seat_rows) v on v.region = s.region
+              where s.prev_winner is not null and s.view_id = 'latest')
         group by 1, 2, 3""",
     "group_shares": "select * from group_shares",
     "filter_region_majority": """
@@ -562,7 +570,8 @@ STATEMENTS = {
               and (not l.gains or s.winner <> s.prev_winner) and (not l.by_election or s.by_election is not null)
         union all
         select l.link_id, l.view_id, s.seat from link l join seat_full s on s.view_id = l.view_id
-        join ranked a on a.seat = s.seat and a.party = l.incumbent join ranked b on b.seat = s.seat and b.party = l.challenger
+        join ranked a on a.view_id = s.view_id and a.seat = s.seat and a.party = l.incumbent
+        join ranked b on b.view_id = s.view_id and b.seat = s.seat and b.party = l.challenger
         where l.challenger is not null and s.prev_winner = l.incumbent and lower(s.region) = l.region
               and 100.0::double * (a.prev_votes - b.prev_votes) / s.prev_turnout between l.lo and l.hi""",
     "stable_sort": "select view_id, seat, name, majority from seat_rows order by majority desc, name",
@@ -590,18 +599,19 @@ STATEMENTS = {
         from (select *, least(max(case when filtered then value end) over (partition by view_id), 0.6::double) as max_value
               from (select s.view_id, s.seat, coalesce(r.votes::double / s.turnout, 0.0::double) as value,
                            s.majority_pct between 0 and 20 as filtered
-                    from seat_full s left join ranked r on r.seat = s.seat and r.party = 'p1'))""",
+                    from seat_full s left join ranked r on r.view_id = s.view_id and r.seat = s.seat and r.party = 'p1'))""",
     "choropleth_change": """
         select *, case when intensity < 0 then 'minus' else 'plus' end as sign_class
-        from (select view_id, seat, value, max_value, greatest(-1.0::double, least(1.0::double, value / max_value)) as intensity
+        from (select view_id, seat, value, max_value, greatest(-1.0::double, least(1.0::double,
+                        coalesce(value / nullif(max_value, 0), 0.0::double))) as intensity
               from (select *, least(max(abs(value)) over (partition by view_id), 0.6::double) as max_value
                     from (select s.view_id, s.seat, coalesce(r.votes::double / s.turnout, 0.0::double)
                                  - coalesce(r.prev_votes::double / s.prev_turnout, 0.0::double) as value
-                          from seat_full s left join ranked r on r.seat = s.seat and r.party = 'p2')))""",
+                          from seat_full s left join ranked r on r.view_id = s.view_id and r.seat = s.seat and r.party = 'p2')))""",
     "choropleth_max": """
         select s.view_id, least(max(abs(coalesce(r.votes::double / s.turnout, 0.0::double)
                                         - coalesce(r.prev_votes::double / s.prev_turnout, 0.0::double))), 0.6::double) as max_value
-        from seat_full s left join ranked r on r.seat = s.seat and r.party = 'p3' group by 1""",
+        from seat_full s left join ranked r on r.view_id = s.view_id and r.seat = s.seat and r.party = 'p3' group by 1""",
     "referendum_filter": """
         select seat, region, winner2015, current, leave, remain from referendum
         where leave between 45 and 60 and current = 'leave' and winner2015 in ('p1', 'p2', 'p3', 'p4')""",
@@ -669,13 +679,14 @@ STATEMENTS = {
                                  greatest(coalesce(100.0::double * r.prev_votes / s.prev_turnout, 0) + c.change,
                                           0.1::double * coalesce(100.0::double * r.prev_votes / s.prev_turnout, 0)) as moved
                           from changes c join seat_rows s on s.view_id = c.view_id and s.region = c.region
-                          left join pair r on r.seat = s.seat and r.party = c.party)))
+                          left join pair r on r.view_id = s.view_id and r.seat = s.seat and r.party = c.party)))
         window w as (partition by scenario_id, view_id, seat) qualify pct > 0""",
     "unchanged_seats": """
         select x.scenario_id, s.view_id, s.seat, s.region, s.winner, s.majority, r.party, r.votes::double as votes
-        from seat_rows s join (select distinct scenario_id from inputs) x on true
-        join pair r on r.seat = s.seat and r.votes is not null
-        where not exists (select 1 from changes c where c.scenario_id = x.scenario_id and c.region = s.region)""",
+        from seat_rows s join (select distinct scenario_id, view_id from inputs) x on x.view_id = s.view_id
+        join pair r on r.view_id = s.view_id and r.seat = s.seat and r.votes is not null
+        where not exists (select 1 from changes c where c.scenario_id = x.scenario_id and c.view_id = s.view_id
+                          and c.region = s.region)""",
     "mark_standing": "select election_id, seat, party, votes, standing from marked",
     "validate_rules": "select * from rules",
     "validate_rules_rejected": "select distinct scenario_id, election_id, party_from, not_voting from rules_all where not_voting < 0",
@@ -712,12 +723,8 @@ STATEMENTS = {
         select date, party, seats, 326 as majority_line from history
         where date between date '1995-01-01' and date '1999-12-31'""",
     "upsert_snapshot": """
-        select date, party, seats from history where date <> date '1998-01-01'
-        union all
-        select date '1998-01-01', k.party, count(case when winner = k.party
-                 or (k.party = 'others' and winner not in ('p1', 'p2', 'p3')) then 1 end)
-        from winners join (select unnest(['p1', 'p2', 'p3', 'others']) as party) k on true
-        where election_id = 'cur' group by k.party""",
+        select date, party, seats from history where date not in (select date from recount)
+        union all select date, party, seats from recount""",
     "card_mode": "select mode, cost_bucket, count(*) as n_cards from card group by 1, 2",
     "card_facets": """
         select card_id, name, card_class, type, rarity, race, mode, cost_bucket from card
