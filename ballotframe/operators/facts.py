@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.numeric import pct
 from ..functions.text import is_good_fact, plain_text, with_clean_fact
+from .spread import spread_join
 
 # Words in the headings of sections that list events, and of those that never do.
 EVENT_HEADINGS = [
@@ -146,7 +147,9 @@ def load_facts(calendar: DataFrame, extracted: DataFrame, existing: DataFrame |
         covered = covered.join(filled, ["year", "era"], "left_anti")
     writer = Window.partitionBy("year", "era").orderBy("load_order")
     chosen = covered.withColumn("_turn", F.row_number().over(writer)).where("_turn = 1")
-    return chosen.join(extracted.withColumnRenamed("title", "source_page"), "source_page").select(
+    # a page may hold very many facts and cover a hundred years
+    facts = extracted.withColumnRenamed("title", "source_page")
+    return spread_join(facts, chosen, ["source_page"], ["pos", "event"]).select(
         "year", "era", "timeframe_type", "event", "source_page", "pos"
     )
 
@@ -176,16 +179,19 @@ def fact_groups(facts: DataFrame, min_n: int = 1, event: str = "event") -> DataF
     return facts.groupBy(*GROUP).agg(F.count(event).alias("n_facts")).where(F.col("n_facts") >= min_n)
 
 
-def collect_groups(facts: DataFrame, min_n: int = 1, event: str = "event", order: str = "fact_id") -> DataFrame:
-    """``fact_groups`` with the facts of each group as one ordered array.
+def collect_groups(
+    facts: DataFrame, min_n: int = 1, event: str = "event", row_id: str = "fact_id", chunk: int = 1000
+) -> DataFrame:
+    """Groups of at least ``min_n`` facts with all their facts, in arrays of about ``chunk``.
 
-    The array is as long as its group; prefer ``fact_groups`` or ``challenges`` where
-    groups can be large.
+    A group larger than one chunk gives several rows (``chunk_no``), so no task ever
+    holds a whole large group.
     """
-    listed = F.sort_array(F.collect_list(F.struct(F.col(order), F.col(event).alias("event"))))
-    return facts.groupBy(*GROUP).agg(
-        F.count(event).alias("n_facts"), F.transform(listed, lambda s: s["event"]).alias("events")
-    ).where(F.col("n_facts") >= min_n)
+    sizes = fact_groups(facts, min_n, event).withColumn("_chunks", F.ceil(F.col("n_facts") / F.lit(chunk)))
+    sized = spread_join(facts, sizes, GROUP, [row_id])
+    chunk_no = F.pmod(F.xxhash64(row_id), F.col("_chunks")).cast("int").alias("chunk_no")
+    listed = F.sort_array(F.collect_list(F.struct(F.col(row_id), F.col(event).alias("event"))))
+    return sized.groupBy(*GROUP, "n_facts", chunk_no).agg(F.transform(listed, lambda s: s["event"]).alias("events"))
 
 
 def sample_per_group(

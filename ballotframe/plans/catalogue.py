@@ -46,7 +46,7 @@ def _area_map(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _election(spark: SparkSession, d: str, name: str) -> DataFrame:
-    return bridge.result(spark, d).where(F.col("election_id") == name)
+    return bridge.result(spark, d, only=name)
 
 
 def scaled(col, factor: float) -> F.Column:
@@ -656,6 +656,15 @@ def fact_groups(spark, d):
     return facts.fact_groups(_facts(spark, d), 3)
 
 
+@query
+def fact_lists(spark, d):
+    """Length and extremes of the lists of every group of at least three facts."""
+    rows = facts.collect_groups(_facts(spark, d), 3)
+    return rows.select("year", "era", "timeframe_type", "n_facts", F.explode("events").alias("event")).groupBy(
+        "year", "era", "timeframe_type", "n_facts"
+    ).agg(F.count(F.lit(1)).alias("n_listed"), F.min("event").alias("first"), F.max("event").alias("last"))
+
+
 @query
 def fact_report(spark, d):
     return facts.fact_report(facts.clean_facts(_facts(spark, d)), ["era", "timeframe_type"])

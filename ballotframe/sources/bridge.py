@@ -7,16 +7,26 @@ pollsters and players, document lines are facts.
 
 from __future__ import annotations
 
+from functools import cache
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from .inline import inline_table
 
 PARTIES = ["p1", "p2", "p3", "p4", "p5"]
 
 
+@cache
+def _schema(application: str, path: str) -> StructType:
+    """Schema of a table, read from its footer once per application."""
+    return SparkSession.getActiveSession().read.parquet(path).schema
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    path = f"{sf_dir}/{name}.parquet"
+    return spark.read.schema(_schema(spark.sparkContext.applicationId, path)).parquet(path)
 
 
 def text_table(spark: SparkSession, sf_dir: str, name: str, *keys: str) -> DataFrame:
@@ -46,12 +56,19 @@ def _with_ord(df: DataFrame) -> DataFrame:
     return df.withColumn("party_ord", F.substring("party", 2, 1).cast("int"))
 
 
-def result(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(election_id, seat, party, votes, party_ord): two elections, split by order date."""
-    election = F.when(F.col("o_orderdate") < F.lit("1998-01-01").cast("timestamp"), "prev").otherwise("cur")
+def result(spark: SparkSession, sf_dir: str, only: str | None = None) -> DataFrame:
+    """(election_id, seat, party, votes, party_ord): two elections, split by order date.
+
+    ``only`` reads one of them, with the date range pushed to the scan.
+    """
+    rows = _votes(spark, sf_dir)
+    # the literal takes the column's own timestamp type, so the comparison can reach the scan
+    split = F.lit("1998-01-01").cast(rows.schema["o_orderdate"].dataType)
+    if only is not None:
+        rows = rows.where(F.col("o_orderdate") < split if only == "prev" else F.col("o_orderdate") >= split)
     votes = (
-        _votes(spark, sf_dir)
-        .groupBy(election.alias("election_id"), "seat", "party")
+        rows
+        .groupBy(F.when(F.col("o_orderdate") < split, "prev").otherwise("cur").alias("election_id"), "seat", "party")
         .agg(F.sum("l_quantity").cast("bigint").alias("votes"))
     )
     return _with_ord(votes)

@@ -735,6 +735,9 @@ STATEMENTS = {
     "clean_facts": "select fact_id, cleaned, kept from judged",
     "fact_groups": """
         select year, era, timeframe_type, count(event) as n_facts from fact group by 1, 2, 3 having count(event) >= 3""",
+    "fact_lists": """
+        select year, era, timeframe_type, count(event) as n_facts, count(*) as n_listed, min(event) as first,
+               max(event) as last from fact group by 1, 2, 3 having count(event) >= 3""",
     "fact_report": """
         select era, timeframe_type, count(*) as n_raw, count(case when kept then 1 end) as n_kept,
                count(case when not kept then 1 end) as n_filtered,
