@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.arrays import unpack
 from ..functions.numeric import pct
 from ..functions.text import is_good_fact, plain_text, with_clean_fact
 from .spread import spread_join
@@ -64,7 +65,7 @@ def extract_facts(
     texts = F.filter(texts, lambda t: ~t.startswith("^"))
     texts = F.transform(texts, lambda t: F.regexp_replace(t, r"\[[0-9]+\]|\[edit\]", ""))
     texts = F.array_distinct(F.filter(texts, lambda t: F.length(t) > min_len))
-    return pages.select(page, F.posexplode(texts).alias("pos", "event"))
+    return unpack(pages, [page], F.posexplode_outer(texts).alias("pos", "event"), "event")
 
 
 def _ordinal(n: Column) -> Column:
@@ -171,7 +172,7 @@ def kept_facts(facts: DataFrame, window: int = 100) -> DataFrame:
         return facts.where("kept").drop("kept")
     rows = with_clean_fact(facts, "event", F.col("year"), "_text", window)
     passing = F.filter(F.array("_text"), is_good_fact)
-    return rows.select(*facts.columns, F.explode(passing).alias("cleaned"))
+    return unpack(rows, facts.columns, F.explode_outer(passing).alias("cleaned"), "cleaned")
 
 
 def fact_groups(facts: DataFrame, min_n: int = 1, event: str = "event") -> DataFrame:

@@ -7,11 +7,12 @@ row: the votes are shuffled once, to build the row, and never again.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.arrays import unpack
 from ..functions.numeric import half_even, half_up, pct, truncate
 from .results import ELECTION, VIEW
 from .spread import spread_join
@@ -24,7 +25,7 @@ FLOOR = 0.1  # a party keeps at least this part of its old share
 def party_rows(packed: DataFrame, drop: Sequence[str] = ()) -> DataFrame:
     """Long form of packed seats: one row per seat and party."""
     kept = [c for c in packed.columns if c != "parties" and c not in drop]
-    return packed.select(*kept, F.inline("parties"))
+    return unpack(packed, kept, F.inline_outer("parties"), "party")
 
 
 def pack_seats(result: DataFrame, keys: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
@@ -35,8 +36,16 @@ def pack_seats(result: DataFrame, keys: Sequence[str], by: Sequence[str] = ()) -
     )
 
 
-def _total(values: Column) -> Column:
-    return F.aggregate(values, F.lit(0.0), lambda acc, v: acc + v)
+def _shared(parties: Column, part: Callable[[Column], Column], build: Callable[[Column, Column], Column]) -> Column:
+    """``build(party, total)`` for every party, where total is the sum of ``part`` over all of them.
+
+    The total is bound by the aggregate itself, so it is computed once per row; as a
+    column of its own it could be moved into the loop over the parties.
+    """
+    return F.aggregate(
+        F.transform(parties, part), F.lit(0.0), lambda acc, v: acc + v,
+        lambda total: F.transform(parties, lambda p: build(p, total)),
+    )
 
 
 def _best(parties: Column, score: str) -> Column:
@@ -74,10 +83,11 @@ def regional_change(estimates: DataFrame, keys: Sequence[str] = ()) -> DataFrame
 
 
 def pack_changes(change: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
-    """One row per region with the changes of its parties as an array."""
-    return change.where(F.col("change").isNotNull()).groupBy(*keys, "region").agg(
+    """One row per region with the changes of its parties, as an array and for lookup."""
+    packed = change.where(F.col("change").isNotNull()).groupBy(*keys, "region").agg(
         F.sort_array(F.collect_list(F.struct("party", "change"))).alias("changes")
     )
+    return packed.withColumn("swing", F.map_from_entries("changes"))
 
 
 def project(
@@ -101,10 +111,10 @@ def project(
     shared = [k for k in change_keys if k in keys]
     joined = packed.join(pack_changes(change, change_keys), [*shared, "region"], "left").withColumn(
         "changes", F.coalesce("changes", F.expr("cast(array() as array<struct<party:string,change:double>>)"))
-    )
+    ).withColumn("swing", F.coalesce("swing", F.expr("cast(map() as map<string,double>)")))
 
     def swing_of(party: Column) -> Column:
-        return F.try_element_at(F.filter(F.col("changes"), lambda c: c["party"] == party), F.lit(1))["change"]
+        return F.try_element_at(F.col("swing"), party)
 
     def standing(b: Column) -> Column:
         share = F.try_divide(b["votes"].cast("double"), F.col("turnout"))
@@ -129,15 +139,15 @@ def project(
     stood = joined.withColumn("stood", F.transform(F.col("ballots"), standing))
     shares = stood.withColumn("winner", _best(F.col("stood"), "raw")).withColumn(
         "drawn", F.concat(F.col("stood"), new_parties)
-    ).withColumn("total", _total(F.transform(F.col("drawn"), lambda p: p["share"])))
+    )
 
-    def to_votes(p: Column) -> Column:
+    def to_votes(p: Column, total: Column) -> Column:
         return F.struct(
             p["party_ord"].alias("party_ord"), p["party"].alias("party"), p["old_votes"].alias("old_votes"),
-            half_even(F.try_divide(p["share"], F.col("total")) * F.col("turnout")).alias("votes"),
+            half_even(F.try_divide(p["share"], total) * F.col("turnout")).alias("votes"),
         )
 
-    final = shares.withColumn("parties", F.transform(F.col("drawn"), to_votes))
+    final = shares.withColumn("parties", _shared(F.col("drawn"), lambda p: p["share"], to_votes))
     return final.select(
         *keys, *[k for k in change_keys if k not in keys], "seat", "region", "electorate", "turnout", "winner",
         _best(F.col("parties"), "votes").alias("winner_final"),
@@ -194,16 +204,16 @@ def scenario_change(
         new = F.greatest(k["region_pct"] + (wish - k["overall_pct"]), F.lit(0.0))
         return F.struct(k["party"].alias("party"), k["region_pct"].alias("old"), new.alias("new"))
 
-    rows = asked.join(known, [*share_keys, "region_group"]).withColumn("moved", F.transform(F.col("known"), moved))
-    rows = rows.withColumn("scale", _total(F.transform(F.col("moved"), lambda m: m["new"])) / F.lit(100.0))
+    by = [k for k in keys if k not in share_keys]
+    joined = spread_join(asked, known, [*share_keys, "region_group"], by)
+    rows = joined.withColumn("moved", F.transform(F.col("known"), moved))
+
+    def changed(m: Column, total: Column) -> Column:
+        new = F.try_divide(m["new"], total / F.lit(100.0))
+        return F.struct(m["party"].alias("party"), (new - m["old"]).alias("change"))
+
     return rows.select(
-        *keys, "region_group", "region",
-        F.transform(
-            F.col("moved"),
-            lambda m: F.struct(
-                m["party"].alias("party"), (F.try_divide(m["new"], F.col("scale")) - m["old"]).alias("change")
-            ),
-        ).alias("changes"),
+        *keys, "region_group", "region", _shared(F.col("moved"), lambda m: m["new"], changed).alias("changes")
     )
 
 
@@ -220,8 +230,8 @@ def project_inputs(pair: DataFrame, seats: DataFrame, changes: DataFrame, keys:
         .agg(
             F.sum("votes").alias("turnout"),
             F.sum("prev_votes").alias("prev_turnout"),
-            F.sort_array(
-                F.collect_list(F.when(stood_before, F.struct("party_ord", "party", F.col("prev_votes").alias("votes"))))
+            F.map_from_entries(
+                F.collect_list(F.when(stood_before, F.struct("party", F.struct("party_ord", "prev_votes"))))
             ).alias("ballots"),
         )
         .where(F.col("turnout").isNotNull())
@@ -231,22 +241,22 @@ def project_inputs(pair: DataFrame, seats: DataFrame, changes: DataFrame, keys:
     rows = spread_join(changes, packed, [*VIEW, "region"], by)
 
     def moved(c: Column, i: Column) -> Column:
-        held = F.try_element_at(F.filter(F.col("ballots"), lambda b: b["party"] == c["party"]), F.lit(1))
-        was = F.coalesce(pct(held["votes"], F.col("prev_turnout")), F.lit(0.0))
+        held = F.try_element_at(F.col("ballots"), c["party"])
+        was = F.coalesce(pct(held["prev_votes"], F.col("prev_turnout")), F.lit(0.0))
         return F.struct(
             F.coalesce(held["party_ord"], F.lit(1000) + i).alias("party_ord"), c["party"].alias("party"),
             F.greatest(was + c["change"], F.lit(FLOOR) * was).alias("pct"),
         )
 
     rows = rows.withColumn("moved", F.transform(F.col("changes"), moved))
-    rows = rows.withColumn("scale", _total(F.transform(F.col("moved"), lambda m: m["pct"])) / F.lit(100.0))
-    scaled = F.transform(
-        F.col("moved"),
-        lambda m: F.struct(
-            m["party_ord"].alias("party_ord"), m["party"].alias("party"), F.try_divide(m["pct"], F.col("scale")).alias("pct")
-        ),
-    )
-    rows = rows.withColumn("scaled", scaled)
+
+    def scaled(m: Column, total: Column) -> Column:
+        return F.struct(
+            m["party_ord"].alias("party_ord"), m["party"].alias("party"),
+            F.try_divide(m["pct"], total / F.lit(100.0)).alias("pct"),
+        )
+
+    rows = rows.withColumn("scaled", _shared(F.col("moved"), lambda m: m["pct"], scaled))
     parties = F.transform(
         F.filter(F.col("scaled"), lambda p: p["pct"] > 0),
         lambda p: F.struct(

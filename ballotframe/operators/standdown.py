@@ -50,12 +50,9 @@ def _pack_rules(rules: DataFrame, keys: Sequence[str]) -> DataFrame:
     per_source = rules.groupBy(*keys, "ord", "party_from", NOT_VOTING).agg(
         F.map_from_entries(F.collect_list(F.struct("party_to", F.col("pct").cast("double").alias("pct")))).alias("gives")
     )
-    return per_source.groupBy(*keys).agg(
-        F.sort_array(
-            F.collect_list(F.struct("ord", "party_from", F.col(NOT_VOTING).cast("double").alias(NOT_VOTING),
-                                    F.map_entries("gives").alias("gives")))
-        ).alias("sources")
-    )
+    source = F.struct("ord", "party_from", F.col(NOT_VOTING).cast("double").alias(NOT_VOTING), "gives")
+    in_order = F.array_sort(F.collect_list(source), lambda a, b: F.signum(a["ord"] - b["ord"]).cast("int"))
+    return per_source.groupBy(*keys).agg(in_order.alias("sources"))
 
 
 def redistribute(
@@ -93,9 +90,7 @@ def redistribute(
         given = F.try_element_at(leaving, F.lit(1))["votes"]
 
         def receive(p: Column) -> Column:
-            share = F.try_element_at(
-                F.filter(source["gives"], lambda g: g["key"] == p["party"]), F.lit(1)
-            )["value"]
+            share = F.try_element_at(source["gives"], p["party"])
             votes = F.when(share.isNull(), p["votes"]).otherwise(
                 half_up(p["votes"] + share * given / F.lit(100.0)).cast("double")
             )

@@ -5,9 +5,10 @@ from __future__ import annotations
 import datetime as dt
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.arrays import unpack
 from ..functions.numeric import half_up, pct
 from ..functions.text import first_sentences
 from ..operators import areas, choropleth, facets, facts, filters, guesses, polls, project, referendum, results, seats
@@ -439,9 +440,9 @@ def project_seats(spark, d):
 def _scenario_inputs(spark, d):
     """What each company's polls say of an area, as user inputs; later companies overstate the shares."""
     sums = bridge.poll(spark, d).groupBy("company", "area", "party").agg(F.sum("n").alias("n"))
-    totals = sums.groupBy("company", "area").agg(F.sum("n").alias("total"))
+    total = F.sum("n").over(Window.partitionBy("company", "area"))  # one row per party
     lift = F.lit(0.9) + F.substring("company", 2, 1).cast("int") / F.lit(16.0)
-    return sums.join(totals, ["company", "area"]).where(F.col("party") != "p5").select(
+    return sums.withColumn("total", total).where(F.col("party") != "p5").select(
         F.col("company").alias("scenario_id"), F.explode(F.array(F.lit("latest"), F.lit("again"))).alias("view_id"),
         F.col("area").alias("region_group"), "party", (pct(F.col("n"), F.col("total")) * lift).alias("pct"),
     )
@@ -464,7 +465,8 @@ def _changes(spark, d):
 
 @query
 def scenario_change(spark, d):
-    rows = _changes(spark, d).select("scenario_id", "view_id", "region_group", "region", F.inline("changes"))
+    kept = ["scenario_id", "view_id", "region_group", "region"]
+    rows = unpack(_changes(spark, d), kept, F.inline_outer("changes"), "party")
     return rows.withColumn("change_e9", scaled(F.col("change"), 1e9)).drop("change")
 
 
@@ -496,10 +498,10 @@ def _marked(spark, d):
 def _transfer_rules(spark, d):
     """Each company's poll shares as the way voters of p5, then p4, move on; c7 gives away too much."""
     sums = bridge.poll(spark, d).groupBy("company", "party").agg(F.sum("n").alias("n"))
-    totals = sums.groupBy("company").agg(F.sum("n").alias("total"))
+    total = F.sum("n").over(Window.partitionBy("company"))  # one row per party
     factor = F.when(F.col("company") == "c7", 200.0).otherwise(100.0)
     share = F.floor(F.try_divide(factor * F.col("n"), F.col("total"))).cast("int")
-    given = sums.join(totals, "company").where(F.col("party").isin("p1", "p2", "p3")).select(
+    given = sums.withColumn("total", total).where(F.col("party").isin("p1", "p2", "p3")).select(
         F.col("company").alias("scenario_id"), F.explode(F.array(F.lit("cur"), F.lit("prev"))).alias("election_id"),
         F.col("party").alias("party_to"), share.alias("pct"),
     )
@@ -702,8 +704,9 @@ def timeframe_calendar(spark, d):
 
 def _page_facts(spark, d):
     """Facts under page titles: documents of one source sit under the second title of their year."""
-    lines = bridge.text_table(spark, d, "documents", "doc_id").select(
-        "doc_id", "source", F.posexplode(F.split("text", "\n")).alias("pos", "event")
+    lines = unpack(
+        bridge.text_table(spark, d, "documents", "doc_id"), ["doc_id", "source"],
+        F.posexplode_outer(F.split("text", "\n")).alias("pos", "event"), "event",
     )
     placed = facts.with_timeframe(lines.select(
         "doc_id", "source", "pos", "event", (1 + (F.col("doc_id") * 3) % 4000).cast("int").alias("year"),

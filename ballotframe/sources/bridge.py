@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from ..functions.arrays import unpack
 from .inline import inline_table
 
 PARTIES = ["p1", "p2", "p3", "p4", "p5"]
@@ -254,7 +255,7 @@ def boundary(spark: SparkSession, sf_dir: str) -> DataFrame:
 def fact(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(fact_id, year, era, timeframe_type, event, source_page): one fact per line of every document."""
     documents = text_table(spark, sf_dir, "documents", "doc_id")
-    lines = documents.select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "event"))
+    lines = unpack(documents, ["doc_id"], F.posexplode_outer(F.split("text", "\n")).alias("pos", "event"), "event")
     return lines.select(
         (F.col("doc_id") * 100000 + F.col("pos")).alias("fact_id"),
         (1 + F.col("doc_id") % 2000).cast("int").alias("year"),

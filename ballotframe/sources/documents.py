@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.arrays import unpack
+
 SEAT_DOCUMENT = (
     "map<string, struct<"
     "seatInfo: struct<name: string, region: string, current: string, electorate: bigint, majority: bigint,"
@@ -24,8 +26,9 @@ def _read_text(spark: SparkSession, paths: str | list[str], lines: bool) -> Data
 def parse_documents(text: DataFrame, election_id: Column | str, col: str = "value") -> tuple[DataFrame, DataFrame]:
     """Splits seat documents into ``seat`` and ``result`` rows, parties in document order."""
     key = F.lit(election_id) if isinstance(election_id, str) else election_id
-    parsed = text.select(
-        key.alias("election_id"), F.explode(F.from_json(F.col(col), SEAT_DOCUMENT, _STRICT)).alias("seat", "doc")
+    parsed = unpack(
+        text, [key.alias("election_id")],
+        F.explode_outer(F.from_json(F.col(col), SEAT_DOCUMENT, _STRICT)).alias("seat", "doc"), "seat",
     )
     seats = parsed.select(
         "election_id", "seat",
@@ -36,8 +39,9 @@ def parse_documents(text: DataFrame, election_id: Column | str, col: str = "valu
         F.col("doc.seatInfo.majority").alias("majority_declared"),
         F.col("doc.seatInfo.byElection").alias("by_election"),
     )
-    results = parsed.select(
-        "election_id", "seat", F.posexplode(F.map_entries("doc.partyInfo")).alias("party_ord", "entry")
+    results = unpack(
+        parsed, ["election_id", "seat"],
+        F.posexplode_outer(F.map_entries("doc.partyInfo")).alias("party_ord", "entry"), "entry",
     ).select(
         "election_id", "seat",
         F.col("entry.key").alias("party"),
@@ -91,7 +95,9 @@ def write_results(packed: DataFrame, path: str, keys: list[str] | tuple[str, ...
 
 
 def parse_referendum(text: DataFrame, col: str = "value") -> DataFrame:
-    rows = text.select(F.explode(F.from_json(F.col(col), REFERENDUM_DOCUMENT, _STRICT)).alias("seat", "doc"))
+    rows = unpack(
+        text, [], F.explode_outer(F.from_json(F.col(col), REFERENDUM_DOCUMENT, _STRICT)).alias("seat", "doc"), "seat"
+    )
     return rows.select("seat", "doc.*")
 
 

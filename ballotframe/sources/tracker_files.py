@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.arrays import unpack
+
 from .dims import TRACKER_PARTIES
 
 LINES = [*TRACKER_PARTIES, "others"]
@@ -26,10 +28,10 @@ def parse_tracker(
         f" models: array<struct<date: string, {seats}>>>"
     )
     doc = text.select(F.from_json(F.col(col), schema, {"mode": "FAILFAST"}).alias("doc"))
-    polls = doc.select(F.posexplode("doc.polls").alias("seq", "p")).select("seq", "p.*").withColumn(
+    polls = unpack(doc, [], F.posexplode_outer("doc.polls").alias("seq", "p"), "p").select("seq", "p.*").withColumn(
         "date", F.make_date(F.col("date")[2], F.col("date")[1], F.col("date")[0])
     )
-    models = doc.select(F.explode("doc.models").alias("m")).select("m.*").withColumn(
+    models = unpack(doc, [], F.explode_outer("doc.models").alias("m"), "m").select("m.*").withColumn(
         "date", F.to_date("date", "MM/dd/yyyy")
     )
     points = polls.unpivot(["seq", "date", "company"], list(parties), "party", "pct")

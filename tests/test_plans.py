@@ -70,3 +70,11 @@ def test_packed_seats_are_shuffled_once_per_input(spark, sf_dir):
     alone = exchanges(marked) + exchanges(rules)
     # one to pack the seats, three to pack the rules, at most two for the join
     assert exchanges(standdown.redistribute(marked, rules)) <= alone + 6
+
+
+@pytest.mark.parametrize("name", ["project_inputs", "project_seats", "redistribute", "extract_facts", "challenge_build",
+                                  "seat_documents", "scenario_change"])
+def test_computed_arrays_are_not_computed_again_for_a_size_check(spark, sf_dir, name):
+    text = plan(QUERIES[name](spark, sf_dir))
+    checks = [line for line in text.splitlines() if re.search(r"(Filter|Join) .*size\((transform|filter|from_json|array_distinct)", line)]
+    assert checks == []
