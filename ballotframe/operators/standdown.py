@@ -77,33 +77,30 @@ def redistribute(
         F.sort_array(
             F.collect_list(
                 F.struct("party_ord", "party", F.col("votes").cast("double").alias("votes"),
-                         (F.col("standing") == 0).alias("absent"))
+                         F.coalesce(F.col("standing") == 0, F.lit(False)).alias("absent"))
             )
         ).alias("ballots"),
     )
     rows = spread_join(packed, _pack_rules(rules, rule_keys), shared, ["seat"], "left")
 
     def hand_on(state: Column, source: Column) -> Column:
-        leaving = F.filter(
-            state["parties"], lambda p: (p["party"] == source["party_from"]) & F.coalesce(p["absent"], F.lit(False))
-        )
-        given = F.try_element_at(leaving, F.lit(1))["votes"]
-
-        def receive(p: Column) -> Column:
-            share = F.try_element_at(source["gives"], p["party"])
-            votes = F.when(share.isNull(), p["votes"]).otherwise(
-                half_up(p["votes"] + share * given / F.lit(100.0)).cast("double")
-            )
-            return F.struct(
-                p["party_ord"].alias("party_ord"), p["party"].alias("party"), votes.alias("votes"), p["absent"].alias("absent")
-            )
-
-        stayed = F.filter(state["parties"], lambda p: p["party"] != source["party_from"])
-        after = F.struct(
-            F.transform(stayed, receive).alias("parties"),
-            half_up(state["turnout"] - given * source[NOT_VOTING] / F.lit(100.0)).cast("double").alias("turnout"),
-        )
-        return F.when(given.isNull(), state).otherwise(after)
+        leaving = F.filter(state["parties"], lambda p: p["absent"] & (p["party"] == source["party_from"]))
+
+        def after(gone: Column) -> Column:
+            def receive(p: Column) -> Column:
+                share = F.try_element_at(source["gives"], p["party"])
+                more = half_up(p["votes"] + share * gone["votes"] / F.lit(100.0)).cast("double")
+                return F.struct(
+                    p["party_ord"].alias("party_ord"), p["party"].alias("party"),
+                    F.coalesce(more, p["votes"]).alias("votes"), p["absent"].alias("absent"),
+                )
+
+            stayed = F.filter(state["parties"], lambda p: p["party"] != source["party_from"])
+            left = half_up(state["turnout"] - gone["votes"] * source[NOT_VOTING] / F.lit(100.0)).cast("double")
+            return F.struct(F.transform(stayed, receive).alias("parties"), left.alias("turnout"))
+
+        # a list of the one party that leaves, or of none: its votes are looked up once
+        return F.coalesce(F.try_element_at(F.transform(leaving, after), F.lit(1)), state)
 
     start = F.struct(F.col("ballots").alias("parties"), F.col("turnout").alias("turnout"))
     done = F.when(F.col("sources").isNull(), start).otherwise(F.aggregate(F.col("sources"), start, hand_on))
