@@ -209,7 +209,7 @@ VIEWS = {
     "points": """
         select code, company, fieldwork_date, k.party,
                floor(coalesce(100.0::double * case k.party when 'p1' then v1 when 'p2' then v2 when 'p3' then v3
-                                              else vr end / v_all, 0) * 10.0::double + 0.5::double) / 10.0::double as pct
+                                              else vr end / nullif(v_all, 0), 0) * 10.0::double + 0.5::double) / 10.0::double as pct
         from (select code, company, fieldwork_date, sum(v) as v_all,
                      sum(case when party = 'p1' then v end) as v1, sum(case when party = 'p2' then v end) as v2,
                      sum(case when party = 'p3' then v end) as v3,
