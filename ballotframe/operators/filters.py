@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numeric import pct
+from ..sources.dims import DEFAULT_VIEW, OWN_BASE_VIEW
 from .results import ELECTION, top_party
 from .spread import spread_join
 
@@ -108,9 +109,10 @@ def link_parameter(url: Column, name: str) -> Column:
     return F.lower(F.try_parse_url(url, F.lit("QUERY"), F.lit(name)))
 
 
-def parse_links(links: DataFrame) -> DataFrame:
+def parse_links(links: DataFrame, default_view: str = DEFAULT_VIEW) -> DataFrame:
     """Filter specs from link parameters: (link_id, url) -> one spec row per link.
 
+    A link that names no map means ``default_view``.
     Bounds that are no number fall back to 0, and to 100 for filters or 10 for battlegrounds.
     """
     url = F.col("url")
@@ -124,7 +126,7 @@ def parse_links(links: DataFrame) -> DataFrame:
     challenger = link_parameter(url, "challenger")
     return links.select(
         "link_id",
-        F.try_parse_url(url, F.lit("QUERY"), F.lit("map")).alias("view_id"),
+        F.coalesce(F.try_parse_url(url, F.lit("QUERY"), F.lit("map")), F.lit(default_view)).alias("view_id"),
         link_parameter(url, "incumbent").alias("incumbent"),
         challenger.alias("challenger"),
         link_parameter(url, "region").alias("region"),
@@ -172,11 +174,11 @@ def match_views(specs: DataFrame, seats: DataFrame, groups: DataFrame) -> DataFr
 
 
 def match_battlegrounds(
-    specs: DataFrame, base: DataFrame, seats: DataFrame, groups: DataFrame, votes: str = "prev_votes"
+    specs: DataFrame, pair: DataFrame, seats: DataFrame, groups: DataFrame, own_base: Sequence[str] = (OWN_BASE_VIEW,)
 ) -> DataFrame:
     """(link_id, seat) for every link that names an incumbent and a different challenger.
 
-    ``base`` is an election pair; ``votes`` names the side the lead is taken from.
+    Leads are those of the previous election; of the current one for views in ``own_base``.
     """
     asked = specs.where(F.col("challenger").isNotNull() & (F.col("challenger") != F.col("incumbent")))
     everywhere = asked.where(F.col("region").isNull()).withColumn("region", F.lit("*"))
@@ -187,12 +189,14 @@ def match_battlegrounds(
         F.greatest(F.col("lo"), F.lit(0.0)).alias("lo"), F.least(F.col("hi"), F.lit(100.0)).alias("hi"),
     )
     seat = Window.partitionBy("view_id", "seat")
+    votes = F.when(F.col("view_id").isin(list(own_base)), F.col("votes")).otherwise(F.col("prev_votes"))
     leads = (
-        base.where(F.col(votes).isNotNull())
-        .withColumn("top", top_party(votes).over(seat))
-        .withColumn("turnout", F.sum(votes).over(seat))
+        pair.withColumn("base_votes", votes)
+        .where(F.col("base_votes").isNotNull())
+        .withColumn("top", top_party("base_votes").over(seat))
+        .withColumn("turnout", F.sum("base_votes").over(seat))
         .select("view_id", "seat", F.lower("top.party").alias("incumbent"), F.lower("party").alias("challenger"),
-                pct(F.col("top.votes") - F.col(votes), F.col("turnout")).alias("lead_pct"))
+                pct(F.col("top.votes") - F.col("base_votes"), F.col("turnout")).alias("lead_pct"))
         .join(seats.select("seat", F.lower("region").alias("region")), "seat")
         .withColumn("k_region", F.explode(F.array("region", F.lit("*"))))
     )
