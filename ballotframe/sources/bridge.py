@@ -7,8 +7,6 @@ pollsters and players, document lines are facts.
 
 from __future__ import annotations
 
-from functools import cache
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -19,15 +17,16 @@ from .inline import inline_table
 PARTIES = ["p1", "p2", "p3", "p4", "p5"]
 
 
-@cache
-def _schema(application: str, path: str) -> StructType:
-    """Schema of a table, read from its footer once per application."""
-    return SparkSession.getActiveSession().read.parquet(path).schema
+_schemas: dict[tuple[str, str], StructType] = {}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table by name; its schema is read from the footer once per application."""
     path = f"{sf_dir}/{name}.parquet"
-    return spark.read.schema(_schema(spark.sparkContext.applicationId, path)).parquet(path)
+    key = (spark.sparkContext.applicationId, path)
+    if key not in _schemas:
+        _schemas[key] = spark.read.parquet(path).schema
+    return spark.read.schema(_schemas[key]).parquet(path)
 
 
 def text_table(spark: SparkSession, sf_dir: str, name: str, *keys: str) -> DataFrame:
