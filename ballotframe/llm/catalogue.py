@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import brown_lm, simhash_vp
+from . import block_ann, brown_lm, chat_fsm, ffd_packing, line_rules, pii_crf, simhash_vp
 from .shared import id_remainder, table
 
 
@@ -19,9 +20,34 @@ def op3_simhash_vp(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_vp.fingerprint_components(table(spark, sf_dir, "documents"))
 
 
+def op4_chat_fsm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat_fsm.conversation_digests(chat_fsm.with_probe(table(spark, sf_dir, "conversations")))
+
+
+def op7_ffd_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ffd_packing.pack_documents(table(spark, sf_dir, "documents"))
+
+
+def op8_block_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return block_ann.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
+def op9_line_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_rules.judge_documents(table(spark, sf_dir, "documents")).drop("key", "common")
+
+
+def op10_pii_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii_crf.span_digests(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_brown_lm": op1_brown_lm,
     "op3_simhash_vp": op3_simhash_vp,
+    "op4_chat_fsm": op4_chat_fsm,
+    "op7_ffd_packing": op7_ffd_packing,
+    "op8_block_ann": op8_block_ann,
+    "op9_line_rules": op9_line_rules,
+    "op10_pii_crf": op10_pii_crf,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op4_chat_fsm": chat_fsm.ORACLE, "op8_block_ann": block_ann.ORACLE}
