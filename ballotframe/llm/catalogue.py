@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import block_ann, brown_lm, chat_fsm, ffd_packing, line_rules, pii_crf, simhash_vp
+from . import block_ann, brown_lm, chat_fsm, ffd_packing, line_rules, mincut_html, pii_crf, simhash_vp, toxicity_gbt
 from .shared import id_remainder, table
 
 
@@ -24,6 +24,18 @@ def op4_chat_fsm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_fsm.conversation_digests(chat_fsm.with_probe(table(spark, sf_dir, "conversations")))
 
 
+def op5_mincut_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = mincut_html.extract_text(table(spark, sf_dir, "pages"))
+    return pages.withColumn("n_chars", F.char_length("text").cast("long"))
+
+
+def op6_toxicity_gbt(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    scored = toxicity_gbt.score_documents(docs, labels, id_remainder(5) != 0)
+    held_out = (id_remainder(5) == 0).alias("held_out")
+    return scored.select("doc_id", held_out, "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op7_ffd_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ffd_packing.pack_documents(table(spark, sf_dir, "documents"))
 
@@ -44,6 +56,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_brown_lm": op1_brown_lm,
     "op3_simhash_vp": op3_simhash_vp,
     "op4_chat_fsm": op4_chat_fsm,
+    "op5_mincut_html": op5_mincut_html,
+    "op6_toxicity_gbt": op6_toxicity_gbt,
     "op7_ffd_packing": op7_ffd_packing,
     "op8_block_ann": op8_block_ann,
     "op9_line_rules": op9_line_rules,
