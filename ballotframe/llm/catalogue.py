@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import block_ann, brown_lm, chat_fsm, ffd_packing, line_rules, mincut_html, pii_crf, simhash_vp, toxicity_gbt
+from . import block_ann, brown_lm, chat_fsm, ffd_packing, line_rules, mincut_html, pii_crf, piece_sampling, simhash_vp, toxicity_gbt
 from .shared import id_remainder, table
 
 
@@ -16,6 +16,11 @@ def op1_brown_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return brown_lm.score_documents(docs, held_out=id_remainder(7) == 2)
 
 
+def op2_piece_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    samples = piece_sampling.sample_segmentations(table(spark, sf_dir, "documents"))
+    return samples.withColumn("ids_crc32", F.crc32("ids")).drop("ids")
+
+
 def op3_simhash_vp(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_vp.fingerprint_components(table(spark, sf_dir, "documents"))
 
@@ -54,6 +59,7 @@ def op10_pii_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_brown_lm": op1_brown_lm,
+    "op2_piece_sampling": op2_piece_sampling,
     "op3_simhash_vp": op3_simhash_vp,
     "op4_chat_fsm": op4_chat_fsm,
     "op5_mincut_html": op5_mincut_html,

@@ -18,12 +18,13 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import product
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import component_stars
@@ -36,25 +37,37 @@ PAIRS_AT_ONCE = 4_000_000
 
 @dataclass(frozen=True)
 class SimHashParams:
-    """``shingle``: words of a shingle, 0 for the set of distinct words; ``seeds``: one fingerprint for each,
-    linked if one of them links; ``radius``: differing bits; ``leaf``: fingerprints wanted in a shard;
+    """``shingle``: words of a shingle, 0 for the set of distinct words; ``prints``: fingerprints of a text, from
+    different hashes of the features; texts are linked if one of them links; ``radius``: differing bits; ``leaf``: fingerprints wanted in a shard;
     ``sample``: fingerprints a tree is fitted on, at most; ``chunk``: fingerprints of a shard in one task."""
 
     shingle: int = 3
-    seeds: tuple[int, ...] = (42,)
+    seed: int = 42
+    prints: int = 1
     radius: int = 3
     leaf: int = 1_024
     sample: int = 32_768
     chunk: int = 100_000
 
 
-def fingerprint(features: list[bytes], seed: int) -> int:
-    """A bit is one if it is set in more than half of the features' XXH64; zero without features."""
-    ones = np.zeros(64, np.int64)
-    for k in range(0, len(features), SHINGLES_AT_ONCE):
-        hashes = np.array([xxhash.xxh64_intdigest(s, seed) for s in features[k : k + SHINGLES_AT_ONCE]], "<u8")
-        ones += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-    return int(np.packbits(2 * ones > len(features), bitorder="little").view("<i8")[0])
+def rehashed(hashes: np.ndarray, k: int) -> np.ndarray:
+    """Other hashes of the same features; for k = 0 the hashes themselves."""
+    if k == 0:
+        return hashes
+    x = (hashes ^ np.uint64(k)) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(29))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(32))
+
+
+def fingerprints_of(features: list[bytes], seed: int, prints: int = 1) -> list[int]:
+    """A bit is one if it is set in more than half of the features' hashes (XXH64); zero without features."""
+    ones = np.zeros((prints, 64), np.int64)
+    for at in range(0, len(features), SHINGLES_AT_ONCE):
+        hashes = np.array([xxhash.xxh64_intdigest(s, seed) for s in features[at : at + SHINGLES_AT_ONCE]], "<u8")
+        for k in range(prints):
+            bits = np.unpackbits(rehashed(hashes, k).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+            ones[k] += bits.sum(0, dtype=np.int64)
+    return np.packbits(2 * ones > len(features), axis=1, bitorder="little").view("<i8").ravel().tolist()
 
 
 def features_of(text: str, shingle: int) -> list[bytes]:
@@ -74,7 +87,7 @@ def fingerprints(docs: DataFrame, params: SimHashParams) -> DataFrame:
             rows = []
             for text in batch.column("text"):
                 features = features_of(text.as_py(), params.shingle)
-                rows.append([fingerprint(features, s) for s in params.seeds])
+                rows.append(fingerprints_of(features, params.seed, params.prints))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(rows, pa.list_(pa.int64()))], names=["doc_id", "fps"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
@@ -188,42 +201,52 @@ def join_within(fps: np.ndarray, data: np.ndarray, asked: np.ndarray, half: int,
 def close_links(points: DataFrame, params: SimHashParams) -> DataFrame:
     """(a, b), a > b: a spanning forest of the links between fingerprints at most ``radius`` bits apart.
 
-    ``points``: (fp, node), fingerprints distinct, stored.
+    ``points``: (print, fp, node), stored, each fingerprint once; only fingerprints of one ``print`` are compared.
     """
     spark, reach = points.sparkSession, params.radius // 2
-    n = points.count()
+    n = points.count() // params.prints
     share = min(1.0, params.sample / max(n, 1))
-    near_start = F.pmod(F.xxhash64("fp"), F.lit(1 << 20)) < F.lit(int(share * (1 << 20)) + 1)
-    sample = np.array([r.fp for r in points.where(near_start).select("fp").collect()], np.int64)
-    trees = [build_tree(halves(sample, h), n / max(len(sample), 1), params.leaf, reach)[0] for h in range(2)]
+    chosen = F.pmod(F.xxhash64("fp"), F.lit(1 << 20)) < F.lit(int(share * (1 << 20)) + 1)
+    sample: list[list[int]] = [[] for _ in range(params.prints)]
+    for r in points.where(chosen).select("print", "fp").collect():
+        sample[r["print"]].append(r.fp)
+    trees = []
+    for own in sample:
+        weight = n / max(len(own), 1)
+        trees.append([build_tree(halves(np.array(own, np.int64), h), weight, params.leaf, reach)[0] for h in range(2)])
     sent = spark.sparkContext.broadcast(trees)
-    schema = pa.schema([("half", pa.int32()), ("leaf", pa.int32()), ("asks", pa.bool_()), ("fp", pa.int64()), ("node", pa.int64())])
+    kinds = [("print", pa.int32()), ("half", pa.int32()), ("leaf", pa.int32()), ("asks", pa.bool_()), ("fp", pa.int64()), ("node", pa.int64())]
+    schema = pa.schema(kinds)
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fps, nodes = (batch.column(k).to_numpy() for k in ("fp", "node"))
-            for half in range(2):
-                values = halves(fps, half)
+            prints, fps, nodes = (batch.column(k).to_numpy() for k in ("print", "fp", "node"))
+            for k, half in product(range(params.prints), range(2)):
+                values, own = halves(fps, half), np.flatnonzero(prints == k)
                 for asks in (False, True):
                     met: list[tuple[int, np.ndarray]] = []
-                    route(sent.value[half], values, np.arange(len(fps)), reach if asks else 0, met)
-                    for leaf, rows in met:
-                        k = len(rows)
-                        columns = [np.full(k, half, np.int32), np.full(k, leaf, np.int32), np.full(k, asks), fps[rows], nodes[rows]]
-                        yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], schema=schema)
-
-    sent_rows = stored(points.select("fp", "node").mapInArrow(send, "half int, leaf int, asks boolean, fp long, node long"))
-    sizes = sent_rows.groupBy("half", "leaf").agg(F.count_if("asks").alias("asking"), F.count_if(~F.col("asks")).alias("held"))
-    sizes = sizes.select("half", "leaf", *(F.ceil(F.col(k) / params.chunk).cast("int").alias(f"{k}_chunks") for k in ("asking", "held")))
-    # one row for each leaf of two trees that a bounded sample was grown to
-    cut = sent_rows.join(F.broadcast(sizes), ["half", "leaf"])
+                    route(sent.value[k][half], values, own, reach if asks else 0, met)
+                    if not met:
+                        continue
+                    leaf = np.concatenate([np.full(len(rows), leaf, np.int32) for leaf, rows in met])
+                    rows = np.concatenate([rows for _, rows in met])
+                    same = [np.full(len(rows), x, np.int32) for x in (k, half)]
+                    columns = [*same, leaf, np.full(len(rows), asks), fps[rows], nodes[rows]]
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], schema=schema)
+
+    leaf = ["print", "half", "leaf"]
+    sent_rows = stored(points.select("print", "fp", "node").mapInArrow(send, "print int, half int, leaf int, asks boolean, fp long, node long"))
+    sizes = sent_rows.groupBy(leaf).agg(F.count_if("asks").alias("asking"), F.count_if(~F.col("asks")).alias("held"))
+    sizes = sizes.select(*leaf, *(F.ceil(F.col(k) / params.chunk).cast("int").alias(f"{k}_chunks") for k in ("asking", "held")))
+    # one row for each leaf of trees that a bounded sample was grown to
+    cut = sent_rows.join(F.broadcast(sizes), leaf)
     own, other = F.col("asking_chunks"), F.col("held_chunks")
     at = F.xxhash64("fp")
     cells = F.when(
         F.col("asks"), F.transform(F.sequence(F.lit(0), other - 1), lambda k: F.struct(F.pmod(at, own).cast("int").alias("q"), k.alias("d")))
     ).otherwise(F.transform(F.sequence(F.lit(0), own - 1), lambda k: F.struct(k.alias("q"), F.pmod(at, other).cast("int").alias("d"))))
     cut = cut.where((own > 0) & (other > 0)).withColumn("cell", F.explode(cells))
-    cut = cut.select("half", "leaf", F.col("cell.q").alias("q"), F.col("cell.d").alias("d"), "asks", "fp", "node")
+    cut = cut.select(*leaf, F.col("cell.q").alias("q"), F.col("cell.d").alias("d"), "asks", "fp", "node")
     radius = params.radius
 
     def pairs(group: pd.DataFrame) -> pd.DataFrame:
@@ -237,7 +260,7 @@ def close_links(points: DataFrame, params: SimHashParams) -> DataFrame:
         least = least[roots]
         return pd.DataFrame({"a": nodes[nodes != least], "b": least[nodes != least]})
 
-    return cut.groupBy("half", "leaf", "q", "d").applyInPandas(pairs, "a long, b long")
+    return cut.groupBy(*leaf, "q", "d").applyInPandas(pairs, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, params: SimHashParams | None = None) -> DataFrame:
@@ -245,16 +268,13 @@ def near_duplicates(docs: DataFrame, params: SimHashParams | None = None) -> Dat
     params = params or SimHashParams()
     prints = stored(fingerprints(docs, params))
     nodes = stored(prints.where("doc_id IS NOT NULL").groupBy("fps").agg(F.min("doc_id").alias("node")))
-    edges = None
-    for k in range(len(params.seeds)):
-        points = nodes.select(F.col("fps")[k].alias("fp"), "node")
-        if len(params.seeds) > 1:
-            least = stored(points.groupBy("fp").agg(F.min("node").alias("least")))
-            same = points.join(least, "fp").where("node > least").select(F.col("node").alias("a"), F.col("least").alias("b"))
-            points = least.withColumnRenamed("least", "node")
-            edges = same if edges is None else edges.unionByName(same)
-        links = close_links(points, params)
-        edges = links if edges is None else edges.unionByName(links)
+    every = nodes.select(F.posexplode("fps").alias("print", "fp"), "node")
+    points = stored(every.groupBy("print", "fp").agg(F.min("node").alias("node")))
+    edges = close_links(points, params)
+    if params.prints > 1:
+        least = points.withColumnRenamed("node", "least")
+        same = every.join(least, ["print", "fp"]).where("node > least").select(F.col("node").alias("a"), F.col("least").alias("b"))
+        edges = edges.unionByName(same)
     stars = component_stars(edges)
     labels = nodes.join(stars.select(F.col("a").alias("node"), "b"), "node", "left").select("fps", F.coalesce("b", "node").alias("least"))
     return prints.join(labels, "fps", "left").select(
@@ -262,6 +282,19 @@ def near_duplicates(docs: DataFrame, params: SimHashParams | None = None) -> Dat
     )
 
 
+#: For removing near copies: near copies share most of their words, so fingerprints of the word set stay close when
+#: shingles do not; eight of them catch nearly all texts whose five-word shingles are similar to 0.8 or more.
+NEAR_COPIES = SimHashParams(shingle=0, prints=8)
+
+
+def one_of_each(docs: DataFrame, params: SimHashParams = NEAR_COPIES) -> DataFrame:
+    """The rows of ``docs`` whose doc_id is the smallest of their component, one of each; rows without doc_id stay."""
+    stay = near_duplicates(docs, params).where("doc_id = component_id").select(F.col("doc_id").alias("__id")).distinct()
+    number = F.row_number().over(Window.partitionBy("__id").orderBy(F.xxhash64(*docs.columns)))
+    named = docs.where("doc_id IS NOT NULL").withColumn("__id", F.col("doc_id").cast("long")).join(stay, "__id", "left_semi")
+    return named.withColumn("__n", number).where("__n = 1").select(*docs.columns).unionByName(docs.where("doc_id IS NULL"))
+
+
 def fingerprint_components(docs: DataFrame, params: SimHashParams | None = None) -> DataFrame:
     """(doc_id, fingerprint, component_id): the fingerprint in 16 hexadecimal digits."""
     return near_duplicates(docs, params).select("doc_id", F.lower(F.lpad(F.hex(F.col("fps")[0]), 16, "0")).alias("fingerprint"), "component_id")
