@@ -57,9 +57,8 @@ def first_sentences(col: Column, n: int = 2) -> Column:
 
     A sentence ends at ``.``, ``!`` or ``?`` followed by space and a capital A-Z.
     """
-    # found by the full stop, then checked backwards: stops are rarer than word starts
-    marked = rf"\.(?<={_START}(?:{'|'.join(ABBREVIATIONS)})\.){_SPACE}"
-    text = F.regexp_replace(col, marked, f"{_SHIELD} ")
+    marked = rf"{_START}({'|'.join(ABBREVIATIONS)})\.{_SPACE}"
+    text = F.regexp_replace(col, marked, f"$1{_SHIELD} ")
     text = F.regexp_replace(text, rf"([.!?]){_SPACE_RUN}([A-Z])", f"$1{_CUT}$2")
     text = F.array_join(F.slice(F.split(text, _CUT), 1, n), " ")
     text = F.regexp_replace(text, rf"{_START}C(?=a?{_SHIELD})", "c")
@@ -95,14 +94,15 @@ def with_clean_fact(df: DataFrame, event: str, year: Column, out: str, window: i
         done = rule(text)
         return rows.withColumn(out, done if needs is None else F.when(text.contains(needs), done).otherwise(text))
 
-    circa = rf"^(?:[Cc]\.{_SPACE_RUN}|[Cc]a\.{_SPACE_RUN}|[Cc]irca{_SPACE_RUN})[—–-]?(?:{_SPACE_RUN})?"
+    # The patterns of the cleaning rules.
+    circa = rf"^(?:[Cc]\.{_SPACE_RUN}|[Cc]a\.{_SPACE_RUN}|[Cc]irca{_SPACE_RUN})[—–-]?{_SPACE}*"
     rows = df.withColumn(out, F.regexp_replace(strip(F.col(event)), circa, ""))
     rows = step(rows, lambda t: F.regexp_replace(t, r"\[[0-9]+\]", ""), "[")
     rows = step(rows, lambda t: first_sentences(F.regexp_replace(t, r"\n+", " "), 2))
     century = rf"(?i){_START}[0-9]+(?:st|nd|rd|th){_SPACE_RUN}century{_END}"
     rows = rows.withColumn("_digits", F.col(out).rlike("[0-9]"))
     rows = rows.withColumn(out, F.when(F.col("_digits"), F.regexp_replace(out, century, "")).otherwise(F.col(out)))
-    rows = step(rows, lambda t: F.regexp_replace(t, rf"(?i)[abc](?:d|ce?|e){_END}(?<={_START}(?:{'|'.join(ERA_WORDS)}))", ""))
+    rows = step(rows, lambda t: F.regexp_replace(t, rf"(?i){_START}(?:{'|'.join(ERA_WORDS)}){_END}", ""))
     rows = rows.withColumn(
         out, F.when(F.col("_digits"), mark_near_years(F.col(out), year, window)).otherwise(F.col(out))
     ).drop("_digits")
@@ -113,8 +113,8 @@ def with_clean_fact(df: DataFrame, event: str, year: Column, out: str, window: i
         (rf"{_START}YYYY{_END}", ""),
     ]), "YYYY")
     rows = step(rows, lambda t: _replace_all(t, [
-        (rf"\((?:{_SPACE_RUN})?[,.]?(?:{_SPACE_RUN})?\)", ""),
-        (rf"\((?:{_SPACE_RUN})?{_WORD}*(?:{_SPACE_RUN})?\)", ""),
+        (rf"\({_SPACE}*[,.]?{_SPACE}*\)", ""),
+        (rf"\({_SPACE}*{_WORD}*{_SPACE}*\)", ""),
     ]), "(")
     rows = step(rows, lambda t: _replace_all(t, [
         (rf"{_SPACE}{{2,}}", " "),

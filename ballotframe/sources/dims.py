@@ -179,65 +179,302 @@ CARD_RACES = ["", "BEAST", "ELEMENTAL", "MECHANICAL", "PIRATE", "DEMON", "DRAGON
 COST_BUCKETS = ["0", "1", "2", "3", "4", "5", "6", "7plus"]
 STANDARD_SETS = ["EXPERT1", "OG", "GANGS", "KARA", "CORE", "UNGORO"]
 
-# What each poll area covers, unless a pollster draws it differently.
-_NORTH = ["northeastengland", "northwestengland", "yorkshireandthehumber"]
-_MIDLANDS = ["eastmidlands", "westmidlands"]
-_SOUTH = ["southeastengland", "southwestengland", "eastofengland"]
-AREA_REGIONS = {
-    "All": [*ENGLAND, "scotland", "wales"],
-    "England": ENGLAND, "Scotland": ["scotland"], "Wales": ["wales"], "Northern Ireland": ["northernireland"],
-    "London": ["london"], "North": _NORTH, "North England": _NORTH, "Midlands": _MIDLANDS,
-    "South": _SOUTH, "Rest of South": _SOUTH, "Midlands and Wales": [*_MIDLANDS, "wales"],
-    "East Midlands": ["eastmidlands"], "West Midlands": ["westmidlands"],
-    "South East": ["southeastengland"], "South West": ["southwestengland"],
-    "South East England": ["southeastengland"], "South West England": ["southwestengland"],
-    "North East": ["northeastengland"], "North West": ["northwestengland"],
-    "North East England": ["northeastengland"], "North West England": ["northwestengland"],
-    "Yorkshire": ["yorkshireandthehumber"], "Yorks and Humber": ["yorkshireandthehumber"],
-    "Yorkshire and Humber": ["yorkshireandthehumber"], "East": ["eastofengland"],
-    "Eastern": ["eastofengland"], "East Anglia": ["eastofengland"], "East of England": ["eastofengland"],
-}
-
-# The areas each pollster reports, as named layouts plus extras.
-_NATIONS = ["Scotland", "Wales"]
-_INNER = [*_NATIONS, "East Midlands", "West Midlands", "London"]
-_SHORT = [*_INNER, "South East", "South West", "North East", "North West"]
-_LONG = [*_INNER, "South East England", "South West England", "North East England", "North West England"]
-_FIVE = [*_NATIONS, "North", "Midlands", "South"]
-_SIX = [*_FIVE, "London"]
+# The areas each pollster reports, with the regions each covers.
 POLLSTER_AREAS = {
-    "me": ["Northern Ireland", "England", *_LONG, "Yorkshire and Humber", "East of England"],
-    "general": ["All"], "icmmissing": ["All"], "opiniummissing": ["All"],
-    "icm": _FIVE, "icm2": _FIVE, "comresdm": _FIVE,
-    "icm3": [*_NATIONS, "South East", "South West", "Midlands", "North England"],
-    "mori": _SIX, "opinium2": _SIX, "yougov2": _SIX, "survation": [*_SIX, "England"],
-    "yougov": ["London", "Rest of South", "Midlands and Wales", "North England", "Scotland"],
-    "deltapoll": [*_NATIONS, "London", "Rest of South", "Midlands", "North"],
-    "opinium": ["England", *_NATIONS], "yougov3": ["England", *_NATIONS],
-    "yougovall": [*_SHORT, "Yorkshire", "East"], "yougovregional": [*_SHORT, "Yorkshire", "East"],
-    "panelbase": [*_SHORT, "Yorkshire", "East Anglia"],
-    "gfk": [*_SHORT, "Yorkshire and Humber", "East of England"],
-    "survationall": [*_SHORT, "Yorkshire and Humber", "East"],
-    "orb": [*_SHORT, "Yorks and Humber", "Eastern"], "redfield": [*_SHORT, "Yorks and Humber", "Eastern"],
-    "whitestone": [*_SHORT, "Yorks and Humber", "Eastern"],
-    "bmg": [*_LONG, "Yorkshire and Humber", "East of England"],
-    "comres": [*_LONG, "Yorkshire and Humber", "East of England", "Eastern"],
-    "ashcroft": [
-        *_INNER, "South East England", "South West England", "North East", "North West",
-        "Yorkshire and Humber", "East of England",
-    ],
-    "survationscotland": ["Scotland"], "panelbasescotland": ["Scotland"], "yougovscotland": ["Scotland"],
-    "yougovwales": ["Wales"], "yougovlondon": ["London"], "lucidtalk": ["Northern Ireland"],
-}
-
-# Pollsters that draw an area differently.
-_WIDE_MIDLANDS = [*_MIDLANDS, "eastofengland"]
-_SOUTH_AND_LONDON = ["southeastengland", "southwestengland", "london"]
-AREA_EXCEPTIONS = {
-    **{(c, "Midlands"): _WIDE_MIDLANDS for c in ("icm", "icm2", "comresdm", "mori")},
-    **{(c, "South"): _SOUTH_AND_LONDON for c in ("icm", "icm2", "comresdm")},
-    ("mori", "South"): ["southeastengland", "southwestengland"],
-    ("icm3", "South East"): ["southeastengland", "london", "eastofengland"],
+    "me": {
+        "Northern Ireland": ["northernireland"],
+        "England": [
+            "northeastengland", "northwestengland", "yorkshireandthehumber", "southeastengland", "southwestengland",
+            "eastofengland", "eastmidlands", "westmidlands", "london",
+        ],
+        "Scotland": ["scotland"],
+        "Wales": ["wales"],
+        "East Midlands": ["eastmidlands"],
+        "West Midlands": ["westmidlands"],
+        "London": ["london"],
+        "South East England": ["southeastengland"],
+        "South West England": ["southwestengland"],
+        "North East England": ["northeastengland"],
+        "North West England": ["northwestengland"],
+        "Yorkshire and Humber": ["yorkshireandthehumber"],
+        "East of England": ["eastofengland"],
+    },
+    "general": {
+        "All": [
+            "northeastengland", "northwestengland", "yorkshireandthehumber", "southeastengland", "southwestengland", "eastofengland",
+            "eastmidlands", "westmidlands", "london", "scotland", "wales",
+        ],
+    },
+    "icmmissing": {
+        "All": [
+            "northeastengland", "northwestengland", "yorkshireandthehumber", "southeastengland", "southwestengland", "eastofengland",
+            "eastmidlands", "westmidlands", "london", "scotland", "wales",
+        ],
+    },
+    "opiniummissing": {
+        "All": [
+            "northeastengland", "northwestengland", "yorkshireandthehumber", "southeastengland", "southwestengland", "eastofengland",
+            "eastmidlands", "westmidlands", "london", "scotland", "wales",
+        ],
+    },
+    "icm": {
+        "Scotland": ["scotland"],
+        "Wales": ["wales"],
+        "North": ["northeastengland", "northwestengland", "yorkshireandthehumber"],
+        "Midlands": ["eastmidlands", "westmidlands", "eastofengland"],
+        "South": ["southeastengland", "southwestengland", "london"],
+    },
+    "icm2": {
+        "Scotland": ["scotland"],
+        "Wales": ["wales"],
+        "North": ["northeastengland", "northwestengland", "yorkshireandthehumber"],
+        "Midlands": ["eastmidlands", "westmidlands", "eastofengland"],
+        "South": ["southeastengland", "southwestengland", "london"],
+    },
+    "comresdm": {
+        "Scotland": ["scotland"],
+        "Wales": ["wales"],
+        "North": ["northeastengland", "northwestengland", "yorkshireandthehumber"],
+        "Midlands": ["eastmidlands", "westmidlands", "eastofengland"],
+        "South": ["southeastengland", "southwestengland", "london"],
+    },
+    "icm3": {
+        "Scotland": ["scotland"],
+        "Wales": ["wales"],
+        "South East": ["southeastengland", "london", "eastofengland"],
+        "South West": ["southwestengland"],
+        "Midlands": ["eastmidlands", "westmidlands"],
+        "North England": ["northeastengland", "northwestengland", "yorkshireandthehumber"],
+    },
+    "mori": {
+        "Scotland": ["scotland"],
+        "Wales": ["wales"],
+        "North": ["northeastengland", "northwestengland", "yorkshireandthehumber"],
+        "Midlands": ["eastmidlands", "westmidlands", "eastofengland"],
+        "South": ["southeastengland", "southwestengland"],
+        "London": ["london"],
+    },
+    "opinium2": {
+        "Scotland": ["scotland"],
+        "Wales": ["wales"],
+        "North": ["northeastengland", "northwestengland", "yorkshireandthehumber"],
+        "Midlands": ["eastmidlands", "westmidlands"],
+        "South": ["southeastengland", "southwestengland", "eastofengland"],
+        "London": ["london"],
+    },
+    "yougov2": {
+        "Scotland": ["scotland"],
+        "Wales": ["wales"],
+        "North": ["northeastengland", "northwestengland", "yorkshireandthehumber"],
+        "Midlands": ["eastmidlands", "westmidlands"],
+        "South": ["southeastengland", "southwestengland", "eastofengland"],
+        "London": ["london"],
+    },
+    "survation": {
+        "Scotland": ["scotland"],
+        "Wales": ["wales"],
+        "North": ["northeastengland", "northwestengland", "yorkshireandthehumber"],
+        "Midlands": ["eastmidlands", "westmidlands"],
+        "South": ["southeastengland", "southwestengland", "eastofengland"],
+        "London": ["london"],
+        "England": [
+            "northeastengland", "northwestengland", "yorkshireandthehumber", "southeastengland", "southwestengland",
+            "eastofengland", "eastmidlands", "westmidlands", "london",
+        ],
+    },
+    "yougov": {
+        "London": ["london"],
+        "Rest of South": ["southeastengland", "southwestengland", "eastofengland"],
+        "Midlands and Wales": ["eastmidlands", "westmidlands", "wales"],
+        "North England": ["northeastengland", "northwestengland", "yorkshireandthehumber"],
+        "Scotland": ["scotland"],
+    },
+    "deltapoll": {
+        "Scotland": ["scotland"],
+        "Wales": ["wales"],
+        "London": ["london"],
+        "Rest of South": ["southeastengland", "southwestengland", "eastofengland"],
+        "Midlands": ["eastmidlands", "westmidlands"],
+        "North": ["northeastengland", "northwestengland", "yorkshireandthehumber"],
+    },
+    "opinium": {
+        "England": [
+            "northeastengland", "northwestengland", "yorkshireandthehumber", "southeastengland", "southwestengland",
+            "eastofengland", "eastmidlands", "westmidlands", "london",
+        ],
+        "Scotland": ["scotland"],
+        "Wales": ["wales"],
+    },
+    "yougov3": {
+        "England": [
+            "northeastengland", "northwestengland", "yorkshireandthehumber", "southeastengland", "southwestengland",
+            "eastofengland", "eastmidlands", "westmidlands", "london",
+        ],
+        "Scotland": ["scotland"],
+        "Wales": ["wales"],
+    },
+    "yougovall": {
+        "Scotland": ["scotland"],
+        "Wales": ["wales"],
+        "East Midlands": ["eastmidlands"],
+        "West Midlands": ["westmidlands"],
+        "London": ["london"],
+        "South East": ["southeastengland"],
+        "South West": ["southwestengland"],
+        "North East": ["northeastengland"],
+        "North West": ["northwestengland"],
+        "Yorkshire": ["yorkshireandthehumber"],
+        "East": ["eastofengland"],
+    },
+    "yougovregional": {
+        "Scotland": ["scotland"],
+        "Wales": ["wales"],
+        "East Midlands": ["eastmidlands"],
+        "West Midlands": ["westmidlands"],
+        "London": ["london"],
+        "South East": ["southeastengland"],
+        "South West": ["southwestengland"],
+        "North East": ["northeastengland"],
+        "North West": ["northwestengland"],
+        "Yorkshire": ["yorkshireandthehumber"],
+        "East": ["eastofengland"],
+    },
+    "panelbase": {
+        "Scotland": ["scotland"],
+        "Wales": ["wales"],
+        "East Midlands": ["eastmidlands"],
+        "West Midlands": ["westmidlands"],
+        "London": ["london"],
+        "South East": ["southeastengland"],
+        "South West": ["southwestengland"],
+        "North East": ["northeastengland"],
+        "North West": ["northwestengland"],
+        "Yorkshire": ["yorkshireandthehumber"],
+        "East Anglia": ["eastofengland"],
+    },
+    "gfk": {
+        "Scotland": ["scotland"],
+        "Wales": ["wales"],
+        "East Midlands": ["eastmidlands"],
+        "West Midlands": ["westmidlands"],
+        "London": ["london"],
+        "South East": ["southeastengland"],
+        "South West": ["southwestengland"],
+        "North East": ["northeastengland"],
+        "North West": ["northwestengland"],
+        "Yorkshire and Humber": ["yorkshireandthehumber"],
+        "East of England": ["eastofengland"],
+    },
+    "survationall": {
+        "Scotland": ["scotland"],
+        "Wales": ["wales"],
+        "East Midlands": ["eastmidlands"],
+        "West Midlands": ["westmidlands"],
+        "London": ["london"],
+        "South East": ["southeastengland"],
+        "South West": ["southwestengland"],
+        "North East": ["northeastengland"],
+        "North West": ["northwestengland"],
+        "Yorkshire and Humber": ["yorkshireandthehumber"],
+        "East": ["eastofengland"],
+    },
+    "orb": {
+        "Scotland": ["scotland"],
+        "Wales": ["wales"],
+        "East Midlands": ["eastmidlands"],
+        "West Midlands": ["westmidlands"],
+        "London": ["london"],
+        "South East": ["southeastengland"],
+        "South West": ["southwestengland"],
+        "North East": ["northeastengland"],
+        "North West": ["northwestengland"],
+        "Yorks and Humber": ["yorkshireandthehumber"],
+        "Eastern": ["eastofengland"],
+    },
+    "redfield": {
+        "Scotland": ["scotland"],
+        "Wales": ["wales"],
+        "East Midlands": ["eastmidlands"],
+        "West Midlands": ["westmidlands"],
+        "London": ["london"],
+        "South East": ["southeastengland"],
+        "South West": ["southwestengland"],
+        "North East": ["northeastengland"],
+        "North West": ["northwestengland"],
+        "Yorks and Humber": ["yorkshireandthehumber"],
+        "Eastern": ["eastofengland"],
+    },
+    "whitestone": {
+        "Scotland": ["scotland"],
+        "Wales": ["wales"],
+        "East Midlands": ["eastmidlands"],
+        "West Midlands": ["westmidlands"],
+        "London": ["london"],
+        "South East": ["southeastengland"],
+        "South West": ["southwestengland"],
+        "North East": ["northeastengland"],
+        "North West": ["northwestengland"],
+        "Yorks and Humber": ["yorkshireandthehumber"],
+        "Eastern": ["eastofengland"],
+    },
+    "bmg": {
+        "Scotland": ["scotland"],
+        "Wales": ["wales"],
+        "East Midlands": ["eastmidlands"],
+        "West Midlands": ["westmidlands"],
+        "London": ["london"],
+        "South East England": ["southeastengland"],
+        "South West England": ["southwestengland"],
+        "North East England": ["northeastengland"],
+        "North West England": ["northwestengland"],
+        "Yorkshire and Humber": ["yorkshireandthehumber"],
+        "East of England": ["eastofengland"],
+    },
+    "comres": {
+        "Scotland": ["scotland"],
+        "Wales": ["wales"],
+        "East Midlands": ["eastmidlands"],
+        "West Midlands": ["westmidlands"],
+        "London": ["london"],
+        "South East England": ["southeastengland"],
+        "South West England": ["southwestengland"],
+        "North East England": ["northeastengland"],
+        "North West England": ["northwestengland"],
+        "Yorkshire and Humber": ["yorkshireandthehumber"],
+        "East of England": ["eastofengland"],
+        "Eastern": ["eastofengland"],
+    },
+    "ashcroft": {
+        "Scotland": ["scotland"],
+        "Wales": ["wales"],
+        "East Midlands": ["eastmidlands"],
+        "West Midlands": ["westmidlands"],
+        "London": ["london"],
+        "South East England": ["southeastengland"],
+        "South West England": ["southwestengland"],
+        "North East": ["northeastengland"],
+        "North West": ["northwestengland"],
+        "Yorkshire and Humber": ["yorkshireandthehumber"],
+        "East of England": ["eastofengland"],
+    },
+    "survationscotland": {
+        "Scotland": ["scotland"],
+    },
+    "panelbasescotland": {
+        "Scotland": ["scotland"],
+    },
+    "yougovscotland": {
+        "Scotland": ["scotland"],
+    },
+    "yougovwales": {
+        "Wales": ["wales"],
+    },
+    "yougovlondon": {
+        "London": ["london"],
+    },
+    "lucidtalk": {
+        "Northern Ireland": ["northernireland"],
+    },
 }
 
 
@@ -289,8 +526,8 @@ def pollster_area(spark: SparkSession) -> DataFrame:
     rows = [
         (company, area, r)
         for company, areas in POLLSTER_AREAS.items()
-        for area in areas
-        for r in AREA_EXCEPTIONS.get((company, area), AREA_REGIONS[area])
+        for area, regions in areas.items()
+        for r in regions
     ]
     return inline_table(spark, {"company": "string", "area": "string", "region": "string"}, rows)
 
