@@ -21,6 +21,7 @@ REFERENCE_HEADINGS = ["references", "sources", "bibliography", "external links",
 
 GROUP = ("year", "era", "timeframe_type")
 _CUT = "\u0001"
+_NO_LEVEL = 9
 
 
 def extract_facts(
@@ -34,40 +35,73 @@ def extract_facts(
 ) -> DataFrame:
     """(page, pos, event): candidate facts of every page, first of equal texts kept.
 
-    Sections are chosen by words in their heading; ``include=None`` takes all sections,
-    also what stands before the first heading. The innermost item is taken. All of it
-    happens inside the page's row, so nothing is shuffled.
+    A section runs from its heading to the next heading of its own or a higher level, so it
+    holds its subsections. Sections are chosen by words in their heading; ``include=None``
+    takes the whole page, also what stands before the first heading, but for excluded
+    sections. Every closed item is taken, an outer one with the text of those nested in it.
+    All of it happens inside the page's row, so nothing is shuffled.
     """
     source = F.regexp_replace(F.col(html), r"(?is)<(script|style)\b.*?</\1>|<!--.*?-->", "")
-    sections = F.split(F.regexp_replace(source, r"(?i)<(h[1-6])\b", f"{_CUT}<$1"), _CUT)
-
-    def heading(section: Column) -> Column:
-        return F.lower(plain_text(F.regexp_extract(section, r"(?is)^<h[1-6][^>]*>(.*?)</h[1-6]>", 1)))
-
-    def chosen(section: Column) -> Column:
-        words = heading(section)
-        keep = F.lit(True)
-        if include is not None:
-            keep = F.lit(False)
-            for word in include:
-                keep = keep | words.contains(word.lower())
-        for word in exclude:
-            keep = keep & ~words.contains(word.lower())
-        return keep
-
-    def items(section: Column) -> Column:
-        pieces = F.split(section, rf"(?i)<{tag}(?:\s[^>]*)?>")
-        # text between the last opening tag and the first closing one: the innermost item
-        closed = F.filter(F.slice(pieces, 2, 1_000_000), lambda p: p.rlike(rf"(?i)</{tag}>"))
-        return F.transform(closed, lambda p: F.element_at(F.split(p, rf"(?i)</{tag}>"), 1))
-
-    texts = F.transform(F.flatten(F.transform(F.filter(sections, chosen), items)), plain_text)
+    pieces = F.split(F.regexp_replace(source, r"(?i)<(h[1-6])\b", f"{_CUT}<$1"), _CUT)
+
+    def named(piece: Column, words: Sequence[str]) -> Column:
+        heading = F.lower(plain_text(F.regexp_extract(piece, r"(?is)^<h[1-6][^>]*>(.*?)</h[1-6]>", 1)))
+        found = F.lit(False)
+        for word in words:
+            found = found | heading.contains(word.lower())
+        return found
+
+    def marked(piece: Column) -> Column:
+        """The level of the piece's heading, and whether the heading opens a chosen (or an excluded) section."""
+        level = F.coalesce(F.regexp_extract(piece, "(?i)^<h([1-6])", 1).try_cast("int"), F.lit(_NO_LEVEL))
+        opens = named(piece, exclude) if include is None else named(piece, include) & ~named(piece, exclude)
+        return F.struct(level.alias("level"), opens.alias("opens"), piece.alias("text"))
+
+    def walk(state: Column, piece: Column) -> Column:
+        inside = state["level"] < piece["level"]
+        held = inside | piece["opens"]
+        level = F.when(inside, state["level"]).when(piece["opens"], piece["level"]).otherwise(F.lit(_NO_LEVEL))
+        taken = ~held if include is None else held
+        return F.struct(
+            level.alias("level"),
+            F.when(taken, F.concat(state["texts"], F.array(piece["text"]))).otherwise(state["texts"]).alias("texts"),
+        )
+
+    start = F.struct(F.lit(_NO_LEVEL).alias("level"), F.array().cast("array<string>").alias("texts"))
+    sections = F.aggregate(F.transform(pieces, marked), start, walk, lambda s: s["texts"])
+    texts = F.transform(F.flatten(F.transform(sections, lambda s: _items(s, tag))), plain_text)
     texts = F.filter(texts, lambda t: ~t.startswith("^"))
     texts = F.transform(texts, lambda t: F.regexp_replace(t, r"\[[0-9]+\]|\[edit\]", ""))
     texts = F.array_distinct(F.filter(texts, lambda t: F.length(t) > min_len))
     return unpack(pages, [page], F.posexplode_outer(texts).alias("pos", "event"), "event")
 
 
+def _items(section: Column, tag: str) -> Column:
+    """The closed items of a section, in the order in which they open, with all they hold."""
+    any_tag = rf"</?{tag}(?:\s[^>]*)?>"
+    tokens = F.split(section, rf"(?i)(?={any_tag})")
+    item = "array<struct<no: int, text: string>>"
+    start = F.struct(F.array().cast(item).alias("open"), F.array().cast(item).alias("closed"), F.lit(0).alias("n"))
+
+    def step(state: Column, token: Column) -> Column:
+        opens, closes = token.rlike(rf"(?i)^<{tag}(?:\s[^>]*)?>"), token.rlike(rf"(?i)^</{tag}(?:\s[^>]*)?>")
+        held, depth = state["open"], F.size(state["open"])
+        new = F.struct(state["n"].alias("no"), F.lit("").alias("text"))
+        now = (
+            F.when(opens, F.concat(held, F.array(new)))
+            .when(closes, F.slice(held, F.lit(1), F.greatest(depth - 1, F.lit(0))))
+            .otherwise(held)
+        )
+        done = F.when(closes & (depth > 0), F.concat(state["closed"], F.slice(held, F.greatest(depth, F.lit(1)), F.lit(1))))
+        return F.struct(
+            F.transform(now, lambda x: F.struct(x["no"].alias("no"), F.concat(x["text"], token).alias("text"))).alias("open"),
+            done.otherwise(state["closed"]).alias("closed"),
+            (state["n"] + opens.cast("int")).alias("n"),
+        )
+
+    return F.aggregate(tokens, start, step, lambda s: F.transform(F.array_sort(s["closed"]), lambda x: x["text"]))
+
+
 def _ordinal(n: Column) -> Column:
     suffix = (
         F.when((n % 10 == 1) & (n != 11), "st").when((n % 10 == 2) & (n != 12), "nd")

@@ -105,8 +105,8 @@ def stable_sort(df: DataFrame, col: str, ascending: bool, tie: str, blank_as_zer
 
 
 def link_parameter(url: Column, name: str) -> Column:
-    """One decoded query parameter in lower case; NULL when absent."""
-    return F.lower(F.try_parse_url(url, F.lit("QUERY"), F.lit(name)))
+    """One decoded query parameter in lower case; NULL when absent or "null", which means no filter."""
+    return F.nullif(F.lower(F.try_parse_url(url, F.lit("QUERY"), F.lit(name))), F.lit("null"))
 
 
 def parse_links(links: DataFrame, default_view: str = DEFAULT_VIEW) -> DataFrame:

@@ -177,12 +177,23 @@ def seat_summary(pair: DataFrame, seats: DataFrame) -> DataFrame:
     )
 
 
-def apply_overrides(base: DataFrame, overrides: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Replaces whole seats; returns (merged, override rows of seats the base does not have)."""
-    replaced = overrides.select("seat").distinct()
-    known = base.select("seat").distinct()
-    merged = base.join(replaced, "seat", "left_anti").unionByName(overrides.join(known, "seat", "left_semi"))
-    return merged, overrides.join(known, "seat", "left_anti")
+def apply_overrides(
+    base: DataFrame, overrides: DataFrame, keys: Sequence[str] = ELECTION
+) -> tuple[DataFrame, DataFrame]:
+    """Replaces whole seats of the same ``keys``; returns (merged, override rows of seats the base does not have).
+
+    Both sides are packed to one row per seat (its parties) and meet in one full outer join.
+    """
+    seat = [*keys, "seat"]
+    rest = [c for c in base.columns if c not in seat]
+
+    def packed(rows: DataFrame, name: str) -> DataFrame:
+        return rows.groupBy(*seat).agg(F.collect_list(F.struct(*rest)).alias(name))
+
+    both = packed(base, "_held").join(packed(overrides, "_new"), seat, "full_outer")
+    merged = both.where(F.col("_held").isNotNull()).select(*seat, F.inline(F.coalesce("_new", "_held")))
+    unmatched = both.where(F.col("_held").isNull()).select(*seat, F.inline("_new"))
+    return merged.select(base.columns), unmatched.select(base.columns)
 
 
 def audit_seats(

@@ -101,10 +101,12 @@ def adjust_seats(spark, d):
 
 
 def _overrides(spark, d):
+    """In both elections the seats with a by-election take the votes of the other election; unknown seats besides."""
     held = bridge.seat(spark, d).where(F.col("by_election").isNotNull()).select("seat")
-    replaced = _election(spark, d, "cur").join(held, "seat", "left_semi")
-    unknown = replaced.withColumn("seat", -F.col("seat") - 1)
-    return results.apply_overrides(_election(spark, d, "prev"), replaced.unionByName(unknown))
+    other = F.when(F.col("election_id") == "cur", "prev").otherwise("cur")
+    swapped = bridge.result(spark, d).join(held, "seat", "left_semi").withColumn("election_id", other)
+    seats = F.explode(F.array(F.col("seat"), -F.col("seat") - 1))
+    return results.apply_overrides(bridge.result(spark, d), swapped.withColumn("seat", seats))
 
 
 @query
@@ -634,17 +636,17 @@ def _facts(spark, d):
 
 @query
 def extract_facts(spark, d):
-    return facts.extract_facts(bridge.text_table(spark, d, "pages", "page_id"), tag="p", include=["the", "de", "der"], exclude=["zz"])
+    return facts.extract_facts(bridge.table(spark, d, "pages"), tag="p", include=["the", "de", "der"], exclude=["zz"])
 
 
 @query
 def extract_list_items(spark, d):
-    return facts.extract_facts(bridge.text_table(spark, d, "pages", "page_id"), tag="li", min_len=3, include=None, exclude=[])
+    return facts.extract_facts(bridge.table(spark, d, "pages"), tag="li", min_len=3, include=None, exclude=[])
 
 
 @query
 def first_two_sentences(spark, d):
-    rows = bridge.text_table(spark, d, "conversations", "conv_id", "turn")
+    rows = bridge.table(spark, d, "conversations")
     return rows.select("conv_id", "turn", first_sentences(F.col("text")).alias("start"))
 
 
@@ -705,7 +707,7 @@ def timeframe_calendar(spark, d):
 def _page_facts(spark, d):
     """Facts under page titles: documents of one source sit under the second title of their year."""
     lines = unpack(
-        bridge.text_table(spark, d, "documents", "doc_id"), ["doc_id", "source"],
+        bridge.table(spark, d, "documents"), ["doc_id", "source"],
         F.posexplode_outer(F.split("text", "\n")).alias("pos", "event"), "event",
     )
     placed = facts.with_timeframe(lines.select(
@@ -713,7 +715,7 @@ def _page_facts(spark, d):
         F.when(F.col("doc_id") % 2 == 0, "BC").otherwise("AD").alias("era"),
     ))
     title = F.when((F.col("source") == "src0") & F.col("fallback").isNotNull(), F.col("fallback")).otherwise(F.col("title"))
-    return placed.select(title.alias("title"), (F.col("doc_id") * 100000 + F.col("pos")).alias("pos"), "event")
+    return placed.select(title.alias("title"), F.struct("doc_id", "pos").alias("pos"), "event")
 
 
 @query
@@ -721,7 +723,8 @@ def load_facts(spark, d):
     existing = bridge.fact(spark, d).where(F.col("era") == "BC").select("year", "era").distinct()
     rows = facts.load_facts(facts.timeframe_calendar(spark), _page_facts(spark, d), existing)
     return rows.groupBy("year", "era", "timeframe_type", "source_page").agg(
-        F.count(F.lit(1)).alias("n_facts"), F.min("pos").alias("first_pos"), F.max("event").alias("last_event")
+        F.count(F.lit(1)).alias("n_facts"), F.min("pos")["doc_id"].alias("first_doc"),
+        F.min("pos")["pos"].alias("first_pos"), F.max("event").alias("last_event"),
     )
 
 

@@ -9,7 +9,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
 
 from ..functions.arrays import unpack
 from .inline import inline_table
@@ -17,27 +16,9 @@ from .inline import inline_table
 PARTIES = ["p1", "p2", "p3", "p4", "p5"]
 
 
-_schemas: dict[tuple[str, str], StructType] = {}
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A table by name; its schema is read from the footer once per application."""
-    path = f"{sf_dir}/{name}.parquet"
-    key = (spark.sparkContext.applicationId, path)
-    if key not in _schemas:
-        _schemas[key] = spark.read.parquet(path).schema
-    return spark.read.schema(_schemas[key]).parquet(path)
-
-
-def text_table(spark: SparkSession, sf_dir: str, name: str, *keys: str) -> DataFrame:
-    """A table of long texts, spread over all cores where it has fewer splits than cores.
-
-    Text rules are bound by CPU, and a small file may be one split. Large inputs have
-    more splits than there are cores and are left alone, so this never shuffles them.
-    """
-    df = table(spark, sf_dir, name)
-    cores = spark.sparkContext.defaultParallelism
-    return df.repartition(cores, *keys) if df.rdd.getNumPartitions() < cores else df
+    """A table by name."""
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def _votes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -253,10 +234,10 @@ def boundary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def fact(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(fact_id, year, era, timeframe_type, event, source_page): one fact per line of every document."""
-    documents = text_table(spark, sf_dir, "documents", "doc_id")
+    documents = table(spark, sf_dir, "documents")
     lines = unpack(documents, ["doc_id"], F.posexplode_outer(F.split("text", "\n")).alias("pos", "event"), "event")
     return lines.select(
-        (F.col("doc_id") * 100000 + F.col("pos")).alias("fact_id"),
+        F.concat_ws(":", "doc_id", "pos").alias("fact_id"),
         (1 + F.col("doc_id") % 2000).cast("int").alias("year"),
         F.when(F.col("doc_id") % 5 == 0, "BC").otherwise("AD").alias("era"),
         "event",

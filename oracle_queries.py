@@ -237,7 +237,7 @@ VIEWS = {
         from (select doc_id, source, l, unnest(range(1, len(l) + 1)) as i
               from (select doc_id, source, string_split(text, chr(10)) as l from documents))""",
     "fact_base": """
-        select doc_id * 100000 + pos as fact_id, cast(1 + doc_id % 2000 as int) as year,
+        select concat(doc_id, ':', pos) as fact_id, cast(1 + doc_id % 2000 as int) as year,
                case when doc_id % 5 = 0 then 'BC' else 'AD' end as era, event from lines""",
     "fact": "select * from (select *, {timeframe} from fact_base)",
     "link": """
@@ -459,20 +459,20 @@ STATEMENTS = {
         from result join seat using (seat) where by_election is not null
         group by 1, 2 having count(case when party = 'p3' then 1 end) = 0""",
     "overrides": """
-        select r.election_id, r.seat, r.party, r.votes from result r join seat using (seat)
-        where r.election_id = 'prev' and (by_election is null
-              or r.seat not in (select seat from result where election_id = 'cur'))
+        select * from (with swapped as (
+          select case election_id when 'cur' then 'prev' else 'cur' end as election_id, seat, party, votes
+          from result join seat using (seat) where by_election is not null)
+        select election_id, seat, party, votes from result
+        where (election_id, seat) not in (select (election_id, seat) from swapped)
         union all
-        select r.election_id, r.seat, r.party, r.votes from result r join seat using (seat)
-        where r.election_id = 'cur' and by_election is not null
-              and r.seat in (select seat from result where election_id = 'prev')""",
+        select * from swapped where (election_id, seat) in (select (election_id, seat) from result))""",
     "overrides_unmatched": """
-        select r.election_id, -r.seat - 1 as seat, r.party, r.votes from result r join seat using (seat)
-        where r.election_id = 'cur' and by_election is not null
+        select * from (with swapped as (
+          select case election_id when 'cur' then 'prev' else 'cur' end as election_id, seat, party, votes
+          from result join seat using (seat) where by_election is not null)
+        select election_id, -seat - 1 as seat, party, votes from swapped
         union all
-        select r.election_id, r.seat, r.party, r.votes from result r join seat using (seat)
-        where r.election_id = 'cur' and by_election is not null
-              and r.seat not in (select seat from result where election_id = 'prev')""",
+        select * from swapped where (election_id, seat) not in (select (election_id, seat) from result))""",
     "audit_seats": """
         select 'cur' as election_id, p.seat, s.region, p.winner as current_declared, c.winner,
                p.majority as majority_declared, c.majority, coalesce(p.winner = c.winner, false) as winner_ok,
@@ -770,7 +770,8 @@ STATEMENTS = {
     "timeframe_calendar": """
         select title, fallback, timeframe_type, first_year, last_year, count(*) as n_facts from fact group by 1, 2, 3, 4, 5""",
     "load_facts": f"""
-        select cast(year as int) as year, era, timeframe_type, source_page, count(*) as n_facts, min(pos) as first_pos, max(event) as last_event
+        select cast(year as int) as year, era, timeframe_type, source_page, count(*) as n_facts, min(pos)['doc_id'] as first_doc, min(pos)['pos'] as first_pos,
+               max(event) as last_event
         from (
           select c.year, c.era, c.timeframe_type, c.source_page, p.pos, p.event
           from (select year, era, timeframe_type, source_page,
@@ -812,7 +813,7 @@ STATEMENTS = {
 
 VIEWS["page_facts"] = """
     select case when source = 'src0' and fallback is not null then fallback else title end as title,
-           doc_id * 100000 + pos as pos, event
+           {'doc_id': doc_id, 'pos': cast(pos as int)} as pos, event
     from (select *, %s from (select doc_id, source, pos, event, cast(1 + (doc_id * 3) %% 4000 as int) as year,
                                     case when doc_id %% 2 = 0 then 'BC' else 'AD' end as era from lines))""" % TIMEFRAME
 VIEWS["scored"] = """
@@ -842,21 +843,36 @@ for _name, (_tag, _min_len, _include, _exclude) in _EXTRACT.items():
     _wanted = " or ".join(f"contains({_heading}, '{w}')" for w in _include) if _include else "true"
     _unwanted = " or ".join(f"contains({_heading}, '{w}')" for w in _exclude) if _exclude else "false"
     _cut = _sub("html", r"<(h[1-6])\b", r"#%#<\1", "gi")
+    _opens = f"({_unwanted})" if _include is None else f"({_wanted}) and not ({_unwanted})"
+    _held = """exists (select 1 from marked a where a.page_id = k.page_id and a.opens and a.sno <= k.sno and not exists (
+                 select 1 from marked b where b.page_id = a.page_id and b.sno > a.sno and b.sno <= k.sno and b.level <= a.level))"""
     STATEMENTS[_name] = rf"""
-        select page_id, cast(row_number() over (partition by page_id order by first_no) - 1 as int) as pos, event
-        from (select page_id, event, min(no) as first_no
-              from (select page_id, no, regexp_replace(raw, '\[[0-9]+\]|\[edit\]', '', 'g') as event
-                    from (select page_id, sno * 1000000 + ino as no, {_plain_text("split_part(piece, chr(2), 1)")} as raw
-                          from (select page_id, sno, unnest(range(2, len(pieces) + 1)) as ino,
-                                       {_sub("pieces[ino]", f"</{_tag}>", "#/#", "i")} as marked, pieces
-                                from (select page_id, sno, string_split_regex(section, '(?i)<{_tag}(?:\s[^>]*)?>') as pieces
-                                      from (select page_id, unnest(range(1, len(sections) + 1)) as sno, sections[sno] as section
-                                            from (select page_id, string_split({_cut}, '#%#') as sections
-                                                  from (select page_id, {_source} as html from pages)))
-                                      where ({_wanted}) and not ({_unwanted})))
-                          cross join lateral (select replace(marked, '#/#', chr(2)) as piece)
-                          where contains(piece, chr(2))))
-              where not starts_with(event, '^') and length(event) > {_min_len} group by 1, 2)"""
+        select * from (with marked as (
+          select page_id, sno, section, {_opens} as opens,
+                 coalesce(try_cast(regexp_extract(section, '(?i)^<h([1-6])', 1) as int), 9) as level
+          from (select page_id, unnest(range(1, len(sections) + 1)) as sno, unnest(sections) as section
+                from (select page_id, string_split({_cut}, '#%#') as sections from (select page_id, {_source} as html from pages)))
+        ), tokens as (
+          select *, sum(turn) over (partition by page_id, sno order by ino) as depth
+          from (select page_id, sno, ino, token,
+                       case when regexp_matches(token, '(?i)^<{_tag}(\s[^>]*)?>') then 1
+                            when regexp_matches(token, '(?i)^</{_tag}(\s[^>]*)?>') then -1 else 0 end as turn
+                from (select page_id, sno, unnest(range(1, len(l) + 1)) as ino, unnest(l) as token
+                      from (select page_id, sno, string_split({_sub("section", rf"(</?{_tag}(?:\s[^>]*)?>)", r"#%#\1", "gi")}, '#%#') as l
+                            from marked k where {"not " if _include is None else ""}{_held})))
+        ), items as (
+          select o.page_id, o.sno, o.ino, min(c.ino) as ends
+          from tokens o join tokens c on c.page_id = o.page_id and c.sno = o.sno and c.ino > o.ino and c.depth = o.depth - 1
+          where o.turn = 1 and c.turn = -1 group by 1, 2, 3
+        ), texts as (
+          select i.page_id, i.sno, i.ino, string_agg(t.token, '' order by t.ino) as html
+          from items i join tokens t on t.page_id = i.page_id and t.sno = i.sno and t.ino >= i.ino and t.ino < i.ends group by 1, 2, 3
+        )
+        select page_id, cast(row_number() over (partition by page_id order by place) - 1 as int) as pos, event
+        from (select page_id, event, min({{'s': sno, 'i': ino}}) as place
+              from (select page_id, sno, ino, regexp_replace(raw, '\[[0-9]+\]|\[edit\]', '', 'g') as event
+                    from (select page_id, sno, ino, {_plain_text("html")} as raw from texts) where not starts_with(raw, '^'))
+              where length(event) > {_min_len} group by 1, 2))"""
 
 
 def oracle_sql() -> dict[str, str]:

@@ -4,8 +4,10 @@ import oracle_check
 import pytest
 
 import __spark_entry__ as entry
+import oracle_queries
+from ballotframe.plans.catalogue import CATALOGUE
 
-QUERIES, SQL = entry.queries(), entry.oracle_sql()
+QUERIES, SQL = CATALOGUE, oracle_queries.oracle_sql()
 
 
 @pytest.fixture(scope="module")
@@ -17,6 +19,7 @@ def con(sf_dir):
 
 def test_every_query_has_sql():
     assert set(QUERIES) == set(SQL)
+    assert set(QUERIES) <= set(entry.queries()) and set(SQL) <= set(entry.oracle_sql())
 
 
 @pytest.mark.parametrize("name", sorted(QUERIES))

@@ -4,9 +4,9 @@ import re
 
 import pytest
 
-import __spark_entry__ as entry
+from ballotframe.plans.catalogue import CATALOGUE
 
-QUERIES = entry.queries()
+QUERIES = CATALOGUE
 FORBIDDEN = [
     "CartesianProduct", "BroadcastNestedLoopJoin", "EvalPython", "MapInPandas", "MapInArrow", "FlatMapGroupsInPandas",
     "BatchScan python",

@@ -77,6 +77,15 @@ def test_overrides_replace_whole_seats(spark):
     assert [(r.seat, r.votes) for r in unmatched.collect()] == [("C", 4)]
 
 
+def test_overrides_leave_other_elections_alone(spark):
+    columns = {"election_id": "string", "seat": "string", "party": "string", "votes": "bigint"}
+    base = inline_table(spark, columns, [("e1", "A", "x", 1), ("e2", "A", "x", 2), ("e2", "B", "y", 3)])
+    override = inline_table(spark, columns, [("e1", "A", "z", 9), ("e1", "B", "z", 8)])
+    merged, unmatched = results.apply_overrides(base, override)
+    assert sorted(map(tuple, merged.collect())) == [("e1", "A", "z", 9), ("e2", "A", "x", 2), ("e2", "B", "y", 3)]
+    assert [tuple(r) for r in unmatched.collect()] == [("e1", "B", "z", 8)]
+
+
 def test_overall_majority(spark):
     def house(leader):
         rows = [("v", f"s{i}", "a" if i < leader else f"o{i % 3}") for i in range(650)]
