@@ -50,7 +50,8 @@ def choropleth(pair: DataFrame, party: str, kind: str = "share", filtered: DataF
     )
     scaled = F.coalesce(F.try_divide("value", "max_value"), F.lit(0.0))
     intensity = F.when(F.col("filtered"), F.greatest(F.lit(-1.0), F.least(F.lit(1.0), scaled))).otherwise(F.lit(0.0))
-    return rows.join(top, "view_id", "left").select(
+    # one row for each view of the registry
+    return rows.join(F.broadcast(top), "view_id", "left").select(
         "view_id", "seat", "value", "max_value", intensity.alias("intensity"),
         F.when(intensity < 0, "minus").otherwise("plus").alias("sign_class"),
     )

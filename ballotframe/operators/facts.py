@@ -160,19 +160,15 @@ def load_facts(calendar: DataFrame, extracted: DataFrame, existing: DataFrame |
     when the first has no facts. A page fills every year it covers that is still
     empty; of the pages that cover the same years, the one of the earliest year counts.
     """
-    titles = extracted.select("title").distinct()
-    primary = titles.select("title", F.col("title").alias("_primary"))
-    second = titles.select(F.col("title").alias("fallback"), F.col("title").alias("_second"))
     years = calendar
     if existing is not None:
         filled = existing.select("year", "era").distinct()
         years = years.join(filled, ["year", "era"], "left_anti")
-    found = (
-        years.join(primary, "title", "left")
-        .join(second, "fallback", "left")
-        .withColumn("source_page", F.coalesce("_primary", "_second"))
-        .where(F.col("source_page").isNotNull())
-    )
+    held = extracted.select(F.col("title").alias("source_page")).distinct()
+    tried = F.posexplode(F.filter(F.array("title", "fallback"), lambda t: t.isNotNull())).alias("_try", "source_page")
+    pages = years.select(*years.columns, tried).join(held, "source_page")
+    first = Window.partitionBy("year", "era").orderBy("_try")
+    found = pages.withColumn("_first", F.row_number().over(first)).where("_first = 1").drop("_first", "_try")
     span = Window.partitionBy("era", "timeframe_type", "first_year").orderBy("load_order")
     read = found.withColumn("_turn", F.row_number().over(span)).where("_turn = 1")
     covered = read.select(
@@ -182,9 +178,9 @@ def load_facts(calendar: DataFrame, extracted: DataFrame, existing: DataFrame |
         covered = covered.join(filled, ["year", "era"], "left_anti")
     writer = Window.partitionBy("year", "era").orderBy("load_order")
     chosen = covered.withColumn("_turn", F.row_number().over(writer)).where("_turn = 1")
-    # a page may hold very many facts and cover a hundred years
+    # at most one row for each year of the calendar, whatever the pages hold; the texts stay where they are
     facts = extracted.withColumnRenamed("title", "source_page")
-    return spread_join(facts, chosen, ["source_page"], ["pos", "event"]).select(
+    return facts.join(F.broadcast(chosen), "source_page").select(
         "year", "era", "timeframe_type", "event", "source_page", "pos"
     )
 

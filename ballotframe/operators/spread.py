@@ -9,15 +9,19 @@ from pyspark.sql import functions as F
 
 
 def spread_join(
-    many: DataFrame, few: DataFrame, keys: Sequence[str], by: Sequence[str], how: str = "inner", parts: int = 64
+    many: DataFrame, few: DataFrame, keys: Sequence[str], by: Sequence[str], how: str = "inner", rows: int = 100_000
 ) -> DataFrame:
-    """``many`` joined to ``few`` on ``keys``, with every key spread over up to ``parts`` tasks.
+    """``many`` joined to ``few`` on ``keys``, with every key spread over a task for each ``rows`` rows of ``many``.
 
-    Rows of ``many`` are salted by the hash of ``by``; rows of ``few`` are repeated only
-    for the salts their key really has. So one key may hold most rows of both sides,
-    and the repeated rows never outnumber the rows of the result.
+    The rows of each key are counted first, from the key columns alone; the counts, one row for each key, are broadcast,
+    so the keys must be few: views, regions, years and the like, not seats or scenarios. Rows of ``many`` are salted by
+    the hash of ``by``; rows of ``few`` are repeated for the salts of their key. Nothing is shuffled by the bare keys, so
+    one key may hold most rows of both sides.
     """
-    salt = F.pmod(F.xxhash64(*by), F.lit(parts)).cast("int")
-    salted = many.withColumn("_salt", salt)
-    slots = salted.select(*keys, "_salt").distinct()
-    return salted.join(few.join(slots, list(keys)), [*keys, "_salt"], how).drop("_salt")
+    parts = F.ceil(F.count(F.lit(1)) / F.lit(rows)).cast("int").alias("_parts")
+    sizes = F.broadcast(many.groupBy(*keys).agg(parts))
+    salt = F.pmod(F.xxhash64(*by), F.coalesce("_parts", F.lit(1))).cast("int")
+    salted = many.join(sizes, list(keys), "left").withColumn("_salt", salt).drop("_parts")
+    salts = F.explode(F.sequence(F.lit(0), F.col("_parts") - 1))
+    spread = few.join(sizes, list(keys)).withColumn("_salt", salts).drop("_parts")
+    return salted.join(spread, [*keys, "_salt"], how).drop("_salt")
