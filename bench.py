@@ -18,7 +18,7 @@ from ballotframe.session import local_session
 HEADLINE = [
     "vote_totals", "winners", "compare", "seat_summary", "battlegrounds", "saved_views", "extended_seats",
     "choropleth_change", "group_shares", "project_seats", "project_inputs", "redistribute", "moving_average",
-    "model_series", "clean_facts", "challenge_build", "extract_facts", "load_facts", "score_guesses", "game_outcomes",
+    "unchanged_seats", "overrides", "fact_lists", "regional_blend", "model_series", "clean_facts", "challenge_build", "extract_facts", "load_facts", "score_guesses", "game_outcomes",
 ]
 
 
