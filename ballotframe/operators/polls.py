@@ -116,15 +116,17 @@ def blend(weighted: DataFrame, old: DataFrame, crosswalk: DataFrame, keys: Seque
     """Regional estimate: sum of weight * (previous regional share + swing) over all polls of a region.
 
     The sum is linear in the fractions, so polls collapse to one row per company,
-    area and party before they are spread over regions.
+    area and party before they are spread over regions. Keys that the polls carry as well,
+    such as a date or a scenario, are kept apart.
     """
+    own = [k for k in keys if k in weighted.columns]
     sums = (
         weighted.where(F.col("fraction").isNotNull())
-        .groupBy("company", "area", "party")
+        .groupBy(*own, "company", "area", "party")
         .agg(F.sum(F.col("weight") * F.col("fraction")).alias("wf"), F.sum("weight").alias("w"))
     )
     swings = (
-        sums.join(area_shares(old, crosswalk, keys), ["company", "area", "party"])
+        sums.join(area_shares(old, crosswalk, keys), [*own, "company", "area", "party"])
         .join(crosswalk.select("company", "area", "region"), ["company", "area"])
         .groupBy(*keys, "region", "party")
         .agg(F.sum(F.col("wf") - F.col("w") * F.col("area_share")).alias("ws"), F.sum("w").alias("w"))

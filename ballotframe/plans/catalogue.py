@@ -439,6 +439,14 @@ def project_seats(spark, d):
     )
 
 
+@query
+def nowcast_history(spark, d):
+    """The change in both elections as seen on three days."""
+    days = ["2024-01-10", "2024-01-20", "2024-02-01"]
+    rows = regional_swing(bridge.result(spark, d), bridge.seat(spark, d), bridge.poll(spark, d), _dims(spark, d), days)
+    return rows.select("election_id", "as_of", "region", "party", "had_polls", scaled(F.col("change"), 1e9).alias("change_e9"))
+
+
 def _scenario_inputs(spark, d):
     """What each company's polls say of an area, as user inputs; later companies overstate the shares."""
     sums = bridge.poll(spark, d).groupBy("company", "area", "party").agg(F.sum("n").alias("n"))

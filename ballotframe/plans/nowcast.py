@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 from ..operators.areas import regional_totals
 from ..operators.polls import blend, correct_overlaps, exclude_polls, to_fraction, with_weight
@@ -25,23 +26,34 @@ class NowcastDims:
     parties: Sequence[str] = ()
 
 
+AsOf = dt.date | str | Column | Sequence[dt.date | str]
+
+
+def swing_keys(as_of: AsOf, keys: Sequence[str]) -> list[str]:
+    """Keys of a swing: with several dates each has its own."""
+    return [*keys, "as_of"] if isinstance(as_of, list | tuple) else list(keys)
+
+
 def regional_swing(
     result: DataFrame, seats: DataFrame, polls: DataFrame, dims: NowcastDims,
-    as_of: dt.date | str | Column, decay: float = 0.7, keys: Sequence[str] = ELECTION,
+    as_of: AsOf, decay: float = 0.7, keys: Sequence[str] = ELECTION,
 ) -> DataFrame:
-    """Change of every party's regional share since the last result."""
+    """Change of every party's regional share since the last result, for one date or for each of a list of dates."""
     old = regional_totals(result, seats, dims.parties, keys)
-    corrected = correct_overlaps(exclude_polls(polls), dims.overlap_rules)
-    weighted = with_weight(to_fraction(corrected, dims.pollster), dims.pollster, as_of, decay)
-    return regional_change(blend(weighted, old, dims.crosswalk, keys), keys)
+    corrected = to_fraction(correct_overlaps(exclude_polls(polls), dims.overlap_rules), dims.pollster)
+    if isinstance(as_of, list | tuple):
+        days = F.explode(F.array(*(F.lit(str(d)).cast("date") for d in as_of)))
+        old, corrected, as_of = old.withColumn("as_of", days), corrected.withColumn("as_of", days), list(as_of)
+    weighted = with_weight(corrected, dims.pollster, F.col("as_of") if isinstance(as_of, list) else as_of, decay)
+    return regional_change(blend(weighted, old, dims.crosswalk, swing_keys(as_of, keys)), swing_keys(as_of, keys))
 
 
 def nowcast(
     result: DataFrame, seats: DataFrame, polls: DataFrame, dims: NowcastDims,
-    as_of: dt.date | str | Column, decay: float = 0.7, keys: Sequence[str] = ELECTION,
+    as_of: AsOf, decay: float = 0.7, keys: Sequence[str] = ELECTION,
 ) -> DataFrame:
-    """Projected seats (packed) on ``as_of``."""
+    """Projected seats (packed) on ``as_of``; with a list of dates once for each of them (column ``as_of``)."""
     base = result if dims.adjustments is None else adjust_seats(result, dims.adjustments, keys)
     base = fold_others(base, keys)
     change = regional_swing(base, seats, polls, dims, as_of, decay, keys)
-    return project(base, seats, change, keys, change_keys=keys)
+    return project(base, seats, change, keys, change_keys=swing_keys(as_of, keys))

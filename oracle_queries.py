@@ -649,6 +649,39 @@ STATEMENTS = {
               from estimates)""",
     "nowcast_swing": f"""
         select 'prev' as election_id, region, party, {_scaled("change", "1e9")} as change_e9 from nowcast_change""",
+    "nowcast_history": f"""
+        select * from (with days as (
+          select unnest([date '2024-01-10', date '2024-01-20', date '2024-02-01']) as as_of
+        ), held as (
+          select election_id, region, party, cast(sum(votes) as bigint) as votes from result join seat using (seat) group by 1, 2, 3
+        ), before as (
+          select r.election_id, r.region, p.party, coalesce(v.votes, 0) as votes, r.turnout,
+                 coalesce(v.votes, 0)::double / r.turnout as share
+          from (select election_id, region, cast(sum(votes) as bigint) as turnout from held group by 1, 2) r
+          join (select unnest(['p1', 'p2', 'p3', 'p4', 'p5']) as party) p on true
+          left join held v on v.election_id = r.election_id and v.region = r.region and v.party = p.party
+        ), area_before as (
+          select election_id, company, area, party, sum(votes)::double / sum(turnout) as area_share
+          from before join crosswalk using (region) group by 1, 2, 3, 4
+        ), aged as (
+          select c.company, c.area, c.party, d.as_of, case when c.total = 0 then null else c.n::double / c.total end as fraction,
+                 coalesce(fixed_weight, base_weight * pow(0.7::double, d.as_of - c.fieldwork_date)) as weight
+          from corrected c join days d on true join pollster using (company)
+        ), seen as (
+          select b.election_id, w.as_of, x.region, w.party, sum(w.weight * (b.share + w.fraction - a.area_share)) as estimate
+          from aged w join crosswalk x using (company, area)
+          join before b on b.region = x.region and b.party = w.party
+          join area_before a on a.election_id = b.election_id and a.company = w.company and a.area = w.area and a.party = w.party
+          where w.fraction is not null group by 1, 2, 3, 4
+        ), now as (
+          select b.election_id, d.as_of, b.region, b.party, b.share as old_share, s.estimate, s.estimate is not null as had_polls
+          from before b join days d on true left join seen s
+            on s.election_id = b.election_id and s.as_of = d.as_of and s.region = b.region and s.party = b.party)
+        select election_id, as_of, region, party, had_polls,
+               {_scaled("case when old_share <> 0 then new_share - old_share end", "1e9")} as change_e9
+        from (select *, case when had_polls then greatest(estimate, 0)
+                        / sum(greatest(estimate, 0)) over (partition by election_id, as_of, region, had_polls) else old_share end as new_share
+              from now))""",
     "project_seats": f"""
         select election_id, seat, region, cast(turnout as bigint) as turnout, winner, winner_final,
                max(case when vrn = 1 then votes end) over w - coalesce(max(case when vrn = 2 then votes end) over w, 0)

@@ -210,3 +210,22 @@ def test_every_scenario_gives_the_same_as_alone(spark, n):
     scenarios = changes.select("scenario_id", "view_id").distinct()
     left = project.unchanged_seats(pair, placed, changes, scenarios)
     assert {(r.scenario_id, r.seat) for r in left.collect()} == {(f"k{i}", s) for i in range(n) for s in ("z1", "far")}
+
+
+def test_nowcast_of_many_dates_equals_single_runs(spark, sf_dir):
+    from ballotframe.plans import catalogue
+    from ballotframe.plans.nowcast import nowcast, regional_swing
+    from ballotframe.sources import bridge
+
+    tables = bridge.result(spark, sf_dir), bridge.seat(spark, sf_dir), bridge.poll(spark, sf_dir), catalogue._dims(spark, sf_dir)
+    days = ["2024-01-10", "2024-01-20", "2024-02-01"]
+    keep = ["election_id", "region", "party", "change"]
+
+    def rounded(df):
+        return sorted((*r[:3], None if r[3] is None else round(r[3], 9)) for r in df.select(*keep).collect())
+
+    many = regional_swing(*tables, days).cache()
+    for day in days:
+        assert rounded(many.where(F.col("as_of") == day)) == rounded(regional_swing(*tables, day))
+    seats = nowcast(*tables, days)
+    assert seats.groupBy("election_id", "as_of").count().count() == 6
