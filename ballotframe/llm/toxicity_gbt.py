@@ -17,9 +17,10 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -141,23 +142,19 @@ def learn_lexicon(texts: DataFrame, params: ToxicityParams) -> dict[str, float]:
     return {r.word: r.odds for r in words.orderBy(F.desc(F.col("odds") * F.sqrt("bad")), "word").limit(params.lexicon).collect()}
 
 
-def with_features(rows: DataFrame, lexicon: dict[str, float], keep: str) -> DataFrame:
-    """``keep`` (columns in DDL) and the features of ``text``."""
+def with_features(rows: DataFrame, lexicon: dict[str, float]) -> DataFrame:
+    """``rows`` with the features of ``text``; only the text is sent to Python."""
     sent = rows.sparkSession.sparkContext.broadcast(lexicon)
-    names = [x.split()[0] for x in keep.split(", ")]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            values = [text_features(t, sent.value) for t in batch.column("text").to_pylist()]
-            columns = [*(batch.column(c) for c in names), pa.array(values, pa.list_(pa.float64()))]
-            yield pa.RecordBatch.from_arrays(columns, names=[*names, "values"])
+    def run(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in parts:
+            yield pd.Series([text_features(t, sent.value) for t in texts])
 
-    out = rows.select(*names, "text").mapInArrow(run, f"{keep}, values array<double>")
-    return out.withColumn("features", array_to_vector("values")).drop("values")
+    return rows.withColumn("features", array_to_vector(F.pandas_udf(run, "array<double>")("text")))
 
 
-def score_documents(docs: DataFrame, labels: DataFrame, allowed: Column | None = None, params: ToxicityParams | None = None) -> DataFrame:
-    """(doc_id, key, score) for each row of ``docs``; ``key`` is a hash of doc_id and text.
+def fitted(docs: DataFrame, labels: DataFrame, allowed: Column | None = None, params: ToxicityParams | None = None) -> Callable[[DataFrame], DataFrame]:
+    """A function that adds ``score`` to rows with a ``text`` that is not null.
 
     ``allowed``: a condition on doc_id of labels that may be learned from. The score is the calibrated probability, with
     a thousandth of the trees' own, so that equal steps of the calibration keep their order.
@@ -168,30 +165,37 @@ def score_documents(docs: DataFrame, labels: DataFrame, allowed: Column | None =
     # at most fit_rows ids and labels
     texts = stored(rows.join(F.broadcast(sample), "doc_id"))
     kinds = texts.agg(F.count("*").alias("n"), F.sum("toxic").alias("bad")).first()
-    key = F.xxhash64("doc_id", "text").alias("key")
     if not kinds.bad or kinds.bad == kinds.n:
         share = float(kinds.bad or 0) / max(kinds.n, 1)
-        return rows.select("doc_id", key, F.lit(share).alias("score"))
+        return lambda some: some.withColumn("score", F.lit(share))
     lexicon = learn_lexicon(texts.select("text", "toxic"), p)
-    fit = with_features(texts, lexicon, "doc_id long, toxic double").withColumn("toxic", F.col("toxic"))
     fold = F.pmod(F.xxhash64(F.lit(3), "doc_id"), F.lit(p.folds))
-    fit = stored(fit.withColumn("fold", fold))
+    fit = stored(with_features(texts, lexicon).select("doc_id", "toxic", "features", fold.alias("fold")))
     trees = GBTClassifier(featuresCol="features", labelCol="toxic", maxIter=p.trees, maxDepth=p.depth, stepSize=0.2, seed=5, cacheNodeIds=False)
     model = trees.fit(fit.where("fold > 0").select("toxic", "features"))
     raw = vector_to_array("probability")[1].alias("raw")
     checked = model.transform(fit.where("fold = 0")).select("toxic", raw)
-    flat = None
+    steps = None
     if checked.agg(F.countDistinct("toxic")).first()[0] == 2:
-        flat = IsotonicRegression(featuresCol="raw", labelCol="toxic", predictionCol="level").fit(checked)
-    scored = model.transform(with_features(rows.withColumn("key", key), lexicon, "doc_id long, key long")).select("doc_id", "key", raw)
-    if flat is not None:
-        scored = flat.transform(scored)
-    level = F.col("level") if flat is not None else F.col("raw")
-    return scored.select("doc_id", "key", (0.999 * level + 0.001 * F.col("raw")).alias("score"))
+        steps = IsotonicRegression(featuresCol="raw", labelCol="toxic", predictionCol="level").fit(checked)
+
+    def score(some: DataFrame) -> DataFrame:
+        scored = model.transform(with_features(some, lexicon)).select(*some.columns, raw)
+        if steps is not None:
+            scored = steps.transform(scored)
+        level = F.col("level") if steps is not None else F.col("raw")
+        return scored.select(*some.columns, (0.999 * level + 0.001 * F.col("raw")).alias("score"))
+
+    return score
+
+
+def score_documents(docs: DataFrame, labels: DataFrame, allowed: Column | None = None, params: ToxicityParams | None = None) -> DataFrame:
+    """(doc_id, score) for each row of ``docs``."""
+    score = fitted(docs, labels, allowed, params)
+    return score(docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))).select("doc_id", "score")
 
 
 def keep_clean(docs: DataFrame, labels: DataFrame, params: ToxicityParams | None = None) -> DataFrame:
-    """The rows of ``docs`` with a score below one half, all columns."""
-    bad = score_documents(docs, labels, None, params).where("score >= 0.5").select(F.col("key").alias("__key")).distinct()
-    rows = docs.withColumn("__key", F.xxhash64(F.col("doc_id").cast("long"), text_or_empty()))
-    return rows.join(bad, "__key", "left_anti").select(*docs.columns)
+    """The rows of ``docs`` with a score below one half, all columns. Rows are judged where they are read."""
+    score = fitted(docs, labels, None, params)
+    return score(docs.select(F.struct("*").alias("row"), text_or_empty().alias("text"))).where("score < 0.5").select("row.*")
