@@ -51,7 +51,8 @@ def regional_totals(
 
 
 def vote_totals(
-    pair: DataFrame, seats: DataFrame, areas: DataFrame, compare_votes: bool = True, sort: str | None = None
+    pair: DataFrame, seats: DataFrame, areas: DataFrame, compare_votes: bool = True, sort: str | None = None,
+    ascending: bool = False,
 ) -> DataFrame:
     """Seats, seat change, votes and vote share per party and area, plus a ``total`` row.
 
@@ -103,7 +104,9 @@ def vote_totals(
         F.when(is_party, share).alias("vote_pct"),
         F.when(is_party & F.lit(compare_votes), half_up(share - prev_share, 2)).alias("vote_pct_change"),
     )
-    return rows if sort is None else rows.orderBy("view_id", "area", F.desc(sort), "party")
+    if sort is None:
+        return rows
+    return rows.orderBy("view_id", "area", F.asc(sort) if ascending else F.desc(sort), "party")
 
 
 def area_turnout(seat_rows: DataFrame, areas: DataFrame) -> DataFrame:

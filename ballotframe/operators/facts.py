@@ -276,6 +276,11 @@ def fact_report(cleaned: DataFrame, keys: Sequence[str] = ("timeframe_type",)) -
     )
 
 
+def challenge_counts(challenges: DataFrame) -> DataFrame:
+    """Number of challenges of each timeframe."""
+    return challenges.groupBy("timeframe_type").agg(F.count(F.lit(1)).alias("n_challenges"))
+
+
 def excluded_years(cleaned: DataFrame, min_facts: int = 3) -> DataFrame:
     """Groups with some, but too few, kept facts."""
     groups = cleaned.groupBy(*GROUP).agg(F.count_if("kept").alias("n_kept"))

@@ -299,13 +299,15 @@ def unchanged_seats(
 
 
 def packed_results(result: DataFrame, seats: DataFrame, keys: Sequence[str] = ELECTION) -> DataFrame:
-    """Actual results in the packed form of the projections, ready to be written as documents."""
-    parties = F.transform(
-        F.col("ballots"),
-        lambda b: F.struct(b["party_ord"].alias("party_ord"), b["party"].alias("party"), b["votes"].alias("votes")),
+    """Actual results in the packed form of the projections, ready to be written as documents.
+
+    Where the result has ``standing`` and ``candidate``, the parties keep them.
+    """
+    kept = [c for c in ("standing", "candidate") if c in result.columns]
+    packed = result.groupBy(*keys, "seat").agg(
+        F.sum("votes").alias("turnout"), F.sort_array(F.collect_list(F.struct("party_ord", "party", "votes", *kept))).alias("parties")
     )
-    packed = pack_seats(result, keys).join(seats.select("seat", "region", "electorate"), "seat")
-    return packed.withColumn("parties", parties).select(
+    return packed.join(seats.select("seat", "region", "electorate"), "seat").select(
         *keys, "seat", "region", "electorate", "turnout", _best(F.col("parties"), "votes").alias("winner"),
         _lead(F.col("parties"), "votes").alias("majority"), "parties",
     )

@@ -18,10 +18,10 @@ def spread_join(
     the hash of ``by``; rows of ``few`` are repeated for the salts of their key. Nothing is shuffled by the bare keys, so
     one key may hold most rows of both sides.
     """
-    parts = F.ceil(F.count(F.lit(1)) / F.lit(rows)).cast("int").alias("_parts")
+    parts = F.ceil(F.count(F.lit(1)) / F.lit(rows)).cast("int").alias("_n_salts")
     sizes = F.broadcast(many.groupBy(*keys).agg(parts))
-    salt = F.pmod(F.xxhash64(*by), F.coalesce("_parts", F.lit(1))).cast("int")
-    salted = many.join(sizes, list(keys), "left").withColumn("_salt", salt).drop("_parts")
-    salts = F.explode(F.sequence(F.lit(0), F.col("_parts") - 1))
-    spread = few.join(sizes, list(keys)).withColumn("_salt", salts).drop("_parts")
+    salt = F.pmod(F.xxhash64(*by), F.coalesce("_n_salts", F.lit(1))).cast("int")
+    salted = many.join(sizes, list(keys), "left").withColumn("_salt", salt).drop("_n_salts")
+    salts = F.explode(F.sequence(F.lit(0), F.col("_n_salts") - 1))
+    spread = few.join(sizes, list(keys)).withColumn("_salt", salts).drop("_n_salts")
     return salted.join(spread, [*keys, "_salt"], how).drop("_salt")

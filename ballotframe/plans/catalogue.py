@@ -132,7 +132,7 @@ def audit_seats(spark, d):
 
 @query
 def boundary_match(spark, d):
-    named = bridge.seat(spark, d).where(F.col("by_election").isNull()).select("seat", "name", "region")
+    named = bridge.seat(spark, d).select("seat", "name", "region")
     return results.attach_boundaries(named, bridge.boundary(spark, d))
 
 
@@ -567,7 +567,7 @@ def filter_points(spark, d):
 
 @query
 def moving_average(spark, d):
-    chosen = tracker.filter_points(_points(spark, d), dt.date(2024, 1, 2), dt.date(2024, 12, 31))
+    chosen = tracker.filter_points(_points(spark, d), dt.date(2024, 1, 1), dt.date(2024, 12, 31))
     rows = tracker.moving_average(chosen)
     return rows.select(
         "code", "company", "fieldwork_date", "party", "pct", scaled(F.col("moving"), 1e6).alias("moving_e6")
@@ -753,8 +753,8 @@ def game_outcomes(spark, d):
 
 @query
 def seat_documents(spark, d):
-    """Results written as seat documents and read back."""
-    packed = project.packed_results(_election(spark, d, "cur"), bridge.seat(spark, d))
+    """Results of both elections written as seat documents and read back."""
+    packed = project.packed_results(bridge.result(spark, d), bridge.seat(spark, d))
     text = documents.to_seat_documents(packed, ["election_id"])
     read_seats, read_results = documents.parse_documents(text, F.col("election_id"))
     return read_results.join(read_seats.drop("name"), ["election_id", "seat"]).select(
@@ -762,6 +762,24 @@ def seat_documents(spark, d):
     )
 
 
+@query
+def marked_documents(spark, d):
+    """Results with parties that stand down, written as documents, read back and handed on."""
+    packed = project.packed_results(_marked(spark, d), bridge.seat(spark, d))
+    text = documents.to_seat_documents(packed, ["election_id"])
+    _, read = documents.parse_documents(text, F.col("election_id"))
+    rules, _ = standdown.validate_rules(_transfer_rules(spark, d))
+    moved = standdown.redistribute(read.withColumn("seat", F.col("seat").cast("bigint")), rules)
+    return project.party_rows(moved).select(
+        "scenario_id", "election_id", "seat", "turnout", "winner", "majority", "party", "votes"
+    )
+
+
+@query
+def challenge_counts(spark, d):
+    return facts.challenge_counts(challenges(_facts(spark, d), min_facts=3, n=5, seed=1))
+
+
 @query
 def referendum_documents(spark, d):
     rows = _referendum(spark, d).select("seat", "region", "winner2015", "current", "leave", "remain")

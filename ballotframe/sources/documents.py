@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.arrays import unpack
+from .dims import PARTIES
 
 SEAT_DOCUMENT = (
     "map<string, struct<"
@@ -17,6 +20,7 @@ REFERENDUM_DOCUMENT = (
     "map<string, struct<region: string, winner2015: string, current: string, leave: double, remain: double>>"
 )
 _STRICT = {"mode": "FAILFAST"}
+LABELS = dict(PARTIES)
 
 
 def _read_text(spark: SparkSession, paths: str | list[str], lines: bool) -> DataFrame:
@@ -70,19 +74,33 @@ def with_by_election_date(seats: DataFrame) -> DataFrame:
     return seats.withColumn("by_election_date", F.try_to_timestamp(plain, F.lit("MMMM d yyyy")).cast("date"))
 
 
-def to_seat_documents(packed: DataFrame, keys: list[str] | tuple[str, ...], current: str = "winner") -> DataFrame:
-    """One JSON object per packed seat: keys and ``value``."""
-    parties = F.map_from_entries(
-        F.transform(
-            "parties",
-            lambda p: F.struct(p["party"].alias("key"), F.struct(p["party"].alias("name"), p["votes"].alias("total"))
-                               .alias("value")),
-        )
-    )
+def to_seat_documents(
+    packed: DataFrame, keys: list[str] | tuple[str, ...], current: str = "winner", labels: Mapping[str, str] = LABELS
+) -> DataFrame:
+    """One JSON object per packed seat: keys and ``value``.
+
+    A party's name is its candidate, where ``parties`` has one, else its label. ``standing`` is written where it is
+    set. Documents call the party ``other`` ``others``.
+    """
+    fields = packed.schema["parties"].dataType.elementType.names
+    names = F.create_map(*(F.lit(x) for pair in labels.items() for x in pair)) if labels else None
+
+    def name(p: Column) -> Column:
+        label = F.coalesce(names[p["party"]], p["party"]) if names is not None else p["party"]
+        return F.coalesce(p["candidate"], label) if "candidate" in fields else label
+
+    def entry(p: Column) -> Column:
+        key = F.when(p["party"] == "other", "others").otherwise(p["party"])
+        value = [name(p).alias("name"), p["votes"].alias("total")]
+        if "standing" in fields:
+            value.append(p["standing"].alias("standing"))
+        return F.struct(key.alias("key"), F.struct(*value).alias("value"))
+
     info = F.struct(
         F.col("seat").cast("string").alias("name"), "region", F.col(current).alias("current"),
         F.col("electorate").cast("bigint").alias("electorate"), F.col("majority").cast("bigint").alias("majority"),
     )
+    parties = F.map_from_entries(F.transform("parties", entry))
     document = F.create_map(
         F.col("seat").cast("string"), F.struct(info.alias("seatInfo"), parties.alias("partyInfo"))
     )

@@ -31,7 +31,8 @@ def parse_polls(
     """Poll rows from a text-typed table with the file's columns.
 
     The first row of a code in ``row_order`` gives its company and date; if an area is
-    listed twice, the later row counts. Blank cells are 0, or NULL with ``blank_as_missing``.
+    listed twice, the later row counts. Blank cells are 0, or NULL with ``blank_as_missing``;
+    a date that is none is NULL.
     """
 
     def votes(name: str):
@@ -43,7 +44,7 @@ def parse_polls(
         F.struct(*row_order).alias("row_no"),
         F.struct(
             F.trim("company").alias("company"),
-            F.make_date(F.col("year").cast("int"), F.col("month").cast("int"), F.col("day").cast("int")).alias("date"),
+            F.concat(F.trim("year"), F.lit("-"), F.trim("month"), F.lit("-"), F.trim("day")).try_cast("date").alias("date"),
         ).alias("head"),
         F.col("region").alias("area"),
         F.struct(number_or_zero(F.col("total")).alias("total"), *[votes(p).alias(p) for p in parties]).alias("cells"),

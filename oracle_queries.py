@@ -483,7 +483,7 @@ STATEMENTS = {
         select coalesce(s.name, b.name) as name, s.seat, s.region, b.info_id, b.boundary_region,
                case when b.name is null then 'seat_only' when s.name is null then 'boundary_only' else 'both' end
                as match_status
-        from (select seat, name, region from seat where by_election is null) s
+        from (select seat, name, region from seat) s
         full outer join (select s_name as name, s_suppkey as info_id, n_name as boundary_region
                          from supplier join nation on s_nationkey = n_nationkey where s_suppkey % 10 <> 3) b
           on b.name = s.name""",
@@ -746,7 +746,7 @@ STATEMENTS = {
     "moving_average": f"""
         select code, company, fieldwork_date, party, pct, {_scaled("tenths / n / 10.0::double", "1e6")} as moving_e6
         from (select *, sum(floor(pct * 10 + 0.5)) over w as tenths, count(*) over w as n
-              from points where fieldwork_date between date '2024-01-02' and date '2024-12-31'
+              from points where fieldwork_date between date '2024-01-01' and date '2024-12-31'
               window w as (partition by party order by fieldwork_date, code rows between 11 preceding and current row))""",
     "companies": "select distinct company from points",
     "latest_poll": """
@@ -835,8 +835,7 @@ STATEMENTS = {
     "seat_documents": """
         select w.election_id, cast(w.seat as varchar) as seat, r.party, r.votes, s.region, s.electorate,
                w.winner as current_declared, w.majority as majority_declared
-        from winners w join seat s using (seat) join result r on r.election_id = w.election_id and r.seat = w.seat
-        where w.election_id = 'cur'""",
+        from winners w join seat s using (seat) join result r on r.election_id = w.election_id and r.seat = w.seat""",
     "referendum_documents": "select cast(seat as varchar) as seat, region, winner2015, current, leave, remain from referendum",
     "poll_file_rows": "select * from poll",
     "tracker_documents": """
@@ -865,6 +864,10 @@ VIEWS["scored"] = """
                              case user_id % 3 when 0 then 'century' when 1 then 'year' else 'decade' end as timeframe_type
                       from events)))"""
 
+STATEMENTS["marked_documents"] = STATEMENTS["redistribute"]
+STATEMENTS["challenge_counts"] = f"""
+        select timeframe_type, count(*) as n_challenges from ({STATEMENTS["challenge_build"]}) group by 1"""
+
 _EXTRACT = {
     "extract_facts": ("p", 25, ["the", "de", "der"], ["zz"]),
     "extract_list_items": ("li", 3, None, []),

@@ -2,6 +2,7 @@ import datetime as dt
 import json
 
 import pytest
+from pyspark.sql import functions as F
 from helpers import by, result, seats
 
 from ballotframe.operators import project, results
@@ -54,6 +55,16 @@ def test_results_written_as_lines_are_read_back(spark, tmp_path):
     assert (got["s1"]["current_declared"], got["s1"]["majority_declared"], got["s2"]["region"]) == ("a", 2, "q")
 
 
+def test_documents_keep_standing_and_candidates(spark, tmp_path):
+    votes = result(spark, [("s1", "labour", 6), ("s1", "other", 4), ("s1", "green", 1)], "e1")
+    marked = votes.withColumn("standing", F.when(F.col("party") == "green", 0)).withColumn(
+        "candidate", F.when(F.col("party") == "labour", "A. One"))
+    documents.write_results(project.packed_results(marked, seats(spark, [("s1", "r", 20)])), str(tmp_path / "out"), ["election_id"])
+    _, rows = documents.read_results(spark, str(tmp_path / "out" / "election_id=e1"), "e1", lines=True)
+    got = {(r.party, r.candidate, r.votes, r.standing) for r in rows.collect()}
+    assert got == {("labour", "A. One", 6, None), ("others", "Other", 4, None), ("green", "Green", 1, 0)}
+
+
 def test_referendum_documents(spark, tmp_path):
     path = tmp_path / "ref.json"
     path.write_text(json.dumps({"A": {"region": "london", "winner2015": "labour", "current": "remain", "leave": 40.5,
