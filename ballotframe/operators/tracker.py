@@ -8,13 +8,14 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .spread import spread_join
-
 # Default date bounds of the tracker.
 DEFAULT_START = dt.date(2015, 5, 6)
 DEFAULT_END = dt.date(2017, 6, 8)
 MAJORITY_LINE = 326
 
+#: Blocks a busy day is cut into, at most.
+_GRID = 200
+
 
 def clamp_range(
     start: dt.date | None, end: dt.date | None, lower: dt.date = DEFAULT_START, upper: dt.date = DEFAULT_END
@@ -53,23 +54,25 @@ def moving_average(
 ) -> DataFrame:
     """Adds ``moving``: mean of the last ``n`` points of each series, fewer at its start.
 
-    Series are few and long, so each one is cut into blocks of consecutive points:
-    its days, and busy days again into ranges of the second order column holding about
-    ``block_rows`` points. Every block gets the ``n - 1`` points before it as carried rows,
-    then all blocks are averaged independently. Only the last ``n - 1`` points of each
-    block meet in one place, to find out what is carried where.
+    Series are few and long, so each one is cut into blocks of consecutive points: its
+    days, and busy days again at quantiles of the second order column, into blocks of about
+    ``block_rows`` points (a day into ``_GRID`` blocks at most), however unevenly the column
+    is spread. Every block gets the ``n - 1`` points before it as carried rows, then all
+    blocks are averaged independently. What meets in one place, for each series, is the
+    last ``n - 1`` points of each block: a number bounded by its days, not by its points.
     """
     day, tie = order
     block = [*keys, day, "_part"]
-    days = points.groupBy(*keys, day).agg(
-        F.count(F.lit(1)).alias("_rows"), F.min(tie).alias("_first"), F.max(tie).alias("_last")
-    ).withColumn("_parts", F.ceil(F.col("_rows") / F.lit(float(block_rows))))
-    width = F.greatest(F.lit(1.0), (F.col("_last") - F.col("_first") + 1) / F.col("_parts"))
-    placed = (
-        spread_join(points, days, [*keys, day], [tie])
-        .withColumn("_part", F.floor((F.col(tie) - F.col("_first")) / width))
-        .drop("_rows", "_first", "_last", "_parts")
-    )
+    parts = F.least(F.ceil(F.count(F.lit(1)) / F.lit(float(block_rows))), F.lit(_GRID)).cast("int")
+    cuts = F.percentile_approx(tie, [k / _GRID for k in range(1, _GRID)])
+    days = points.groupBy(*keys, day).agg(parts.alias("_parts"), cuts.alias("_cuts"))
+    edge = lambda k: F.element_at("_cuts", F.greatest(F.floor(k * _GRID / F.col("_parts")).cast("int"), F.lit(1)))
+    edges = F.transform(F.sequence(F.lit(1), F.col("_parts") - 1), edge)
+    days = days.select(*keys, day, F.when(F.col("_parts") > 1, edges).alias("_edges"))
+    # one row for each series and day
+    placed = points.join(F.broadcast(days), [*keys, day]).withColumn(
+        "_part", F.coalesce(F.size(F.filter("_edges", lambda e: e < F.col(tie))), F.lit(0))
+    ).withColumn("_part", F.greatest("_part", F.lit(0))).drop("_edges")
     newest_first = Window.partitionBy(*block).orderBy(F.desc(tie))
     tails = (
         placed.withColumn("_back", F.row_number().over(newest_first))

@@ -94,6 +94,15 @@ def test_moving_average_blocks_agree_with_one_window(spark, block_rows):
         assert all(near(got[k], want[k]) for k in want)
 
 
+def test_moving_average_of_very_uneven_codes(spark):
+    """One busy day whose codes lie close together but for a few far away."""
+    points = [("a", "2017-01-01", k, float(k % 13)) for k in range(400)]
+    points += [("a", "2017-01-01", 10**9 * k, float(k)) for k in range(1, 6)] + [("a", "2017-01-02", 10**11, 1.0)]
+    got = {(r.party, r.code): r.moving for r in tracker.moving_average(inline_table(spark, POINT, points), 12, block_rows=50).collect()}
+    want = expected_means(points, 12)
+    assert got.keys() == want.keys() and all(near(got[k], want[k]) for k in want)
+
+
 def test_snapshot_replaces_its_date(spark):
     columns = {"date": "date", "party": "string", "seats": "int"}
     history = inline_table(spark, columns, [("2017-05-01", "a", 1), ("2017-06-01", "a", 2), ("2017-06-01", "b", 3)])
