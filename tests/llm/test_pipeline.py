@@ -1,4 +1,6 @@
+import os
 import re
+from pathlib import Path
 
 import corpus_pipeline
 import pytest
@@ -7,6 +9,17 @@ from pyspark.sql import functions as F
 from ballotframe.llm import ffd_packing, line_rules, pii_crf, simhash_vp
 from ballotframe.llm.shared import stored
 
+TESTDATA = Path(os.environ.get("TESTDATA_DIR", "/root/testdata"))
+
+
+@pytest.fixture(scope="module")
+def sf_dir():
+    """Tables with enough labels to learn from."""
+    path = TESTDATA / "sf0.01"
+    if not path.exists():
+        pytest.skip("no test tables")
+    return str(path)
+
 
 @pytest.fixture(scope="module")
 def steps(spark, sf_dir):
