@@ -23,7 +23,9 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
+import ahocorasick
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -45,7 +47,7 @@ class SamplingParams:
     samples: int = 2
     seed: int = 0
     sharpness: float = 1.0
-    held: int = 1_000_000
+    held: int = 2_500_000
     block_chars: int = 1_000_000
 
 
@@ -75,9 +77,16 @@ class Vocabulary:
         self.scores = np.zeros(n)
         self.scores[ordinary] = params.sharpness * log_p
         self.byte_score = params.sharpness * (float(log_p[-1]) - 1.0)
-        #: Pieces and their beginnings: the id, or -1 for what only begins one.
-        self.begun = {self.pieces[i][:k]: -1 for i in ordinary for k in range(1, len(self.pieces[i]) + 1)}
-        self.begun.update((self.pieces[i], i) for i in ordinary)
+        #: The pieces of one character by code point, -1 for none.
+        self.single = np.full(0x110000, -1, np.int32)
+        #: Finds all longer pieces in a text; a found piece is its id and its length.
+        self.matches = ahocorasick.Automaton()
+        for i in ordinary:
+            if len(self.pieces[i]) == 1:
+                self.single[ord(self.pieces[i])] = i
+            else:
+                self.matches.add_word(self.pieces[i], i << 8 | len(self.pieces[i]))
+        self.matches.make_automaton()
 
     def decode(self, ids) -> str:
         """The text that pieces stand for; byte pieces are joined and read as UTF-8."""
@@ -91,11 +100,15 @@ class Vocabulary:
         return text[1:] if text.startswith(" ") else text
 
 
-class Units:
-    """The lattices of units. What may follow a place depends on the rest of its unit alone, so units share the places
-    of equal endings. A place's edges lie together, each with its probability; place 0 is the end of every unit."""
+@lru_cache(maxsize=1)
+def vocabulary(params: SamplingParams) -> Vocabulary:
+    """The vocabulary, kept for the tasks that a worker runs one after the other."""
+    return Vocabulary(params)
 
-    SHARED = 32  # longer endings are not shared, as their text would be kept
+
+class Units:
+    """The lattices of units. Places are numbered through: one for each character of a unit and one for its end. A place's
+    edges lie together, each with its probability. New units are collected and solved together."""
 
     def __init__(self, vocabulary: Vocabulary):
         self.v = vocabulary
@@ -103,86 +116,71 @@ class Units:
 
     def clear(self) -> None:
         self.index: dict[str, int] = {}
-        self.after = [0]  # the place one character on
+        self.places = 0
         self.several: dict[int, tuple[int, ...]] = {}  # edges that stand for more than one id
-        self.begin, self.to, self.ids = np.zeros(2, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-        self.log_p, self.p, self.rest = np.zeros(0), np.zeros(0), np.zeros(1)
-        self._forget()
-
-    def _forget(self) -> None:
-        self._to: list[int] = []
-        self._piece: list[int] = []
-        self._counts: list[int] = []
-        self._sizes: list[int] = []
+        self.begin, self.to, self.ids = (np.zeros(n, np.int32) for n in (1, 0, 0))
+        self.log_p = np.zeros(0)
+        self._new: list[str] = []
 
     def get(self, unit: str) -> int:
         """The first place of a unit."""
         found = self.index.get(unit)
-        return self._add(unit) if found is None else found
-
-    def _add(self, unit: str) -> int:
-        begun, index, after = self.v.begun.get, self.index, self.after
-        to, piece, size = self._to, self._piece, len(unit)
-        low = max(0, size - self.SHARED)
-        a, now = low + (size <= self.SHARED), None
-        while a < size and (now := index.get(unit[a:])) is None:
-            a += 1
-        at = [0] * (size + 1)
-        if now is not None:  # all shorter endings are there too
-            for b in range(a, size):
-                at[b] = now
-                now = after[now]
-        for a in range(a - 1, -1, -1):
-            before, b = len(to), a + 1
-            known = begun(unit[a:b])
-            if known is None or known < 0:
-                raw = [self.v.byte_ids[x] for x in (MARK if unit[a] == PLAIN_MARK else unit[a]).encode("utf-8", "surrogatepass")]
-                if len(raw) > 1:
-                    self.several[len(self.to) + before] = tuple(raw)
-                to.append(at[b])
-                piece.append(-len(raw) * 1_000_000 - raw[0])
-            while known is not None:
-                if known >= 0:
-                    to.append(at[b])
-                    piece.append(known)
-                b += 1
-                if b > size:
-                    break
-                known = begun(unit[a:b])
-            at[a] = len(after)
-            after.append(at[a + 1])
-            self._counts.append(len(to) - before)
-            self._sizes.append(size - a)
-            if a >= low:
-                index[unit[a:]] = at[a]
-        if low:
-            index[unit] = at[0]
-        return at[0]
+        if found is None:
+            found = self.index[unit] = self.places
+            self.places += len(unit) + 1
+            self._new.append(unit)
+        return found
+
+    def _edges(self, text: str, unit_of: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, dict[int, tuple[int, ...]]]:
+        """First character, length, id and score of all edges of the joined new units, by first character."""
+        found = np.fromiter((end << 32 | code for end, code in self.v.matches.iter(text)), np.int64)
+        ids, size = (found & 0xFFFFFFFF) >> 8, found & 0xFF
+        first = (found >> 32) - size + 1
+        inside = unit_of[first] == unit_of[found >> 32]
+        single = self.v.single[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")]
+        alone, bare = np.flatnonzero(single >= 0), np.flatnonzero(single < 0)  # what is no piece stands as its bytes
+        raw = [[self.v.byte_ids[x] for x in (MARK if text[k] == PLAIN_MARK else text[k]).encode("utf-8", "surrogatepass")] for k in bare]
+        known = np.concatenate([ids[inside], single[alone]])
+        score = np.concatenate([self.v.scores[known], [len(r) * self.v.byte_score for r in raw]])
+        first = np.concatenate([first[inside], alone, bare])
+        size = np.concatenate([size[inside], np.ones(len(text), np.int64)])
+        ids = np.concatenate([known, np.array([r[0] for r in raw], np.int64)])
+        order = np.argsort(first, kind="stable")
+        place = np.empty(len(order), np.int64)
+        place[order] = np.arange(len(order))
+        at = place[len(place) - len(bare) :].tolist()
+        several = {k: tuple(r) for k, r in zip(at, raw, strict=True) if len(r) > 1}
+        return first[order], size[order], ids[order], score[order], several
 
     def solve(self) -> None:
-        """Probabilities of the edges of new places, from sums over the endings of their units."""
-        if not self._counts:
+        """Edges and probabilities of new units, from sums over their endings."""
+        if not self._new:
             return
-        to, piece, counts, sizes = (np.array(x, np.int64) for x in (self._to, self._piece, self._counts, self._sizes))
-        known = piece >= 0
-        score = np.where(known, self.v.scores[np.where(known, piece, 0)], (-piece // 1_000_000) * self.v.byte_score)
-        ids = np.where(known, piece, -piece % 1_000_000)
-        first = len(self.rest)
-        rest = np.concatenate([self.rest, np.zeros(len(counts))])
-        begin = np.concatenate([[0], np.cumsum(counts)])
-        order = np.argsort(sizes, kind="stable")
-        levels = np.flatnonzero(np.diff(sizes[order], prepend=-1, append=-1))
-        for low, high in zip(levels[:-1], levels[1:], strict=True):  # shorter endings first
-            at = order[low:high]
-            count = counts[at]
+        sizes = np.array([len(x) for x in self._new], np.int64)
+        unit_of = np.repeat(np.arange(len(sizes)), sizes)
+        first, size, ids, score, several = self._edges("".join(self._new), unit_of)
+        place = first + unit_of[first]  # of the new places
+        to = place + size
+        begin = np.searchsorted(place, np.arange(int(sizes.sum()) + len(sizes) + 1))
+        rest = np.zeros(len(begin) - 1)
+        ends = np.cumsum(sizes + 1) - 1
+        order = np.argsort(-sizes, kind="stable")
+        ends, longest = ends[order], int(sizes[order[0]])
+        live = np.searchsorted(-sizes[order], -np.arange(1, longest + 1), side="right")
+        for back, n in enumerate(live, 1):
+            at = ends[:n] - back
+            count = begin[at + 1] - begin[at]
             offsets = np.cumsum(count) - count
             edges = np.repeat(begin[at] - offsets, count) + np.arange(int(count.sum()))
-            rest[first + at] = np.logaddexp.reduceat(score[edges] + rest[to[edges]], offsets)
-        log_p = score + rest[to] - np.repeat(rest[first:], counts)
-        self.begin = np.concatenate([self.begin, self.begin[-1] + begin[1:]])
-        self.to, self.ids, self.rest = np.concatenate([self.to, to]), np.concatenate([self.ids, ids]), rest
-        self.log_p, self.p = np.concatenate([self.log_p, log_p]), np.concatenate([self.p, np.exp(log_p)])
-        self._forget()
+            rest[at] = np.logaddexp.reduceat(score[edges] + rest[to[edges]], offsets)
+        log_p = score + rest[to] - rest[place]
+        old_places, old_edges = len(self.begin) - 1, len(self.to)
+        self.several |= {old_edges + k: r for k, r in several.items()}
+        self.begin = np.concatenate([self.begin, (old_edges + begin[1:]).astype(np.int32)])
+        self.to = np.concatenate([self.to, (old_places + to).astype(np.int32)])
+        self.ids = np.concatenate([self.ids, ids.astype(np.int32)])
+        self.log_p = np.concatenate([self.log_p, log_p])
+        self._new = []
 
 
 GOLDEN, M1, M2 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
@@ -243,11 +241,15 @@ def walk_block(u: Units, key: np.ndarray, row: np.ndarray, unit: np.ndarray, pla
         r = uniform(own[active], step)
         e = u.begin[at].copy()
         last = u.begin[at + 1] - 1
-        open_ = np.flatnonzero((r > u.p[e]) & (e < last))
+        share = np.exp(u.log_p[e])
+        open_ = np.flatnonzero((r > share) & (e < last))
+        share = share[open_]
         while len(open_):
-            r[open_] -= u.p[e[open_]]
+            r[open_] -= share
             e[open_] += 1
-            open_ = open_[(r[open_] > u.p[e[open_]]) & (e[open_] < last[open_])]
+            share = np.exp(u.log_p[e[open_]])
+            more = (r[open_] > share) & (e[open_] < last[open_])
+            open_, share = open_[more], share[more]
         which.append(active)
         edges.append(e)
         places.append(at)
@@ -296,7 +298,7 @@ def sample_block(u: Units, keys: list[int], units: list[np.ndarray], k: int) ->
         shift = np.array([0.0 if w is None else w_log(w, at, u) for _, _, _, w, at in todo])
         prefix = before - np.repeat(at_start - shift, np.diff(bounds))
         with np.errstate(divide="ignore"):
-            others = np.log1p(-np.minimum(u.p[edges], 1.0))
+            others = np.log1p(-np.minimum(np.exp(log_p), 1.0))
         others[np.diff(u.begin)[places] == 1] = NONE
         steps = np.arange(len(edges)) - np.repeat(bounds[:-1], np.diff(bounds))
         left = prefix + others + gumbel(uniform(mixed(key[texts], sample, 1 << 41)[of_todo], steps))
@@ -329,11 +331,11 @@ def turn(u: Units, key: np.ndarray, sizes: np.ndarray, x, top: float):
     low, high = int(u.begin[place]), int(u.begin[place + 1])
     gone = w.gone.setdefault(at, [int(w.edges[at])])
     open_ = [e for e in range(low, high) if e not in gone]
-    p = u.p[open_]
+    p = np.exp(u.log_p[open_])
     r = float(uniform(key[i : i + 1], sample, int(w.units[at]), 1 << 42)[0]) * p.sum()
     edge = open_[min(int(np.searchsorted(np.cumsum(p), r)), len(open_) - 1)]
     gone.append(edge)
-    rest = float(p.sum() - u.p[edge]) if len(open_) > 1 else 0.0
+    rest = float(p.sum() - np.exp(u.log_p[edge])) if len(open_) > 1 else 0.0
     prefix = w_log(w, at, u)
     if rest > 0:
         number = uniform(key[i : i + 1], sample, int(w.units[at]), 1 << 43)
@@ -405,11 +407,11 @@ def sample_segmentations(docs: DataFrame, params: SamplingParams | None = None)
     p = params or SamplingParams()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        u = Units(Vocabulary(p))
+        u = Units(vocabulary(p))
         for batch in batches:
             rows = zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True)
             for block in blocks_of(rows, p.block_chars):
-                if len(u.rest) > p.held:
+                if u.places > p.held:
                     u.clear()
                 get = u.get
                 units = [np.array([get(x) for x in units_of(text)], np.int64) for _, text in block]
@@ -432,7 +434,7 @@ def decode(samples: DataFrame, params: SamplingParams | None = None) -> DataFram
     p = params or SamplingParams()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v = Vocabulary(p)
+        v = vocabulary(p)
         for batch in batches:
             texts = [v.decode(np.frombuffer(x, "<u4").tolist()) for x in batch.column("ids").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("rank"), pa.array(texts, pa.string())], names=["doc_id", "rank", "text"])

@@ -21,16 +21,17 @@ def lattice(u, text):
 
 def every_segmentation(v, text):
     """Pieces and log weight of all segmentations, by brute force over the marked text."""
+    ids = {p: i for i, p in enumerate(v.pieces) if i not in v.byte_of and v.scores[i] < 0}
     marked = "▁" + text.replace(" ", "▁")
     out = [[] for _ in range(len(marked) + 1)]
     out[0] = [((), 0.0)]
     for a in range(len(marked)):
         for b in range(a + 1, len(marked) + 1):
-            known = v.begun.get(marked[a:b], -1)
-            if known >= 0:
-                out[b] += [((*ids, known), w + v.scores[known]) for ids, w in out[a]]
+            known = ids.get(marked[a:b])
+            if known is not None:
+                out[b] += [((*before, known), w + v.scores[known]) for before, w in out[a]]
     total = np.logaddexp.reduce([w for _, w in out[-1]])
-    return {ids: w - total for ids, w in out[-1]}
+    return {found: w - total for found, w in out[-1]}
 
 
 def test_probabilities_equal_enumeration(units):
