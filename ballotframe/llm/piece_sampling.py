@@ -34,7 +34,8 @@ from pyspark.sql import functions as F
 
 from .shared import batch_of, text_or_empty
 
-MARK, PLAIN_MARK = "▁", "﷐"
+# A space, and a space mark that stands in the text itself: a lone surrogate, which no text holds.
+MARK, PLAIN_MARK = "▁", "\ud800"
 UNIT = re.compile(f"{MARK}*[^{MARK}]*")
 NONE = -np.inf
 

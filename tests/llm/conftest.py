@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
 #: Texts that operators must not stumble on.
-ODD_TEXTS = [None, "", "   \n\t\n", "word", "Ab aB AB x", "x" * 60_000, "a b c d e f g h i j " * 4_000, "é ß 漢字 ▁ 🙂 \x00 end"]
+ODD_TEXTS = [None, "", "   \n\t\n", "word", "Ab aB AB x", "x" * 60_000, "a b c d e f g h i j " * 4_000, "é ß 漢字 ▁ \ufdd0 🙂 \x00 end"]
 
 
 @pytest.fixture(scope="session")
