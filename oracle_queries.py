@@ -706,7 +706,8 @@ STATEMENTS = {
                           * turnout / 100.0::double) as bigint) as majority
         from (select *, first_value(party) over (partition by scenario_id, view_id, seat order by pct desc, party_ord) as winner,
                      row_number() over (partition by scenario_id, view_id, seat order by pct desc, party_ord) as rn
-              from (select *, moved / (sum(moved) over (partition by scenario_id, view_id, seat) / 100.0::double) as pct
+              from (select *, moved / (sum(moved) over (partition by scenario_id, view_id, seat order by party
+                                         rows between unbounded preceding and unbounded following) / 100.0::double) as pct
                     from (select c.scenario_id, c.view_id, s.seat, s.region, s.turnout, c.party,
                                  cast(substr(c.party, 2, 1) as int) as party_ord,
                                  greatest(coalesce(100.0::double * r.prev_votes / s.prev_turnout, 0) + c.change,
