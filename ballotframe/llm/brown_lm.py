@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import ascii_lower_words, batch_of, stored, text_or_empty
+from .shared import ascii_lower_words, batch_of, small, stored, text_or_empty
 
 END = b""
 MAX_WORD_BYTES = 64
@@ -309,7 +309,7 @@ def score_texts(docs: DataFrame, model: BrownModel, counts: DataFrame) -> DataFr
         index, end = _Indexer(vocab), vocab.end
         unknown = np.log10(vocab.train_tokens + vocab.train_words + 1.0)
         part = TaskContext.get().partitionId()
-        for batch in batches:
+        for batch in small(batches):
             out: list[list] = [[] for _ in PART_SCHEMA]
             for doc_id, held_out, text in zip(*(batch.column(k).to_pylist() for k in ("doc_id", "held_out", "text")), strict=True):
                 ids = np.array([end, *map(index.__getitem__, ascii_lower_words(text)), end], np.int64)

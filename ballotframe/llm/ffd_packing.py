@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import stored, text_or_empty
+from .shared import small, stored, text_or_empty
 
 WIDTH = 4  # bytes of an id
 
@@ -68,7 +68,7 @@ def tokenize(docs: DataFrame, params: PackingParams) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, end = encoder(params), np.array([params.end_id], "<u4").tobytes()
-        for batch in batches:
+        for batch in small(batches):
             ids = [encode(t).tobytes() + end for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(ids, pa.binary())], names=["doc_id", "ids"])
 

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import batch_of, stored, text_or_empty
+from .shared import batch_of, small, stored, text_or_empty
 
 SPACES = " \t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
@@ -106,7 +106,7 @@ def document_stats(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, pos = TaskContext.get().partitionId(), 0
-        for batch in batches:
+        for batch in small(batches):
             rows = []
             for doc_id, host, key, text in zip(*(batch.column(k).to_pylist() for k in ("doc_id", "host", "key", "text")), strict=True):
                 *numbers, lines = text_stats(text)

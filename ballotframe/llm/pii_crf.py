@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import batch_of, text_or_empty
+from .shared import batch_of, small, text_or_empty
 
 KINDS = ("email", "ip", "card", "phone")
 OTHER = "other"
@@ -424,7 +424,7 @@ def find_personal_data(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         decoder = Decoder(sent.value)
         structs = lambda spans: [{"kind": k, "start": s, "end": e} for s, e, k in spans]
-        for batch in batches:
+        for batch in small(batches):
             found = list(text_spans(decoder, batch.column("text").to_pylist()))
             yield batch_of(FOUND, [batch.column("doc_id").to_pylist(), [structs(b) for b, _ in found], [structs(x) for _, x in found]])
 

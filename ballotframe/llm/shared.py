@@ -5,7 +5,6 @@ from __future__ import annotations
 import uuid
 from collections.abc import Iterator
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -43,9 +42,11 @@ def id_remainder(n: int, name: str = "doc_id") -> Column:
     return F.crc32(F.coalesce(F.col(name).cast("string"), F.lit("")).cast("binary")) % n
 
 
-def rows_of(batch: pa.RecordBatch, *names: str) -> Iterator[tuple]:
-    """The rows of a batch as tuples of Python values."""
-    return zip(*(batch.column(n).to_pylist() for n in names), strict=True)
+def small(batches: Iterator[pa.RecordBatch], rows: int = 1_000) -> Iterator[pa.RecordBatch]:
+    """The batches in parts of at most so many rows, so that few of them stand as Python values at a time."""
+    for batch in batches:
+        for k in range(0, batch.num_rows, rows):
+            yield batch.slice(k, rows)
 
 
 def batch_of(schema: pa.Schema, columns: list[list]) -> pa.RecordBatch:
@@ -55,7 +56,3 @@ def batch_of(schema: pa.Schema, columns: list[list]) -> pa.RecordBatch:
 def ascii_lower_words(text: str) -> list[bytes]:
     """Words between ASCII white space, with A-Z in lower case; other letters stay."""
     return text.encode("utf-8", "surrogatepass").lower().split()
-
-
-def log10_safe(x: np.ndarray) -> np.ndarray:
-    return np.log10(np.maximum(x, 1e-300))
