@@ -10,6 +10,9 @@ pairs are exact. Trees are fitted on a bounded sample of fingerprints; every fin
 Large shards are split: into a grid of chunks across tasks, and by more vantage points within a task.
 A task passes on a spanning forest of the pairs it found, never all pairs of a group.
 
+With ``check``, links of fingerprints only say which texts to compare: within each of their components, all texts are
+compared by the Jaccard similarity of their sets of shingles, and components of the similar pairs are the result.
+
 Nulls: a null text is empty. Its fingerprint is zero, linked like any other. A row without doc_id keeps its
 fingerprint, has no component and links no others. Repeated rows are copies; each has its row in the result.
 """
@@ -39,7 +42,9 @@ PAIRS_AT_ONCE = 4_000_000
 class SimHashParams:
     """``shingle``: words of a shingle, 0 for the set of distinct words; ``prints``: fingerprints of a text, from
     different hashes of the features; texts are linked if one of them links; ``radius``: differing bits; ``leaf``: fingerprints wanted in a shard;
-    ``sample``: fingerprints a tree is fitted on, at most; ``chunk``: fingerprints of a shard in one task."""
+    ``sample``: fingerprints a tree is fitted on, at most; ``chunk``: fingerprints of a shard in one task;
+    ``check``: words of the shingles that linked texts are compared by, 0 for no check; ``similar``: least Jaccard
+    similarity of their sets; ``compared``: shingles of a chunk of texts in one task, a text counts as 1,000 at least."""
 
     shingle: int = 3
     seed: int = 42
@@ -48,6 +53,9 @@ class SimHashParams:
     leaf: int = 1_024
     sample: int = 32_768
     chunk: int = 100_000
+    check: int = 0
+    similar: float = 0.8
+    compared: int = 2_000_000
 
 
 def rehashed(hashes: np.ndarray, k: int) -> np.ndarray:
@@ -79,19 +87,43 @@ def features_of(text: str, shingle: int) -> list[bytes]:
     return [b" ".join(words[k : k + shingle]) for k in range(len(words) - shingle + 1)]
 
 
+def shingle_set(text: str, shingle: int) -> np.ndarray:
+    """The hashes of the distinct shingles of a text, sorted; a shorter text is one shingle."""
+    words = ascii_lower_words(text)
+    hashes = np.array([xxhash.xxh64_intdigest(w) for w in words], np.uint64)
+    if len(words) < shingle:
+        return hashes[:0] if not words else np.array([xxhash.xxh64_intdigest(b" ".join(words))], np.uint64)
+    n = len(words) - shingle + 1
+    out = np.zeros(n, np.uint64)
+    for k in range(shingle):
+        out = rehashed(out ^ hashes[k : k + n], k + 1)
+    return np.unique(out)
+
+
+def set_digest(shingles: np.ndarray) -> int:
+    """Equal for texts with equal sets of shingles."""
+    return xxhash.xxh64_intdigest(shingles.tobytes()) - (1 << 63)
+
+
 def fingerprints(docs: DataFrame, params: SimHashParams) -> DataFrame:
-    """(doc_id, fps array<long>), one row per input row."""
+    """(doc_id, fps array<long>), one row per input row; with ``check`` also the digest and size of its shingle set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
+            rows, digests, sizes = [], [], []
             for text in batch.column("text"):
                 features = features_of(text.as_py(), params.shingle)
                 rows.append(fingerprints_of(features, params.seed, params.prints))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(rows, pa.list_(pa.int64()))], names=["doc_id", "fps"])
+                if params.check:
+                    shingles = shingle_set(text.as_py(), params.check)
+                    digests.append(set_digest(shingles))
+                    sizes.append(len(shingles))
+            columns = [batch.column("doc_id"), pa.array(rows, pa.list_(pa.int64()))]
+            more = [pa.array(digests, pa.int64()), pa.array(sizes, pa.int64())] if params.check else []
+            yield pa.RecordBatch.from_arrays(columns + more, names=["doc_id", "fps", "digest", "size"][: 2 + len(more)])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
-    return rows.mapInArrow(run, "doc_id long, fps array<long>")
+    return rows.mapInArrow(run, "doc_id long, fps array<long>" + (", digest long, size long" if params.check else ""))
 
 
 def halves(fps: np.ndarray, half: int) -> np.ndarray:
@@ -263,19 +295,145 @@ def close_links(points: DataFrame, params: SimHashParams) -> DataFrame:
     return cut.groupBy(*leaf, "q", "d").applyInPandas(pairs, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, params: SimHashParams | None = None) -> DataFrame:
-    """(doc_id, fps, component_id) for each row: the smallest doc_id that links reach from it."""
-    params = params or SimHashParams()
-    prints = stored(fingerprints(docs, params))
-    nodes = stored(prints.where("doc_id IS NOT NULL").groupBy("fps").agg(F.min("doc_id").alias("node")))
+def linked(nodes: DataFrame, params: SimHashParams) -> DataFrame:
+    """(a, b): each node but the smallest of its component, with that node. ``nodes``: (fps, node), stored."""
     every = nodes.select(F.posexplode("fps").alias("print", "fp"), "node")
     points = stored(every.groupBy("print", "fp").agg(F.min("node").alias("node")))
     edges = close_links(points, params)
-    if params.prints > 1:
+    if params.prints > 1 or params.check:
         least = points.withColumnRenamed("node", "least")
         same = every.join(least, ["print", "fp"]).where("node > least").select(F.col("node").alias("a"), F.col("least").alias("b"))
         edges = edges.unionByName(same)
+    return component_stars(edges)
+
+
+def join_similar(sets: list[np.ndarray], rows: np.ndarray, columns: np.ndarray, similar: float, forest: Forest) -> None:
+    """Joins every pair of a row and a column whose sets have at least this Jaccard similarity.
+
+    Sets of n elements with that similarity share one of the n - ceil(similar * n) + 1 elements that come first in any
+    common order; here rare ones come first. Pairs that are joined already are not compared.
+    """
+    sizes = np.array([len(s) for s in sets], np.int64)
+    ends = np.cumsum(sizes)
+    starts = ends - sizes
+    if not len(ends) or not ends[-1]:
+        return
+    _, tokens, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    place = np.empty(len(times), np.int64)
+    place[np.argsort(times, kind="stable")] = np.arange(len(times))
+    tokens = place[tokens]
+    for s, e in zip(starts, ends, strict=True):
+        tokens[s:e].sort()
+    first = sizes - np.ceil(similar * sizes - 1e-9).astype(np.int64) + 1
+    held = np.flatnonzero(columns & (sizes > 0))
+    of = np.repeat(held, first[held])
+    key = np.concatenate([tokens[starts[k] : starts[k] + first[k]] for k in held]) if len(held) else tokens[:0]
+    order = np.argsort(key, kind="stable")
+    of, bounds = of[order], np.searchsorted(key[order], np.arange(len(times) + 1))
+    mark, met = np.zeros(len(times), np.int64), np.zeros(len(sets), bool)
+    for k in np.flatnonzero(rows & (sizes > 0)):
+        for t in tokens[starts[k] : starts[k] + first[k]]:
+            met[of[bounds[t] : bounds[t + 1]]] = True
+        others = np.flatnonzero(met)
+        met[others] = False
+        # a pair of two rows that are columns too is compared once
+        others = others[~(rows[others] & columns[k]) | (others > k)]
+        low, high = np.minimum(sizes[others], sizes[k]), np.maximum(sizes[others], sizes[k])
+        others = others[(low >= similar * high - 1e-9) & (others != k)]
+        top = forest.root(forest.label[k])
+        others = others[[forest.root(x) != top for x in forest.label[others]]] if len(others) else others
+        mark[tokens[starts[k] : ends[k]]] = 1
+        alike = []
+        for j in others:
+            both = int(mark[tokens[starts[j] : ends[j]]].sum())
+            if both >= similar * (sizes[k] + sizes[j] - both) - 1e-9:
+                alike.append(j)
+        mark[tokens[starts[k] : ends[k]]] = 0
+        if alike:
+            forest.join(k, np.array(alike))
+
+
+def similar_links(docs: DataFrame, nodes: DataFrame, stars: DataFrame, params: SimHashParams) -> DataFrame:
+    """(a, b), a > b: a spanning forest of the similar pairs within each component of ``stars``.
+
+    ``nodes``: (node, size), a node is the digest of a shingle set. A component with more shingles than a chunk is cut
+    by size first: sizes of a similar pair lie in one class or in two that follow each other. Classes that are still
+    larger are compared in a grid of chunks. Every pair of texts that can be similar meets in a task.
+    """
+    near = stars.select(F.col("a").alias("node"), F.col("b").alias("top"))
+    near = stored(near.unionByName(near.select(F.col("top").alias("node"), "top").distinct()).join(nodes, "node"))
+    weight = F.sum(F.greatest("size", F.lit(1_000)))
+    big = near.groupBy("top").agg(weight.alias("all")).where(F.col("all") > params.compared).select("top", F.lit(True).alias("big"))
+    # neighbouring classes overlap by a little, so that rounding loses no pair
+    step = F.floor(F.log(F.greatest("size", F.lit(1)).cast("double")) / F.log(F.lit(1.001 / params.similar))).cast("int")
+    near = stored(near.join(big, "top", "left").withColumn("class", F.when(F.col("big"), step).otherwise(0)))
+    lower = near.where("big").withColumn("class", F.col("class") + 1).withColumn("row", F.lit(False))
+    both = near.withColumn("row", F.lit(True)).unionByName(lower)
+    ceil = lambda c: F.ceil(c / params.compared).cast("int")
+    held = F.greatest("size", F.lit(1_000))
+    sizes = both.groupBy("top", "class").agg(ceil(F.sum(F.when(F.col("row"), held))).alias("qs"), ceil(F.sum(held)).alias("ds"))
+    at = F.xxhash64("node")
+    cut = both.join(sizes.where("qs > 0"), ["top", "class"]).withColumn("q", F.pmod(at, "qs").cast("int")).withColumn("d", F.pmod(at, "ds").cast("int"))
+    cell = lambda q, d, row, column: F.struct(q.alias("q"), d.alias("d"), row.alias("row"), column.alias("column"))
+    own, yes, no = F.col("row"), F.lit(True), F.lit(False)
+    as_row = F.when(own, F.transform(F.sequence(F.lit(0), F.col("ds") - 1), lambda d: cell(F.col("q"), d, yes, d == F.col("d"))))
+    as_column = F.transform(F.sequence(F.lit(0), F.col("qs") - 1), lambda q: cell(q, F.col("d"), no, yes))
+    as_column = F.when(own, F.filter(as_column, lambda c: c["q"] != F.col("q"))).otherwise(as_column)
+    cells = F.when(own, F.concat(as_row, as_column)).otherwise(as_column)
+    cut = cut.select("node", "top", "class", F.explode(cells).alias("c")).select("node", "top", "class", "c.*")
+
+    def once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
+        for batch in batches:
+            digests = [set_digest(shingle_set(t.as_py(), params.check)) for t in batch.column("text")]
+            new = [k for k, x in enumerate(digests) if not (x in seen or seen.add(x))]
+            yield pa.RecordBatch.from_arrays([pa.array([digests[k] for k in new], pa.int64()), batch.column("text").take(pa.array(new, pa.int64()))], names=["node", "text"])
+
+    texts = docs.where("doc_id IS NOT NULL").select(text_or_empty().alias("text")).mapInArrow(once, "node long, text string")
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sets: dict[int, tuple[np.ndarray, bool, bool]] = {}
+        for batch in batches:
+            for node, row, column, text in zip(*(batch.column(k).to_pylist() for k in ("node", "row", "column")), batch.column("text"), strict=True):
+                if node not in sets:
+                    sets[node] = shingle_set(text.as_py(), params.check), row, column
+        nodes = np.array(list(sets), np.int64)
+        shingles, rows, columns = zip(*sets.values(), strict=True)
+        forest = Forest(len(nodes))
+        join_similar(list(shingles), np.array(rows), np.array(columns), params.similar, forest)
+        roots = forest.roots()
+        least = np.full(len(nodes), np.iinfo(np.int64).max)
+        np.minimum.at(least, roots, nodes)
+        least = least[roots]
+        yield pa.RecordBatch.from_arrays([pa.array(nodes[nodes != least]), pa.array(least[nodes != least])], names=["a", "b"])
+
+    return cut.join(texts, "node").select("top", "class", "q", "d", "node", "row", "column", "text").groupBy("top", "class", "q", "d").applyInArrow(compare, "a long, b long")
+
+
+def checked_duplicates(docs: DataFrame, params: SimHashParams) -> DataFrame:
+    """near_duplicates with ``check``, and each row's digest of its shingle set."""
+    prints = stored(fingerprints(docs, params))
+    nodes = prints.where("doc_id IS NOT NULL").groupBy(F.col("digest").alias("node"))
+    nodes = stored(nodes.agg(F.first("fps").alias("fps"), F.first("size").alias("size"), F.min("doc_id").alias("id")))
+    edges = similar_links(docs, nodes.select("node", "size"), linked(nodes.select("fps", "node"), params), params)
     stars = component_stars(edges)
+    labels = nodes.join(stars.select(F.col("a").alias("node"), "b"), "node", "left").select("node", "id", F.coalesce("b", "node").alias("top"))
+    labels = stored(labels)
+    least = labels.groupBy("top").agg(F.min("id").alias("least"))
+    labels = labels.join(least, "top").select(F.col("node").alias("digest"), "least")
+    return prints.join(labels, "digest", "left").select(
+        "doc_id", "fps", F.when(F.col("doc_id").isNotNull(), F.col("least")).alias("component_id"), "digest"
+    )
+
+
+def near_duplicates(docs: DataFrame, params: SimHashParams | None = None) -> DataFrame:
+    """(doc_id, fps, component_id) for each row: the smallest doc_id that links reach from it."""
+    params = params or SimHashParams()
+    if params.check:
+        return checked_duplicates(docs, params).drop("digest")
+    prints = stored(fingerprints(docs, params))
+    nodes = stored(prints.where("doc_id IS NOT NULL").groupBy("fps").agg(F.min("doc_id").alias("node")))
+    stars = linked(nodes, params)
     labels = nodes.join(stars.select(F.col("a").alias("node"), "b"), "node", "left").select("fps", F.coalesce("b", "node").alias("least"))
     return prints.join(labels, "fps", "left").select(
         "doc_id", "fps", F.when(F.col("doc_id").isNotNull(), F.col("least")).alias("component_id")
@@ -283,8 +441,9 @@ def near_duplicates(docs: DataFrame, params: SimHashParams | None = None) -> Dat
 
 
 #: For removing near copies: near copies share most of their words, so fingerprints of the word set stay close when
-#: shingles do not; eight of them catch nearly all texts whose five-word shingles are similar to 0.8 or more.
-NEAR_COPIES = SimHashParams(shingle=0, prints=8)
+#: shingles do not; eight of them catch nearly all texts whose five-word shingles are similar to 0.8 or more. They also
+#: join many that are not, so all linked texts are compared by their shingles.
+NEAR_COPIES = SimHashParams(shingle=0, prints=8, check=5)
 
 
 def one_of_each(docs: DataFrame, params: SimHashParams = NEAR_COPIES) -> DataFrame:

@@ -88,3 +88,38 @@ def test_one_of_each_keeps_smallest_ids(make_docs):
     docs = make_docs([(5, text), (2, near), (9, text), (9, text), (7, "something else entirely, with words of its own"), (None, text)])
     kept = simhash_vp.one_of_each(docs)
     assert sorted((r.doc_id for r in kept.collect()), key=str) == [2, 7, None] and kept.columns == docs.columns
+
+
+def shingles(text, n=5):
+    words = shared.ascii_lower_words(text or "")
+    return {tuple(words[k : k + n]) for k in range(max(1, len(words) - n + 1))} if words else set()
+
+
+def test_texts_of_one_vocabulary_are_no_copies(make_docs):
+    words = [f"word{k}" for k in range(300)]
+    rows = [(k, " ".join(np.random.default_rng(k).permutation(words))) for k in range(6)]
+    kept = simhash_vp.one_of_each(make_docs([*rows, (9, rows[3][1].replace("word150", "other"))]))
+    assert sorted(r.doc_id for r in kept.collect()) == [0, 1, 2, 3, 4, 5]
+
+
+@pytest.mark.parametrize("compared", [2_000_000, 6_000])
+def test_checked_components_equal_brute_force(make_docs, compared):
+    rng, rows = np.random.default_rng(5), []
+    for family in range(4):
+        base = [f"f{family}w{k}" for k in rng.integers(0, 200, 120 + 40 * family)]
+        for edits in (0, 0, 1, 1, 2, 2, 3, 4, 5, 6, 8, 12):
+            words = list(base)
+            for at in rng.integers(0, len(words), edits):
+                words[at] = f"edit{rng.integers(0, 10**9)}"
+            rows.append((len(rows), " ".join(words)))
+        rows.append((len(rows), " ".join(base[: int(0.85 * len(base))])))
+        rows.append((len(rows), " ".join(base[::-1])))
+    params = SimHashParams(shingle=0, prints=1, radius=64, leaf=10**9, check=5, compared=compared)
+    parent, sets = list(range(len(rows))), [shingles(t) for _, t in rows]
+    for a in range(len(rows)):
+        for b in range(a):
+            if 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]):
+                x, y = sorted((parent[a], parent[b]))
+                parent = [x if p == y else p for p in parent]
+    got = {r.doc_id: r.component_id for r in simhash_vp.near_duplicates(make_docs(rows), params).collect()}
+    assert len(set(parent)) > 8 and got == dict(enumerate(parent))
