@@ -1,9 +1,9 @@
 """Quality rules: word and repetition rules of one document, and lines that too many documents of a host share.
 
 Lines are normalised (lower case, single spaces) and hashed. For each host (the ``source`` column) and line, distinct
-documents are counted. Copies must not make each other look like boilerplate, so documents count as distinct by their
-smallest line hash (other than the line itself): copies share it, unrelated documents do not. A line above the host's
-limit is removed; a document that loses more than half of its words and keeps too few is depleted and rejected.
+documents are counted. Copies must not make each other look like boilerplate, so documents count as distinct by a digest
+of their whole set of lines: exact copies count once, near copies each. A line above the host's limit is removed; a
+document that loses more than half of its words and keeps too few is depleted and rejected.
 
 Counts cover every line of every document. They are summed in the tasks before the shuffle, so a frequent line or a
 large host is never gathered anywhere.
@@ -14,7 +14,7 @@ with its own row in the result.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -66,6 +66,11 @@ def line_hash(line: str) -> int:
     return xxhash.xxh64_intdigest(" ".join(line.lower().split()).encode("utf-8", "surrogatepass")) - (1 << 63)
 
 
+def lines_digest(hashes: Iterable[int]) -> int:
+    """Equal for documents with the same set of lines."""
+    return xxhash.xxh64_intdigest(np.array(sorted(hashes), np.int64).tobytes()) - (1 << 63)
+
+
 def text_stats(text: str) -> tuple[int, int, int, int, int, dict[int, int]]:
     """n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, and the words of each distinct line by its hash."""
     words: list[bytes] = []
@@ -87,12 +92,12 @@ def text_stats(text: str) -> tuple[int, int, int, int, int, dict[int, int]]:
 
 STATS = pa.schema(
     [("doc_id", pa.int64()), ("host", pa.string()), ("key", pa.int64()), ("part", pa.int32()), ("pos", pa.int64())]
-    + [(n, pa.int64()) for n in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "first", "second")]
+    + [(n, pa.int64()) for n in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "digest")]
     + [("lines", pa.list_(pa.struct([("h", pa.int64()), ("words", pa.int64())])))]
 )
 STATS_DDL = (
     "doc_id long, host string, key long, part int, pos long, n_words long, word_chars long, n_symbols long, n_dup_lines long, "
-    "n_repeat_words long, first long, second long, lines array<struct<h: long, words: long>>"
+    "n_repeat_words long, digest long, lines array<struct<h: long, words: long>>"
 )
 
 
@@ -110,8 +115,7 @@ def document_stats(docs: DataFrame) -> DataFrame:
             rows = []
             for doc_id, host, key, text in zip(*(batch.column(k).to_pylist() for k in ("doc_id", "host", "key", "text")), strict=True):
                 *numbers, lines = text_stats(text)
-                first, second = (sorted(lines)[:2] + [0, 0])[:2]
-                rows.append((doc_id, host, key, part, pos, *numbers, first, second, [{"h": h, "words": n} for h, n in lines.items()]))
+                rows.append((doc_id, host, key, part, pos, *numbers, lines_digest(lines), [{"h": h, "words": n} for h, n in lines.items()]))
                 pos += 1
             yield batch_of(STATS, [list(c) for c in zip(*rows, strict=True)] if rows else [[] for _ in STATS])
 
@@ -122,10 +126,9 @@ def document_stats(docs: DataFrame) -> DataFrame:
 def common_lines(stats: DataFrame, params: LineRuleParams) -> DataFrame:
     """(host, h): lines above the limit of their host. There are at most (lines of a document / host_share) for a host."""
     host = F.coalesce("host", F.lit(""))
-    sizes = stats.groupBy(host.alias("host"), "first", "second").agg(F.lit(1).alias("x")).groupBy("host").agg(F.count("*").alias("docs"))
-    lines = stats.select(host.alias("host"), "first", "second", F.explode("lines.h").alias("h"))
-    other = F.when(F.col("h") == F.col("first"), F.col("second")).otherwise(F.col("first"))
-    apart = lines.select("host", "h", other.alias("other")).groupBy("host", "h", "other").agg(F.lit(1).alias("x"))
+    sizes = stats.groupBy(host.alias("host"), "digest").agg(F.lit(1).alias("x")).groupBy("host").agg(F.count("*").alias("docs"))
+    lines = stats.select(host.alias("host"), "digest", F.explode("lines.h").alias("h"))
+    apart = lines.groupBy("host", "h", "digest").agg(F.lit(1).alias("x"))
     counts = apart.groupBy("host", "h").agg(F.count("*").alias("docs_with"))
     counts = counts.where(F.col("docs_with") > params.host_least)
     return counts.join(sizes, "host").where(F.col("docs_with") > params.host_share * F.col("docs")).select("host", "h", "docs_with")

@@ -59,3 +59,11 @@ def test_shared_lines_go_and_depleted_documents_are_rejected(make_docs):
     assert all(got[200 + k].kept for k in range(60))  # copies do not make each other boilerplate
     clean = {r.doc_id: r.text for r in line_rules.clean_documents(docs, LineRuleParams(host_least=10)).collect()}
     assert clean[3] == f"{own_words(3, 30)}\n{own_words('3b', 12)}" and 100 not in clean and clean[200] == copies
+
+
+def test_documents_of_shared_passages_count_one_by_one(make_docs):
+    pool = [own_words(f"p{j}", 12) for j in range(8)]
+    rows = [(k, "\n".join(pool[j] for j in range(8) if (k + 1) >> j & 1), "a") for k in range(255)]
+    stats = line_rules.stored(line_rules.document_stats(make_docs(rows + rows)))
+    found = line_rules.common_lines(stats, LineRuleParams()).collect()
+    assert sorted((r.h, r.docs_with) for r in found) == sorted((line_rules.line_hash(x), 128) for x in pool)
