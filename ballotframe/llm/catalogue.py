@@ -7,7 +7,21 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import block_ann, brown_lm, chat_fsm, ffd_packing, line_rules, mincut_html, pii_crf, piece_sampling, simhash_vp, toxicity_gbt
+from . import (
+    bit_sliced_resampling,
+    block_ann,
+    brown_lm,
+    chat_fsm,
+    ffd_packing,
+    line_rules,
+    mincut_html,
+    pii_crf,
+    piece_sampling,
+    prefix_tokens,
+    sharded_lloyd,
+    simhash_vp,
+    toxicity_gbt,
+)
 from .shared import id_remainder, table
 
 
@@ -57,6 +71,18 @@ def op10_pii_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii_crf.span_digests(table(spark, sf_dir, "documents"))
 
 
+def op11_bit_sliced_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bit_sliced_resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op12_prefix_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_tokens.token_report(table(spark, sf_dir, "documents"), limit=2048)
+
+
+def op13_sharded_lloyd(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharded_lloyd.cluster_report(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_brown_lm": op1_brown_lm,
     "op2_piece_sampling": op2_piece_sampling,
@@ -68,6 +94,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_block_ann": op8_block_ann,
     "op9_line_rules": op9_line_rules,
     "op10_pii_crf": op10_pii_crf,
+    "op11_bit_sliced_resampling": op11_bit_sliced_resampling,
+    "op12_prefix_tokens": op12_prefix_tokens,
+    "op13_sharded_lloyd": op13_sharded_lloyd,
 }
 
-ORACLES: dict[str, str] = {"op4_chat_fsm": chat_fsm.ORACLE, "op8_block_ann": block_ann.ORACLE}
+ORACLES: dict[str, str] = {
+    "op4_chat_fsm": chat_fsm.ORACLE,
+    "op8_block_ann": block_ann.ORACLE,
+    "op11_bit_sliced_resampling": bit_sliced_resampling.ORACLE,
+    "op13_sharded_lloyd": sharded_lloyd.ORACLE,
+}

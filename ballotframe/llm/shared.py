@@ -2,30 +2,13 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, else one below the warehouse."""
-    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    return folder.rstrip("/") if folder else spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_scratch"
-
-
-def stored(df: DataFrame) -> DataFrame:
-    """Writes ``df`` to the shared folder and reads it back.
-
-    The lineage ends there: a lost executor costs a read, not the job so far. The files stay
-    until the folder is cleaned.
-    """
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/corpus-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+from ..storage import stored  # noqa: F401  used by the operators
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
