@@ -8,9 +8,10 @@ one row for every party of a poll area; a party the poll did not ask about has
 from __future__ import annotations
 
 import datetime as dt
+import math
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numeric import half_up, pct
@@ -69,13 +70,14 @@ def to_fraction(polls: DataFrame, pollster: DataFrame) -> DataFrame:
 
 
 def with_weight(polls: DataFrame, pollster: DataFrame, as_of: dt.date | str | Column, decay: float = 0.7) -> DataFrame:
-    """Adds ``weight`` = base weight * decay ^ (days since fieldwork), or the pollster's fixed weight."""
+    """Polls up to ``as_of`` with ``weight`` = base weight * decay ^ (days since fieldwork), or the pollster's fixed weight."""
     day = as_of if isinstance(as_of, Column) else F.lit(str(as_of)).cast("date")
     days = F.datediff(day, F.col("fieldwork_date"))
     weights = pollster.select("company", "base_weight", "fixed_weight")
     aged = F.col("base_weight") * F.pow(F.lit(decay), days)
     return (
-        polls.join(weights, "company")
+        polls.where(F.col("fieldwork_date") <= day)
+        .join(weights, "company")
         .withColumn("weight", F.coalesce("fixed_weight", aged))
         .drop("base_weight", "fixed_weight")
     )
@@ -139,6 +141,81 @@ def blend(weighted: DataFrame, old: DataFrame, crosswalk: DataFrame, keys: Seque
     )
 
 
+def decay_sums(
+    rows: DataFrame, keys: Sequence[str], day: str, decayed: Sequence[str], plain: Sequence[str], decay: float
+) -> DataFrame:
+    """Running sums over the days of a key, in place of the columns: of ``decayed`` values with ``decay`` for each day since.
+
+    ``rows`` has one row for each key and day. The sum of a day is that of an earlier one times decay ^ (days between)
+    plus what came since, so one scan over the days gives the sums of all of them. Within a block of days, values are scaled
+    to its start (blocks are short enough for that to be exact in doubles) and summed; the blocks before it, a
+    number for each, are carried in. Rows meet by key: as many as there are days.
+    """
+    if decay <= 0:
+        raise ValueError("decay must be positive")
+    length = 1 << 20 if decay == 1 else max(1, int(100 / abs(math.log10(decay))))
+    number = F.datediff(F.col(day), F.lit("2000-01-01").cast("date"))
+    power = lambda days: F.pow(F.lit(float(decay)), days)
+    block, since = F.floor(number / F.lit(length)), F.pmod(number, F.lit(length))
+    scaled = rows.withColumns({"_block": block, "_since": since})
+    scaled = scaled.withColumns({c: F.col(c) / power(F.col("_since")) for c in decayed})
+    inside = Window.partitionBy(*keys, "_block").orderBy(day)
+    series = Window.partitionBy(*keys)
+    last = F.lead(day).over(inside).isNull()
+    sums = scaled.withColumns({c: F.sum(c).over(inside) for c in decayed}).withColumn("_last", last)
+    sums = sums.withColumns({c: F.sum(c).over(series.orderBy(day)) for c in plain})
+    totals = F.collect_list(F.when(F.col("_last"), F.struct("_block", *decayed))).over(series)
+    sums = sums.withColumn("_totals", totals)
+    before = F.filter("_totals", lambda t: t["_block"] < F.col("_block"))
+
+    def whole(c: str) -> Column:
+        carried = F.aggregate(before, F.lit(0.0), lambda s, t: s + t[c] * power((F.col("_block") - t["_block"]) * length))
+        return (F.col(c) + carried) * power(F.col("_since"))
+
+    return sums.withColumns({c: whole(c) for c in decayed}).drop("_block", "_since", "_last", "_totals")
+
+
+def blend_history(
+    polls: DataFrame, pollster: DataFrame, old: DataFrame, crosswalk: DataFrame, dates: Sequence[dt.date | str],
+    decay: float = 0.7, keys: Sequence[str] = (),
+) -> DataFrame:
+    """``blend`` of the polls up to each of many dates (column ``as_of``), in one scan over the days.
+
+    ``polls`` have fractions, no weights yet. They collapse to a row for each region, party and day before dates come
+    in; no poll is repeated for a date. ``old``: as for ``blend``, without dates.
+    """
+    day, series = "as_of", [*keys, "region", "party"]
+    daily = (
+        polls.where(F.col("fraction").isNotNull())
+        .groupBy("company", "area", "party", F.col("fieldwork_date").alias(day))
+        .agg(F.sum("fraction").alias("f"), F.count(F.lit(1)).alias("n"))
+        .join(pollster.select("company", "base_weight", "fixed_weight"), "company")
+    )
+    area = Window.partitionBy(*keys, "company", "area", "party")  # a row for each region of the area
+    share = F.try_divide(F.sum("votes").over(area), F.sum("turnout").over(area))
+    placed = old.join(crosswalk.select("company", "area", "region"), "region").select(
+        *keys, "company", "area", "region", "party", share.alias("area_share")
+    )
+    moved = F.col("f") - F.col("n") * F.col("area_share")
+    aged = F.when(F.col("fixed_weight").isNull(), F.col("base_weight"))
+    zero = F.lit(0.0)
+    sums = daily.join(placed, ["company", "area", "party"]).groupBy(*series, day).agg(
+        F.coalesce(F.sum(aged * moved), zero).alias("ws"), F.coalesce(F.sum(aged * F.col("n")), zero).alias("w"),
+        F.coalesce(F.sum(F.col("fixed_weight") * moved), zero).alias("fixed_ws"),
+        F.coalesce(F.sum(F.col("fixed_weight") * F.col("n")), zero).alias("fixed_w"), F.sum("n").alias("n"),
+    )
+    days = F.explode(F.array(*(F.lit(str(d)).cast("date") for d in dates))).alias(day)
+    asked = old.select(*series, F.col("share").alias("old_share"), F.lit(True).alias("asked"), days)
+    rows = sums.unionByName(asked, allowMissingColumns=True).groupBy(*series, day).agg(
+        F.max("old_share").alias("old_share"), F.max("asked").alias("asked"),
+        *(F.coalesce(F.sum(c), zero).alias(c) for c in ("ws", "w", "fixed_ws", "fixed_w")), F.coalesce(F.sum("n"), F.lit(0)).alias("n"),
+    )
+    seen = decay_sums(rows, series, day, ["ws", "w"], ["fixed_ws", "fixed_w", "n"], decay).where("asked")
+    estimate = F.col("old_share") * (F.col("w") + F.col("fixed_w")) + F.col("ws") + F.col("fixed_ws")
+    polled = F.col("n") > 0
+    return seen.select(*series, day, "old_share", F.when(polled, estimate).alias("estimate"), polled.alias("had_polls"))
+
+
 def poll_points(
     polls: DataFrame,
     parties: Sequence[str] = tuple(dims.TRACKER_PARTIES),

@@ -441,8 +441,8 @@ def project_seats(spark, d):
 
 @query
 def nowcast_history(spark, d):
-    """The change in both elections as seen on three days."""
-    days = ["2024-01-10", "2024-01-20", "2024-02-01"]
+    """The change in both elections as seen on every day of the polls and on two days after them."""
+    days = [dt.date(2024, 1, 1) + dt.timedelta(days=k) for k in range(32)]
     rows = regional_swing(bridge.result(spark, d), bridge.seat(spark, d), bridge.poll(spark, d), _dims(spark, d), days)
     return rows.select("election_id", "as_of", "region", "party", "had_polls", scaled(F.col("change"), 1e9).alias("change_e9"))
 

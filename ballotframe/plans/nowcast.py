@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.areas import regional_totals
-from ..operators.polls import blend, correct_overlaps, exclude_polls, to_fraction, with_weight
+from ..operators.polls import blend, blend_history, correct_overlaps, exclude_polls, to_fraction, with_weight
 from ..operators.project import project, regional_change
 from ..operators.results import ELECTION, adjust_seats, fold_others
 
@@ -38,14 +38,17 @@ def regional_swing(
     result: DataFrame, seats: DataFrame, polls: DataFrame, dims: NowcastDims,
     as_of: AsOf, decay: float = 0.7, keys: Sequence[str] = ELECTION,
 ) -> DataFrame:
-    """Change of every party's regional share since the last result, for one date or for each of a list of dates."""
+    """Change of every party's regional share since the last result, for one date or for each of a list of dates.
+
+    Polls after a date never count for it. Many dates are one scan over the days of the polls.
+    """
     old = regional_totals(result, seats, dims.parties, keys)
     corrected = to_fraction(correct_overlaps(exclude_polls(polls), dims.overlap_rules), dims.pollster)
     if isinstance(as_of, list | tuple):
-        days = F.explode(F.array(*(F.lit(str(d)).cast("date") for d in as_of)))
-        old, corrected, as_of = old.withColumn("as_of", days), corrected.withColumn("as_of", days), list(as_of)
-    weighted = with_weight(corrected, dims.pollster, F.col("as_of") if isinstance(as_of, list) else as_of, decay)
-    return regional_change(blend(weighted, old, dims.crosswalk, swing_keys(as_of, keys)), swing_keys(as_of, keys))
+        estimates = blend_history(corrected, dims.pollster, old, dims.crosswalk, as_of, decay, keys)
+    else:
+        estimates = blend(with_weight(corrected, dims.pollster, as_of, decay), old, dims.crosswalk, keys)
+    return regional_change(estimates, swing_keys(as_of, keys))
 
 
 def nowcast(

@@ -89,7 +89,7 @@ VIEWS = {
         select *, case when total = 0 then null else n::double / total end as fraction from poll""",
     "weighted": """
         select f.*, coalesce(fixed_weight, base_weight * pow(0.7::double, date '2024-02-01' - fieldwork_date)) as weight
-        from fractions f join pollster using (company)""",
+        from fractions f join pollster using (company) where fieldwork_date <= date '2024-02-01'""",
     "old_votes": """
         select region, party, cast(sum(votes) as bigint) as votes from result join seat using (seat)
         where election_id = 'prev' group by 1, 2""",
@@ -139,7 +139,7 @@ VIEWS = {
             from corrected w join pollster using (company) join crosswalk x using (company, area)
             join old o2 on o2.region = x.region and o2.party = w.party
             join area_old a on a.company = w.company and a.area = w.area and a.party = w.party
-            where w.total <> 0 group by 1, 2) e on e.region = o.region and e.party = o.party""",
+            where w.total <> 0 and fieldwork_date <= date '2024-02-01' group by 1, 2) e on e.region = o.region and e.party = o.party""",
     "nowcast_change": """
         select region, party, old_share, had_polls,
                case when old_share <> 0 then
@@ -651,7 +651,7 @@ STATEMENTS = {
         select 'prev' as election_id, region, party, {_scaled("change", "1e9")} as change_e9 from nowcast_change""",
     "nowcast_history": f"""
         select * from (with days as (
-          select unnest([date '2024-01-10', date '2024-01-20', date '2024-02-01']) as as_of
+          select cast(unnest(generate_series(date '2024-01-01', date '2024-02-01', interval 1 day)) as date) as as_of
         ), held as (
           select election_id, region, party, cast(sum(votes) as bigint) as votes from result join seat using (seat) group by 1, 2, 3
         ), before as (
@@ -666,7 +666,7 @@ STATEMENTS = {
         ), aged as (
           select c.company, c.area, c.party, d.as_of, case when c.total = 0 then null else c.n::double / c.total end as fraction,
                  coalesce(fixed_weight, base_weight * pow(0.7::double, d.as_of - c.fieldwork_date)) as weight
-          from corrected c join days d on true join pollster using (company)
+          from corrected c join days d on c.fieldwork_date <= d.as_of join pollster using (company)
         ), seen as (
           select b.election_id, w.as_of, x.region, w.party, sum(w.weight * (b.share + w.fraction - a.area_share)) as estimate
           from aged w join crosswalk x using (company, area)

@@ -213,19 +213,50 @@ def test_every_scenario_gives_the_same_as_alone(spark, n):
 
 
 def test_nowcast_of_many_dates_equals_single_runs(spark, sf_dir):
+    """The scan over days against one plain sum for each date: before, within, between and after the polls."""
     from ballotframe.plans import catalogue
     from ballotframe.plans.nowcast import nowcast, regional_swing
     from ballotframe.sources import bridge
 
     tables = bridge.result(spark, sf_dir), bridge.seat(spark, sf_dir), bridge.poll(spark, sf_dir), catalogue._dims(spark, sf_dir)
-    days = ["2024-01-10", "2024-01-20", "2024-02-01"]
-    keep = ["election_id", "region", "party", "change"]
+    days = ["2023-12-25", "2024-01-01", "2024-01-10", "2024-01-20", "2024-02-01", "2029-02-01"]
+    keep = ["election_id", "region", "party", "had_polls", "change"]
 
     def rounded(df):
-        return sorted((*r[:3], None if r[3] is None else round(r[3], 9)) for r in df.select(*keep).collect())
+        return sorted((*r[:4], None if r[4] is None else round(r[4], 9)) for r in df.select(*keep).collect())
 
     many = regional_swing(*tables, days).cache()
     for day in days:
         assert rounded(many.where(F.col("as_of") == day)) == rounded(regional_swing(*tables, day))
+    assert not many.where("as_of = '2023-12-25' AND had_polls").count()
     seats = nowcast(*tables, days)
-    assert seats.groupBy("election_id", "as_of").count().count() == 6
+    assert seats.groupBy("election_id", "as_of").count().count() == 2 * len(days)
+
+
+def test_later_polls_never_count(spark):
+    columns = {"company": "string", "fieldwork_date": "string", "n": "bigint"}
+    rows = inline_table(spark, columns, [("yougov", "2024-01-05", 1), ("yougov", "2024-01-30", 1)])
+    rows = rows.withColumn("fieldwork_date", F.to_date("fieldwork_date"))
+    weighted = polls.with_weight(rows, dims.pollster(spark), "2024-01-10").collect()
+    assert [str(r.fieldwork_date) for r in weighted] == ["2024-01-05"] and 0 < weighted[0].weight < 1
+
+
+@pytest.mark.parametrize("decay", [0.7, 1.0, 0.05])
+def test_decay_sums_over_long_gaps(spark, decay):
+    """Days of three decades, in many blocks, against plain sums."""
+    days = [("a", 0, 3.0), ("a", 1, 2.0), ("a", 640, 5.0), ("a", 655, 1.0), ("a", 9000, 4.0), ("b", 7, 1.0), ("b", 30, 0.0)]
+    rows = inline_table(spark, {"k": "string", "no": "int", "v": "double"}, days)
+    rows = rows.withColumn("day", F.date_add(F.lit("1999-11-01").cast("date"), F.col("no"))).withColumn("p", F.col("v"))
+    got = {(r.k, r.no): (r.v, r.p) for r in polls.decay_sums(rows, ["k"], "day", ["v"], ["p"], decay).collect()}
+    for k, no, _ in days:
+        before = [(no - d, v) for j, d, v in days if j == k and d <= no]
+        want = sum(v * decay**age for age, v in before)
+        assert got[k, no][0] == pytest.approx(want, rel=1e-12) and got[k, no][1] == sum(v for _, v in before)
+
+
+def test_no_poll_is_repeated_for_a_date(spark, sf_dir):
+    from ballotframe.plans import catalogue
+
+    plan = catalogue.CATALOGUE["nowcast_history"](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    generates = [line for line in plan.splitlines() if "Generate explode" in line]
+    assert len(generates) == 1 and plan.count("Expand") == 1  # dates for results; parties of the polls
