@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.arrays import unpack
+from ..functions.arrays import let, running_depth, unpack
 from ..functions.numeric import pct
 from ..functions.text import is_good_fact, plain_text, with_clean_fact
 from .spread import spread_join
@@ -19,6 +19,9 @@ EVENT_HEADINGS = [
 ]
 REFERENCE_HEADINGS = ["references", "sources", "bibliography", "external links", "further reading", "notes"]
 
+# Tags of lists.
+LIST_TAGS = ("ul", "ol")
+
 GROUP = ("year", "era", "timeframe_type")
 _CUT = "\u0001"
 _NO_LEVEL = 9
@@ -27,6 +30,7 @@ _NO_LEVEL = 9
 def extract_facts(
     pages: DataFrame,
     tag: str = "li",
+    lists: Sequence[str] | None = None,
     min_len: int = 25,
     include: Sequence[str] | None = tuple(EVENT_HEADINGS),
     exclude: Sequence[str] = tuple(REFERENCE_HEADINGS),
@@ -38,9 +42,12 @@ def extract_facts(
     A section runs from its heading to the next heading of its own or a higher level, so it
     holds its subsections. Sections are chosen by words in their heading; ``include=None``
     takes the whole page, also what stands before the first heading, but for excluded
-    sections. Every closed item is taken, an outer one with the text of those nested in it.
+    sections. An item counts if it stands directly in one of ``lists`` (by default ``ul`` and ``ol`` for ``li``,
+    anywhere for other tags). It ends at its end tag or, where that is left out, at the next item of its list, the
+    end of the list or of the part between two headings; an outer item has the text of those nested in it.
     All of it happens inside the page's row, so nothing is shuffled.
     """
+    lists = LIST_TAGS if lists is None and tag == "li" else lists or ()
     source = F.regexp_replace(F.col(html), r"(?is)<(script|style)\b.*?</\1>|<!--.*?-->", "")
     pieces = F.split(F.regexp_replace(source, r"(?i)<(h[1-6])\b", f"{_CUT}<$1"), _CUT)
 
@@ -62,44 +69,57 @@ def extract_facts(
         held = inside | piece["opens"]
         level = F.when(inside, state["level"]).when(piece["opens"], piece["level"]).otherwise(F.lit(_NO_LEVEL))
         taken = ~held if include is None else held
-        return F.struct(
-            level.alias("level"),
-            F.when(taken, F.concat(state["texts"], F.array(piece["text"]))).otherwise(state["texts"]).alias("texts"),
-        )
+        return F.struct(level.alias("level"), F.concat(state["flags"], F.when(taken, "1").otherwise("0")).alias("flags"))
+
+    start = F.struct(F.lit(_NO_LEVEL).alias("level"), F.lit("").alias("flags"))
+
+    def chosen(every: Column) -> Column:
+        """The texts of the pieces that are taken."""
+        flags = F.split(F.aggregate(every, start, walk, lambda s: s["flags"]), "")
+        paired = F.filter(F.arrays_zip(every.alias("piece"), flags.alias("flag")), lambda x: x["flag"] == "1")
+        return F.transform(paired, lambda x: x["piece"]["text"])
 
-    start = F.struct(F.lit(_NO_LEVEL).alias("level"), F.array().cast("array<string>").alias("texts"))
-    sections = F.aggregate(F.transform(pieces, marked), start, walk, lambda s: s["texts"])
-    texts = F.transform(F.flatten(F.transform(sections, lambda s: _items(s, tag))), plain_text)
+    sections = let(F.transform(pieces, marked), chosen)
+    texts = F.transform(F.flatten(F.transform(sections, lambda s: _items(s, tag, lists))), plain_text)
     texts = F.filter(texts, lambda t: ~t.startswith("^"))
     texts = F.transform(texts, lambda t: F.regexp_replace(t, r"\[[0-9]+\]|\[edit\]", ""))
     texts = F.array_distinct(F.filter(texts, lambda t: F.length(t) > min_len))
     return unpack(pages, [page], F.posexplode_outer(texts).alias("pos", "event"), "event")
 
 
-def _items(section: Column, tag: str) -> Column:
-    """The closed items of a section, in the order in which they open, with all they hold."""
-    any_tag = rf"</?{tag}(?:\s[^>]*)?>"
-    tokens = F.split(section, rf"(?i)(?={any_tag})")
-    item = "array<struct<no: int, text: string>>"
-    start = F.struct(F.array().cast(item).alias("open"), F.array().cast(item).alias("closed"), F.lit(0).alias("n"))
-
-    def step(state: Column, token: Column) -> Column:
-        opens, closes = token.rlike(rf"(?i)^<{tag}(?:\s[^>]*)?>"), token.rlike(rf"(?i)^</{tag}(?:\s[^>]*)?>")
-        held, depth = state["open"], F.size(state["open"])
-        new = F.struct(state["n"].alias("no"), F.lit("").alias("text"))
-        now = (
-            F.when(opens, F.concat(held, F.array(new)))
-            .when(closes, F.slice(held, F.lit(1), F.greatest(depth - 1, F.lit(0))))
-            .otherwise(held)
-        )
-        done = F.when(closes & (depth > 0), F.concat(state["closed"], F.slice(held, F.greatest(depth, F.lit(1)), F.lit(1))))
-        return F.struct(
-            F.transform(now, lambda x: F.struct(x["no"].alias("no"), F.concat(x["text"], token).alias("text"))).alias("open"),
-            done.otherwise(state["closed"]).alias("closed"),
-            (state["n"] + opens.cast("int")).alias("n"),
-        )
+def _items(section: Column, tag: str, lists: Sequence[str]) -> Column:
+    """The items of a section, in the order in which they open, with all they hold.
 
-    return F.aggregate(tokens, start, step, lambda s: F.transform(F.array_sort(s["closed"]), lambda x: x["text"]))
+    The section is cut before each tag of an item or a list, and the depth of lists runs along. What can end an item of a
+    depth are tags of items of that depth and the end of a list of that depth; sorted by depth and place, the next one ends it.
+    """
+    inner = "|".join([tag, *lists])
+    tokens = F.split(section, rf"(?i)(?=</?(?:{inner})(?:\s[^>]*)?>)")
+    is_tag = lambda t, names: t.rlike(rf"(?i)^<{names}(?:\s[^>]*)?>")
+    in_list, out_list = (f"(?:{'|'.join(lists)})", f"/(?:{'|'.join(lists)})") if lists else ("(?!)", "(?!)")
+
+    def marks(parts: Column) -> Column:
+        turns = F.transform(parts, lambda t: F.when(is_tag(t, in_list), 1).when(is_tag(t, out_list), -1).otherwise(0))
+        zipped = F.arrays_zip(parts.alias("token"), let(turns, running_depth).alias("depth"))
+
+        def mark(x: Column, no: Column) -> Column:
+            closes_list = is_tag(x["token"], out_list)
+            opens = is_tag(x["token"], tag)
+            ends = opens | is_tag(x["token"], f"/{tag}") | closes_list
+            depth = x["depth"] + closes_list.cast("int")
+            return F.when(ends, F.struct(depth.alias("depth"), (no + 1).alias("no"), opens.alias("opens")))
+
+        return F.array_sort(F.filter(F.transform(zipped, mark), lambda m: m.isNotNull()))
+
+    def cut(parts: Column, ends: Column) -> Column:
+        pairs = F.arrays_zip(ends.alias("at"), F.slice(ends, F.lit(2), F.greatest(F.size(ends), F.lit(1))).alias("next"))
+        least = 1 if lists else 0
+        items = F.filter(pairs, lambda p: p["at"]["opens"] & (p["at"]["depth"] >= least))
+        stop = lambda p: F.when(p["next"]["depth"] == p["at"]["depth"], p["next"]["no"]).otherwise(F.size(parts) + 1)
+        spans = F.array_sort(F.transform(items, lambda p: F.struct(p["at"]["no"].alias("no"), stop(p).alias("stop"))))
+        return F.transform(spans, lambda s: F.array_join(F.slice(parts, s["no"], s["stop"] - s["no"]), ""))
+
+    return let(tokens, lambda parts: let(marks(parts), lambda ends: cut(parts, ends)))
 
 
 def _ordinal(n: Column) -> Column:

@@ -881,6 +881,7 @@ for _name, (_tag, _min_len, _include, _exclude) in _EXTRACT.items():
     _unwanted = " or ".join(f"contains({_heading}, '{w}')" for w in _exclude) if _exclude else "false"
     _cut = _sub("html", r"<(h[1-6])\b", r"#%#<\1", "gi")
     _opens = f"({_unwanted})" if _include is None else f"({_wanted}) and not ({_unwanted})"
+    _lists = "ul|ol" if _tag == "li" else "no-list"
     _held = """exists (select 1 from marked a where a.page_id = k.page_id and a.opens and a.sno <= k.sno and not exists (
                  select 1 from marked b where b.page_id = a.page_id and b.sno > a.sno and b.sno <= k.sno and b.level <= a.level))"""
     STATEMENTS[_name] = rf"""
@@ -890,17 +891,21 @@ for _name, (_tag, _min_len, _include, _exclude) in _EXTRACT.items():
           from (select page_id, unnest(range(1, len(sections) + 1)) as sno, unnest(sections) as section
                 from (select page_id, string_split({_cut}, '#%#') as sections from (select page_id, {_source} as html from pages)))
         ), tokens as (
-          select *, sum(turn) over (partition by page_id, sno order by ino) as depth
-          from (select page_id, sno, ino, token,
-                       case when regexp_matches(token, '(?i)^<{_tag}(\s[^>]*)?>') then 1
-                            when regexp_matches(token, '(?i)^</{_tag}(\s[^>]*)?>') then -1 else 0 end as turn
-                from (select page_id, sno, unnest(range(1, len(l) + 1)) as ino, unnest(l) as token
-                      from (select page_id, sno, string_split({_sub("section", rf"(</?{_tag}(?:\s[^>]*)?>)", r"#%#\1", "gi")}, '#%#') as l
-                            from marked k where {"not " if _include is None else ""}{_held})))
+          select *, s - least(0, min(s) over (partition by page_id, sno order by ino)) + case when kind = 'out' then 1 else 0 end as depth
+          from (select *, sum(case kind when 'in' then 1 when 'out' then -1 else 0 end) over (partition by page_id, sno order by ino) as s
+                from (select page_id, sno, ino, token,
+                             case when regexp_matches(token, '(?i)^<{_tag}(\s[^>]*)?>') then 'item'
+                                  when regexp_matches(token, '(?i)^</{_tag}(\s[^>]*)?>') then 'end'
+                                  when regexp_matches(token, '(?i)^<({_lists})(\s[^>]*)?>') then 'in'
+                                  when regexp_matches(token, '(?i)^</({_lists})(\s[^>]*)?>') then 'out' else 'text' end as kind
+                      from (select page_id, sno, unnest(range(1, len(l) + 1)) as ino, unnest(l) as token
+                            from (select page_id, sno, string_split({_sub("section", rf"(</?(?:{_tag}|{_lists})(?:\s[^>]*)?>)", r"#%#\1", "gi")}, '#%#') as l
+                                  from marked k where {"not " if _include is None else ""}{_held}))))
         ), items as (
-          select o.page_id, o.sno, o.ino, min(c.ino) as ends
-          from tokens o join tokens c on c.page_id = o.page_id and c.sno = o.sno and c.ino > o.ino and c.depth = o.depth - 1
-          where o.turn = 1 and c.turn = -1 group by 1, 2, 3
+          select o.page_id, o.sno, o.ino, coalesce(min(c.ino), 1000000000) as ends
+          from tokens o left join tokens c on c.page_id = o.page_id and c.sno = o.sno and c.ino > o.ino
+               and c.kind in ('item', 'end', 'out') and c.depth = o.depth
+          where o.kind = 'item' and o.depth >= {1 if _tag == "li" else 0} group by 1, 2, 3
         ), texts as (
           select i.page_id, i.sno, i.ino, string_agg(t.token, '' order by t.ino) as html
           from items i join tokens t on t.page_id = i.page_id and t.sno = i.sno and t.ino >= i.ino and t.ino < i.ends group by 1, 2, 3
