@@ -8,14 +8,13 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..storage import with_ordinal
+
 # Default date bounds of the tracker.
 DEFAULT_START = dt.date(2015, 5, 6)
 DEFAULT_END = dt.date(2017, 6, 8)
 MAJORITY_LINE = 326
 
-#: Blocks a busy day is cut into, at most.
-_GRID = 200
-
 
 def clamp_range(
     start: dt.date | None, end: dt.date | None, lower: dt.date = DEFAULT_START, upper: dt.date = DEFAULT_END
@@ -54,47 +53,20 @@ def moving_average(
 ) -> DataFrame:
     """Adds ``moving``: mean of the last ``n`` points of each series, fewer at its start.
 
-    Series are few and long, so each one is cut into blocks of consecutive points: its
-    days, and busy days again at quantiles of the second order column, into blocks of about
-    ``block_rows`` points (a day into ``_GRID`` blocks at most), however unevenly the column
-    is spread. Every block gets the ``n - 1`` points before it as carried rows, then all
-    blocks are averaged independently. What meets in one place, for each series, is the
-    last ``n - 1`` points of each block: a number bounded by its days, not by its points.
+    Series are few and long. Points are numbered within their series by ranges of the order, with counts of each range
+    summed before it, and cut into blocks of ``block_rows`` points by their numbers. The last ``n - 1`` points of a block
+    are sent to the next one, too; then all blocks are averaged independently. Blocks are alike in size however many points
+    a day has and however many have the same code; points equal in ``order`` count in any order.
     """
-    day, tie = order
-    block = [*keys, day, "_part"]
-    parts = F.least(F.ceil(F.count(F.lit(1)) / F.lit(float(block_rows))), F.lit(_GRID)).cast("int")
-    cuts = F.percentile_approx(tie, [k / _GRID for k in range(1, _GRID)])
-    days = points.groupBy(*keys, day).agg(parts.alias("_parts"), cuts.alias("_cuts"))
-    edge = lambda k: F.element_at("_cuts", F.greatest(F.floor(k * _GRID / F.col("_parts")).cast("int"), F.lit(1)))
-    edges = F.transform(F.sequence(F.lit(1), F.col("_parts") - 1), edge)
-    days = days.select(*keys, day, F.when(F.col("_parts") > 1, edges).alias("_edges"))
-    # one row for each series and day
-    placed = points.join(F.broadcast(days), [*keys, day]).withColumn(
-        "_part", F.coalesce(F.size(F.filter("_edges", lambda e: e < F.col(tie))), F.lit(0))
-    ).withColumn("_part", F.greatest("_part", F.lit(0))).drop("_edges")
-    newest_first = Window.partitionBy(*block).orderBy(F.desc(tie))
-    tails = (
-        placed.withColumn("_back", F.row_number().over(newest_first))
-        .where(F.col("_back") < n)
-        .groupBy(*block)
-        .agg(F.sort_array(F.collect_list(F.struct(F.col(tie), F.col(value)))).alias("_tail"))
-    )
-    series = Window.partitionBy(*keys).orderBy(day, "_part")
-    before = F.flatten(F.collect_list("_tail").over(series.rowsBetween(-(n - 1), -1)))
-    carried = (
-        tails.withColumn("_before", before)
-        .where(F.size("_before") > 0)
-        .select(*block, F.posexplode(F.slice("_before", -F.least(F.size("_before"), F.lit(n - 1)), n - 1))
-                .alias("_seq", "_point"))
-        .select(*block, F.col("_seq"), F.col(f"_point.{value}").alias(value), F.lit(0).alias("_own"))
-    )
-    own = placed.withColumn("_own", F.lit(1)).withColumn("_seq", F.lit(0))
-    together = own.unionByName(carried, allowMissingColumns=True)
-    within = Window.partitionBy(*block).orderBy("_own", "_seq", tie).rowsBetween(-(n - 1), 0)
-    return (
-        together.withColumn("moving", F.avg(value).over(within)).where("_own = 1").drop("_own", "_seq", "_part")
-    )
+    at, block = "_at_point", "_block"
+    length = max(block_rows, n)
+    rows = with_ordinal(points, [F.col(c).asc() for c in order], at, keys)
+    here = F.floor((F.col(at) - 1) / length)
+    in_tail = F.pmod(F.col(at) - 1, F.lit(length)) >= length - (n - 1)
+    twice = F.explode(F.when(in_tail, F.array(here, here + 1)).otherwise(F.array(here)))
+    within = Window.partitionBy(*keys, block).orderBy(at).rowsBetween(-(n - 1), 0)
+    moved = rows.withColumn(block, twice).withColumn("moving", F.avg(value).over(within))
+    return moved.where(F.col(block) == here).drop(at, block)
 
 
 def model_series(
@@ -105,6 +77,9 @@ def model_series(
 
 
 def upsert_snapshot(history: DataFrame, snapshot: DataFrame, date: str = "date") -> DataFrame:
-    """History with the snapshot's dates replaced by the snapshot."""
+    """History with the snapshot's dates replaced by the snapshot.
+
+    Where the history is stored in a folder for each date, ``tables.replace_partitions`` does so without reading it.
+    """
     replaced = snapshot.select(date).distinct()
     return history.join(replaced, date, "left_anti").unionByName(snapshot)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -13,8 +14,9 @@ from ..functions.numeric import half_up, pct
 from ..functions.text import first_sentences
 from ..operators import areas, choropleth, facets, facts, filters, guesses, polls, project, referendum, results, seats
 from ..operators import standdown, tracker
-from ..sources import bridge, documents, poll_files, tracker_files
+from ..sources import bridge, dims, documents, fact_files, poll_files, tables, tracker_files
 from ..sources.inline import inline_table
+from ..storage import shared_folder
 from .challenges import challenges
 from .nowcast import NowcastDims, nowcast, regional_swing
 
@@ -607,6 +609,17 @@ def upsert_snapshot(spark, d):
     return tracker.upsert_snapshot(_history(spark, d), areas.seat_tally(now, ["p1", "p2", "p3"], ["date"]))
 
 
+@query
+def history_table(spark, d):
+    """The history stored by date, with the years from 1997 written again in place, read back."""
+    path = _scratch(spark, "history")
+    tables.replace_partitions(_history(spark, d), path, ["date"])
+    recount = bridge.yearly_result(spark, d, closed_only=True).where(F.col("date") >= F.lit(dt.date(1997, 1, 1)))
+    now = results.winners(recount, keys=("date",))
+    tables.replace_partitions(areas.seat_tally(now, ["p1", "p2", "p3"], ["date"]), path, ["date"])
+    return spark.read.parquet(path).select("date", "party", "seats")
+
+
 # --- cards --------------------------------------------------------------------
 
 
@@ -635,9 +648,40 @@ def card_sort(spark, d):
     return filters.stable_sort(rows.select("card_id", "name", "cost"), "name", True, "card_id")
 
 
+@query
+def card_files(spark, d):
+    """Cards written as lines of JSON with the names of the card files, and read back."""
+    path = _scratch(spark, "cards")
+    bridge.card(spark, d).select(
+        "name", F.col("card_class").alias("cardClass"), "type", "rarity", F.when(F.col("race") != "T0", F.col("race")).alias("race"),
+        F.col("card_set").alias("set"), "cost", F.col("cost").cast("string").alias("costStr"), "mechanics",
+        F.concat(F.lit("card/"), F.col("card_id").cast("string")).alias("url"),
+    ).write.json(path)
+    rows = fact_files.read_cards(spark, path, multi_line=False)
+    return rows.withColumn("mechanics", F.array_join("mechanics", " "))
+
+
 # --- facts and guesses --------------------------------------------------------
 
 
+def _scratch(spark, name: str) -> str:
+    """A new folder in the shared folder."""
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def _page_digests(spark, d):
+    """Facts with the digest of the document they come from."""
+    rows = facts.with_timeframe(bridge.fact(spark, d, tables.page_digest("doc_id", "text").alias("digest")))
+    return rows.select("digest", "fact_id", "year", "era", "timeframe_type", "event")
+
+
+def _cleaned(spark, d):
+    """Facts of all documents, cleaned once and stored, and what was counted while they were written."""
+    path = _scratch(spark, "cleaned")
+    counts = tables.add_cleaned_facts(_page_digests(spark, d), path)
+    return tables.cleaned_facts(spark, path).drop("digest"), counts
+
+
 def _facts(spark, d):
     return facts.with_timeframe(bridge.fact(spark, d)).select("fact_id", "year", "era", "timeframe_type", "event")
 
@@ -679,7 +723,8 @@ def fact_lists(spark, d):
 
 @query
 def fact_report(spark, d):
-    return facts.fact_report(facts.clean_facts(_facts(spark, d)), ["era", "timeframe_type"])
+    """The report as counted while cleaned facts were written."""
+    return tables.observed_report(spark, _cleaned(spark, d)[1])
 
 
 @query
@@ -700,10 +745,46 @@ def pick_challenges(spark, d):
 
 @query
 def challenge_build(spark, d):
-    rows = challenges(_facts(spark, d), min_facts=3, n=5, seed=1)
+    rows = challenges(_cleaned(spark, d)[0], min_facts=3, n=5, seed=1)
     return rows.withColumn("facts", F.array_join("facts", " | "))
 
 
+@query
+def facts_cleaned_once(spark, d):
+    """Two thirds of the documents are added, then all of them, then all again: each is cleaned when it is first seen."""
+    path, pages = _scratch(spark, "cleaned"), _page_digests(spark, d)
+    counts = []
+    for part in (pages.where(F.col("year") % 3 != 0), pages, pages):
+        counts.append(sum(n for k, n in tables.add_cleaned_facts(part, path).items() if k.endswith("_raw")))
+    rows = tables.cleaned_facts(spark, path).groupBy("era", "timeframe_type").agg(
+        F.count(F.lit(1)).alias("n_raw"), F.count_if("kept").alias("n_kept"), F.sum(F.length("cleaned")).alias("n_letters")
+    )
+    return rows.withColumn("n_added_again", F.lit(counts[2]).cast("bigint"))
+
+
+@query
+def fact_table(spark, d):
+    """Facts stored by era and century; five centuries are written again, cut to five letters, and all is read back."""
+    path, rows = _scratch(spark, "facts"), _facts(spark, d)
+    fact_files.write_facts(rows, path)
+    again = rows.where((F.col("era") == "BC") & F.col("year").between(501, 1000))
+    fact_files.write_facts(again.withColumn("event", F.substring("event", 1, 5)), path)
+    return fact_files.read_facts(spark, path).groupBy("era", "timeframe_type").agg(
+        F.count(F.lit(1)).alias("n_facts"), F.sum(F.length("event")).alias("n_letters")
+    )
+
+
+@query
+def challenge_files(spark, d):
+    """Challenges written as lines of JSON and read back."""
+    path = _scratch(spark, "challenges")
+    fact_files.write_challenges(challenges(_cleaned(spark, d)[0], min_facts=3, n=5, seed=1), path)
+    read = spark.read.schema("y int, e string, t string, f array<string>").json(path)
+    return read.select(
+        F.col("y").alias("year"), F.col("e").alias("era"), F.col("t").alias("timeframe_type"), F.array_join("f", " | ").alias("facts")
+    )
+
+
 @query
 def timeframe_calendar(spark, d):
     rows = facts.with_timeframe(bridge.fact(spark, d))
@@ -748,6 +829,33 @@ def game_outcomes(spark, d):
     return guesses.game_outcomes(guesses.score_guesses(counted, bridge.target(spark, d)))
 
 
+@query
+def stored_compare(spark, d):
+    """Both elections saved as a table bucketed by seat, loaded and compared: nothing is shuffled by seat again."""
+    name = f"results_{uuid.uuid4().hex}"
+    tables.save_results(bridge.result(spark, d), name)
+    return results.compare(results.election_pair(tables.load_results(spark, name), bridge.views(spark))).drop("party_ord")
+
+
+@query
+def party_labels(spark, d):
+    """Votes under the labels of the parties' places in the list of parties."""
+    votes = bridge.result(spark, d).join(dims.party(spark).select("label", "ord"), F.col("party_ord") == F.col("ord") + 1)
+    return votes.groupBy("election_id", "label").agg(F.sum("votes").alias("votes"))
+
+
+@query
+def poll_table(spark, d):
+    """Polls of eight years saved by year; one year is written again, some polls of another are replaced; four are read."""
+    path = _scratch(spark, "polls")
+    number = F.substring("company", 2, 1).cast("int")
+    rows = bridge.poll(spark, d).withColumn("fieldwork_date", F.add_months("fieldwork_date", -12 * number))
+    poll_files.save_polls(rows, path)
+    poll_files.save_polls(rows.where(F.col("company") == "c3").withColumn("n", F.col("n") * 2), path)
+    poll_files.upsert_polls(rows.where((F.col("company") == "c5") & (F.dayofmonth("fieldwork_date") < 9)).withColumn("n", F.col("n") + 1), path)
+    return poll_files.load_polls(spark, path, [2019, 2020, 2021, 2022])
+
+
 # --- documents ----------------------------------------------------------------
 
 
@@ -777,7 +885,7 @@ def marked_documents(spark, d):
 
 @query
 def challenge_counts(spark, d):
-    return facts.challenge_counts(challenges(_facts(spark, d), min_facts=3, n=5, seed=1))
+    return facts.challenge_counts(challenges(_cleaned(spark, d)[0], min_facts=3, n=5, seed=1))
 
 
 @query
@@ -804,6 +912,24 @@ def poll_file_rows(spark, d):
     return poll_files.parse_polls(wide, ["_day", "_who"], PARTIES)
 
 
+@query
+def poll_file_rejects(spark, d):
+    """Polls laid out as file rows, some with letters in a count or with a day that is none, and what is wrong with them."""
+    keys = ["code", "company", "fieldwork_date", "area", "total"]
+    cells = [F.max(F.when(F.col("party") == p, F.col("n"))).cast("string").alias(p) for p in PARTIES]
+    wide = bridge.poll(spark, d).groupBy(*keys).agg(*cells)
+    raw = wide.select(
+        F.col("code").cast("string").alias("code"), "company",
+        F.when(F.col("company") == "c6", "31").otherwise(F.dayofmonth("fieldwork_date").cast("string")).alias("day"),
+        F.when(F.col("company") == "c6", "2").otherwise("1").alias("month"), F.lit("2024").alias("year"), F.col("area").alias("region"),
+        F.when(F.col("company") == "c1", "").otherwise(F.col("total").cast("string")).alias("total"),
+        *[F.when((F.col("company") == "c2") & (F.lit(p) != "p4"), F.concat(F.col(p), F.lit(" ca."))).otherwise(F.col(p)).alias(p)
+          for p in PARTIES],
+        F.col("fieldwork_date").alias("_day"),
+    )
+    return poll_files.poll_rejects(raw, ["code", "region", "_day"], PARTIES).withColumnRenamed("_day", "fieldwork_date")
+
+
 @query
 def tracker_documents(spark, d):
     """Poll points as tracker documents, one per pollster, and back."""

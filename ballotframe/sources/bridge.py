@@ -7,7 +7,7 @@ pollsters and players, document lines are facts.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.arrays import unpack
@@ -227,16 +227,18 @@ def boundary(spark: SparkSession, sf_dir: str) -> DataFrame:
     suppliers = table(spark, sf_dir, "supplier")
     nations = table(spark, sf_dir, "nation")
     joined = suppliers.join(nations, F.col("s_nationkey") == F.col("n_nationkey"))
-    return joined.where(F.col("s_suppkey") % 10 != 3).select(
+    return joined.where(~F.col("s_name").endswith("3")).select(
         F.col("s_name").alias("name"), F.col("s_suppkey").alias("info_id"), F.col("n_name").alias("region")
     )
 
 
-def fact(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(fact_id, year, era, timeframe_type, event, source_page): one fact per line of every document."""
-    documents = table(spark, sf_dir, "documents")
-    lines = unpack(documents, ["doc_id"], F.posexplode_outer(F.split("text", "\n")).alias("pos", "event"), "event")
+def fact(spark: SparkSession, sf_dir: str, *more: Column) -> DataFrame:
+    """(fact_id, year, era, event): one fact per line of every document; ``more`` columns of the documents come along."""
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text", *more)
+    own = [c for c in documents.columns if c not in ("doc_id", "text")]
+    lines = unpack(documents, ["doc_id", *own], F.posexplode_outer(F.split("text", "\n")).alias("pos", "event"), "event")
     return lines.select(
+        *own,
         F.concat_ws(":", "doc_id", "pos").alias("fact_id"),
         (1 + F.col("doc_id") % 2000).cast("int").alias("year"),
         F.when(F.col("doc_id") % 5 == 0, "BC").otherwise("AD").alias("era"),

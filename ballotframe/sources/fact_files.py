@@ -5,19 +5,22 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .tables import replace_partitions
+
 CARD_SCHEMA = (
     "name string, cardClass string, type string, rarity string, race string, `set` string, "
     "cost int, costStr string, mechanics array<string>, url string"
 )
 
 
-def write_facts(facts: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """Fact table in Parquet, one folder per era."""
-    facts.write.mode(mode).partitionBy("era").parquet(path)
+def write_facts(facts: DataFrame, path: str) -> None:
+    """Fact table in Parquet, one folder per era and century; folders that ``facts`` has no rows for stay as they are."""
+    century = F.floor((F.col("year") - 1) / 100).cast("int")
+    replace_partitions(facts.withColumn("century", century), path, ["era", "century"])
 
 
 def read_facts(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path)
+    return spark.read.parquet(path).drop("century")
 
 
 def write_challenges(challenges: DataFrame, path: str, mode: str = "overwrite") -> None:

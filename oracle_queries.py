@@ -485,7 +485,7 @@ STATEMENTS = {
                as match_status
         from (select seat, name, region from seat) s
         full outer join (select s_name as name, s_suppkey as info_id, n_name as boundary_region
-                         from supplier join nation on s_nationkey = n_nationkey where s_suppkey % 10 <> 3) b
+                         from supplier join nation on s_nationkey = n_nationkey where s_name not like '%3') b
           on b.name = s.name""",
     "winner_labels": """
         select election_id, seat, winner, case winner when 'p1' then 'Urgent' when 'p2' then 'High'
@@ -866,6 +866,35 @@ VIEWS["scored"] = """
                       from events)))"""
 
 STATEMENTS["marked_documents"] = STATEMENTS["redistribute"]
+STATEMENTS["challenge_files"] = f"""
+        select year, era, timeframe_type, facts from ({STATEMENTS["challenge_build"]})"""
+STATEMENTS["history_table"] = STATEMENTS["upsert_snapshot"]
+STATEMENTS["stored_compare"] = STATEMENTS["compare"]
+STATEMENTS["facts_cleaned_once"] = """
+        select era, timeframe_type, count(*) as n_raw, count(case when kept then 1 end) as n_kept,
+               cast(sum(length(cleaned)) as bigint) as n_letters, cast(0 as bigint) as n_added_again from judged group by 1, 2"""
+STATEMENTS["fact_table"] = """
+        select era, timeframe_type, count(*) as n_facts,
+               cast(sum(case when era = 'BC' and year between 501 and 1000 then least(length(event), 5) else length(event) end) as bigint)
+                 as n_letters from fact group by 1, 2"""
+STATEMENTS["card_files"] = """
+        select p_name as name, p_brand as card_class, p_type as type, concat('R', p_partkey % 5) as rarity,
+               case when p_partkey % 3 = 0 then '' else concat('T', p_partkey % 3) end as race, concat('S', p_partkey % 13) as card_set,
+               cast(p_size % 12 as int) as cost, array_to_string(string_split(p_name, ' '), ' ') as mechanics,
+               concat('card/', p_partkey) as url from part"""
+STATEMENTS["party_labels"] = """
+        select election_id, l.label, cast(sum(votes) as bigint) as votes from result
+        join (values ('p1', 'Labour'), ('p2', 'Conservative'), ('p3', 'Lib Dems'), ('p4', 'SNP'), ('p5', 'Reform')) l(party, label)
+          using (party) group by 1, 2"""
+STATEMENTS["poll_table"] = """
+        select code, company, cast(fieldwork_date - to_months(12 * k) as date) as fieldwork_date, area, party,
+               case when k = 3 then 2 * n when k = 5 and day(fieldwork_date) < 9 then n + 1 else n end as n, total
+        from (select *, cast(substr(company, 2, 1) as int) as k from poll) where k between 2 and 5"""
+STATEMENTS["poll_file_rejects"] = """
+        select cast(code as varchar) as code, area as region, fieldwork_date, party as cell, concat(n, ' ca.') as value,
+               'not a whole number' as reason from poll where company = 'c2' and party <> 'p4'
+        union all
+        select distinct cast(code as varchar), area, fieldwork_date, 'date', '2024-2-31', 'not a date' from poll where company = 'c6'"""
 STATEMENTS["challenge_counts"] = f"""
         select timeframe_type, count(*) as n_challenges from ({STATEMENTS["challenge_build"]}) group by 1"""
 

@@ -44,7 +44,7 @@ def test_election_filter_reaches_the_scan(spark, sf_dir):
     assert re.search(r"DataFilters: \[[^\]]*o_orderdate#\d+ < 1998-01-01 00:00:00\)", text)
 
 
-@pytest.mark.parametrize("name", ["sample_facts", "challenge_build", "game_outcomes", "moving_average"])
+@pytest.mark.parametrize("name", ["sample_facts", "challenge_build", "game_outcomes"])
 def test_rank_limits_apply_before_the_shuffle(spark, sf_dir, name):
     text = plan(QUERIES[name](spark, sf_dir))
     assert re.search(r"WindowGroupLimit .*Partial", text)
