@@ -137,6 +137,17 @@ def parse_links(links: DataFrame, default_view: str = DEFAULT_VIEW) -> DataFrame
     )
 
 
+def link_classes(specs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Specs that ask the same as one spec, whose ``link_id`` is a digest of what it asks, and (link_id, class_id).
+
+    Matches of classes grow with what is asked, not with the number of links; joined to the second table they
+    give each link's seats.
+    """
+    asked = [c for c in specs.columns if c != "link_id"]
+    digest = F.sha2(F.to_json(F.struct(*asked)), 256)
+    return specs.select(digest.alias("link_id"), *asked).distinct(), specs.select("link_id", digest.alias("class_id")).distinct()
+
+
 def _bucket(value: Column) -> Column:
     return F.greatest(F.lit(0), F.least(F.lit(_LAST_BUCKET), F.floor(value / _BUCKET_PCT).cast("int")))
 

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions.arrays import unpack
 from ..functions.numeric import half_even, half_up, pct, truncate
+from ..storage import stored
 from .results import ELECTION, VIEW
 from .spread import spread_join
 
@@ -280,7 +281,7 @@ def unchanged_seats(
     scenarios first, then the regions a scenario covers are taken out.
     """
     current = pair.where(F.col("votes").isNotNull())
-    packed = pack_seats(current, VIEW).join(seats.select("seat", "region", "electorate"), "seat")
+    packed = stored(pack_seats(current, VIEW).join(seats.select("seat", "region", "electorate"), "seat"))
     placed = packed.select(*VIEW, "region").distinct()
     left_alone = scenarios.join(placed, list(VIEW)).join(
         changes.select(*keys, "region").distinct(), [*keys, "region"], "left_anti"

@@ -7,21 +7,31 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..storage import stored
+
+#: Hot keys at most, whatever the number of rows; a row for each is broadcast.
+MOST_HOT = 100_000
+
 
 def spread_join(
     many: DataFrame, few: DataFrame, keys: Sequence[str], by: Sequence[str], how: str = "inner", rows: int = 100_000
 ) -> DataFrame:
-    """``many`` joined to ``few`` on ``keys``, with every key spread over a task for each ``rows`` rows of ``many``.
+    """``many`` joined to ``few`` on ``keys``, with every hot key spread over a task for each ``rows`` rows of ``many``.
 
-    The rows of each key are counted first, from the key columns alone; the counts, one row for each key, are broadcast,
-    so the keys must be few: views, regions, years and the like, not seats or scenarios. Rows of ``many`` are salted by
-    the hash of ``by``; rows of ``few`` are repeated for the salts of their key. Nothing is shuffled by the bare keys, so
-    one key may hold most rows of both sides.
+    ``many`` is computed once, into the shared folder, and its keys are counted there. A key with more than ``rows`` rows is
+    hot; there are at most ``MOST_HOT`` of them, as ``rows`` grows with the number of all rows beyond that, so their counts can
+    be broadcast. Rows of a hot key are salted by the hash of ``by`` in ``many`` and repeated for its salts in ``few``.
+    Without hot keys this is a plain join.
     """
-    parts = F.ceil(F.count(F.lit(1)) / F.lit(rows)).cast("int").alias("_n_salts")
-    sizes = F.broadcast(many.groupBy(*keys).agg(parts))
+    many = stored(many, "spread")
+    least = max(rows, many.count() // MOST_HOT)
+    parts = F.ceil(F.count(F.lit(1)) / F.lit(least)).cast("int").alias("_n_salts")
+    hot = stored(many.groupBy(*keys).agg(parts).where("_n_salts > 1"), "hot")
+    if hot.isEmpty():
+        return many.join(few, list(keys), how)
+    hot = F.broadcast(hot)  # at most MOST_HOT rows
     salt = F.pmod(F.xxhash64(*by), F.coalesce("_n_salts", F.lit(1))).cast("int")
-    salted = many.join(sizes, list(keys), "left").withColumn("_salt", salt).drop("_n_salts")
-    salts = F.explode(F.sequence(F.lit(0), F.col("_n_salts") - 1))
-    spread = few.join(sizes, list(keys)).withColumn("_salt", salts).drop("_n_salts")
+    salted = many.join(hot, list(keys), "left").withColumn("_salt", salt).drop("_n_salts")
+    salts = F.explode(F.sequence(F.lit(0), F.coalesce("_n_salts", F.lit(1)) - 1))
+    spread = few.join(hot, list(keys), "left").withColumn("_salt", salts).drop("_n_salts")
     return salted.join(spread, [*keys, "_salt"], how).drop("_salt")

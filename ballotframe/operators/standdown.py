@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.numeric import half_up
 from .project import _best, _lead
 from .results import ELECTION
+from .spread import spread_join
 
 NOT_VOTING = "not_voting"
 
@@ -80,9 +81,8 @@ def redistribute(
             )
         ).alias("ballots"),
     )
-    # one row of rules for each scenario and election: small enough to be broadcast at run time unless scenarios are very
-    # many; the adaptive skew join then splits the seats of an election
-    rows = packed.join(_pack_rules(rules, rule_keys), shared, "left")
+    # elections are few and hot: their seats are spread, one row of rules for each scenario meets each part
+    rows = spread_join(packed, _pack_rules(rules, rule_keys), shared, ["seat"], "left")
 
     def hand_on(state: Column, source: Column) -> Column:
         leaving = F.filter(state["parties"], lambda p: p["absent"] & (p["party"] == source["party_from"]))

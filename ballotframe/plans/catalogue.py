@@ -16,7 +16,7 @@ from ..operators import areas, choropleth, facets, facts, filters, guesses, poll
 from ..operators import standdown, tracker
 from ..sources import bridge, dims, documents, fact_files, poll_files, tables, tracker_files
 from ..sources.inline import inline_table
-from ..storage import shared_folder
+from ..storage import shared_folder, stored
 from .challenges import challenges
 from .nowcast import NowcastDims, nowcast, regional_swing
 
@@ -254,12 +254,13 @@ def search_seats(spark, d):
 
 @query
 def saved_views(spark, d):
-    specs = filters.parse_links(bridge.link(spark, d))
-    rows = _seat_rows(spark, d)
-    groups = bridge.region_group(spark, d)
-    shown = filters.match_views(specs, rows, groups)
-    duels = filters.match_battlegrounds(specs, _pair(spark, d), bridge.seat(spark, d), groups)
-    return shown.unionByName(duels)
+    """Each class of links that ask the same is matched once; links get their class's seats."""
+    classes, members = filters.link_classes(stored(filters.parse_links(bridge.link(spark, d))))
+    pair, seats, groups = stored(_pair(spark, d)), stored(bridge.seat(spark, d)), bridge.region_group(spark, d)
+    shown = filters.match_views(classes, results.seat_summary(pair, seats), groups)
+    duels = filters.match_battlegrounds(classes, pair, seats, groups)
+    found = shown.unionByName(duels).withColumnRenamed("link_id", "class_id")
+    return members.join(found, "class_id").drop("class_id")
 
 
 @query

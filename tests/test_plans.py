@@ -78,3 +78,11 @@ def test_computed_arrays_are_not_computed_again_for_a_size_check(spark, sf_dir,
     text = plan(QUERIES[name](spark, sf_dir))
     checks = [line for line in text.splitlines() if re.search(r"(Filter|Join) .*size\((transform|filter|from_json|array_distinct)", line)]
     assert checks == []
+
+
+@pytest.mark.parametrize(("name", "most"), [("project_inputs", 25), ("unchanged_seats", 25), ("saved_views", 30), ("redistribute", 12)])
+def test_spread_joins_do_not_multiply_their_inputs(spark, sf_dir, name, most):
+    df = QUERIES[name](spark, sf_dir)
+    text = plan(df)
+    assert exchanges(df) <= most
+    assert len(re.findall(r"FileScan.*/lineitem\.", text)) <= 2 and len(re.findall(r"FileScan.*/events\.", text)) <= 2

@@ -16,8 +16,9 @@ def test_spread_join_equals_a_plain_join(spark):
     many, few = hot(spark, 600, "a"), hot(spark, 60, "b").where("k <> 3")
     for how in ("inner", "left"):
         want = sorted(map(tuple, many.join(few, ["k"], how).select("k", "a", "b").collect()), key=str)
-        got = sorted(map(tuple, spread_join(many, few, ["k"], ["a"], how).select("k", "a", "b").collect()), key=str)
-        assert got == want
+        for rows in (10, 100_000):
+            got = sorted(map(tuple, spread_join(many, few, ["k"], ["a"], how, rows).select("k", "a", "b").collect()), key=str)
+            assert got == want
 
 
 def test_a_hot_key_is_spread_by_its_rows(spark):
@@ -27,14 +28,20 @@ def test_a_hot_key_is_spread_by_its_rows(spark):
     for line in plan.splitlines():
         if "Join" in line:
             assert "_salt" in line or "BroadcastHashJoin" in line
-    # the bare key is shuffled for the counts only
-    assert all("_salt" in x or "count" in plan for x in plan.splitlines() if "hashpartitioning(k" in x)
+    exchanges = [x for x in plan.splitlines() if "Exchange hashpartitioning(k" in x]
+    assert all("_salt" in x for x in exchanges)
+    assert plan.count("FileScan") >= 2  # the large side and its hot keys are read, not computed again
+
+
+def test_without_hot_keys_it_is_a_plain_join(spark):
+    joined = spread_join(hot(spark, 600, "a"), hot(spark, 60, "b"), ["k"], ["a"])
+    assert "_salt" not in joined._jdf.queryExecution().optimizedPlan().toString()
 
 
 def test_rows_without_a_key_stay_in_a_left_join(spark):
     many = spark.range(3).select(F.when(F.col("id") > 0, F.col("id")).alias("k"), F.col("id").alias("a"))
     few = spark.range(2).select(F.col("id").alias("k"), (F.col("id") * 10).alias("b"))
-    rows = spread_join(many, few, ["k"], ["a"], "left").select("a", "b").collect()
+    rows = spread_join(many, few, ["k"], ["a"], "left", 1).select("a", "b").collect()
     assert sorted(map(tuple, rows)) == [(0, None), (1, 10), (2, None)]
 
 
@@ -56,3 +63,13 @@ def test_battleground_links_and_default_view(spark):
     groups = inline_table(spark, {"region_group": "string", "region": "string"}, [("g", "r")])
     found = filters.match_battlegrounds(filters.parse_links(links), pair, seats(spark, [("s1", "r", 1)]), groups)
     assert sorted((r.link_id, r.seat) for r in found.collect()) == [("default", "s1"), ("held_now", "s1")]
+
+
+def test_equal_links_are_one_class(spark):
+    links = inline_table(spark, {"link_id": "string", "url": "string"}, [
+        (f"l{k}", f"http://m/?map=election2017&incumbent=A&majhigh={k % 2}") for k in range(6)
+    ] + [("other", "http://m/?map=election2017&majhigh=1"), ("l0", "http://m/?incumbent=a&majhigh=0&map=election2017")])
+    classes, members = filters.link_classes(filters.parse_links(links))
+    assert classes.count() == 3 and members.count() == 7
+    found = members.join(classes.withColumnRenamed("link_id", "class_id"), "class_id").select("link_id", "hi").collect()
+    assert {(r.link_id, r.hi) for r in found} == {*((f"l{k}", float(k % 2)) for k in range(6)), ("other", 1.0)}
