@@ -2,14 +2,17 @@
 
 The patterns find emails, addresses of machines, card and phone numbers. The field labels words from their shapes and
 those of their neighbours, so it also finds what the patterns miss: spelled-out emails, phone numbers without a country
-code. Its spans are added where no pattern matched; pattern spans stay.
+code. Labels tell the first word of an item from the others, so items that follow each other stay apart. Its spans are added
+where no pattern matched; pattern spans stay. A run of words that is no item as a whole is cut at words into parts that are.
 
 The field is trained by gradient ascent on a small labelled table, made from the sentences below. Decoding is exact
 Viterbi in numpy. A word whose score for "other" beats every other label by more than any transitions could win back is
 "other" on the best path, so only the stretches between such words are decoded, side by side, whatever the length of the
 text.
 
-Nulls: a null text is empty and has no spans. Repeated rows each have their row in the result.
+Nulls: a null text is empty and has no spans. Repeated rows each have their row in the result, an empty table none. Among
+labellings of equal score the first label in LABELS wins. Texts of any length are taken whole, in parts of some texts at a
+time; other columns are not read, or stay where texts are redacted.
 """
 
 from __future__ import annotations
@@ -29,7 +32,7 @@ from .shared import batch_of, small, text_or_empty
 
 KINDS = ("email", "ip", "card", "phone")
 OTHER = "other"
-LABELS = (OTHER, *KINDS)
+LABELS = (OTHER, *(f"{place}-{kind}" for kind in KINDS for place in "BI"))  # the first word of an item, and the others
 
 # Possessive quantifiers: no run is scanned twice. A number is matched from its first digit on.
 DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -111,6 +114,15 @@ SENTENCES = (
     "tel {phone:555-###-####} is open",
     "fax {phone:###-555-####} or mobile {phone:###.555.####} work too",
     "phone {phone:(###) ###-####} is hers",
+    "call {phone:555-###-####} {phone:555-###-####} today",
+    "call {phone:###-555-####}, {phone:###-555-####}, {phone:555-###-####} any time",
+    "numbers {phone:(###) 555-####} {phone:(###) 555-####} both work",
+    "at {phone:+1 (###) 555-####} {phone:###-555-####} we are open",
+    "tel {phone:###.555.####} {phone:###.555.####} {phone:###-###-####} for all",
+    "cards {card:4###############} {card:5###############} on file",
+    "cards {card:4### #### #### ####} {card:5### #### #### ####} were used",
+    "from {email:tom at example dot org} {email:eve at mail dot example dot com} in copy",
+    "ask {email:bob dot smith at example dot com} or {email:mary at example dot net} first",
     "in 20## there were ### people and #,### dogs",
     "it cost $##.## in 19## and ##% more later",
     "the score was #-# and the vote ###-##",
@@ -146,8 +158,8 @@ def labelled_rows() -> list[tuple[int, int, str, str]]:
             filled = re.sub("#", lambda _: str(rng.integers(0, 10)), sentence) if not sentence.startswith("#") else sentence
             k = 0
             for m in SLOT.finditer(filled):
-                for word in (m[2] or m[3]).split():
-                    rows.append((n, k, word, m[1] or OTHER))
+                for j, word in enumerate((m[2] or m[3]).split()):
+                    rows.append((n, k, word, f"{'I' if j else 'B'}-{m[1]}" if m[1] else OTHER))
                     k += 1
             n += 1
     return rows
@@ -358,25 +370,51 @@ def text_spans(decoder: Decoder, texts: list[str]) -> Iterator[tuple[list[Span],
             yield base, all_spans(text, base, own)
 
 
+#: Words of an item at most, where a run has to be cut: longer ones hold too many digits or are no address.
+WORDS_OF_ITEM = 20
+
 EDGE_LEFT, EDGE_RIGHT = ".,;:!?\"'[]<>{}=|", ".,;:!?\"'()[]<>{}=|"
 
 
-def field_spans(text: str, labels: np.ndarray) -> list[Span]:
-    """Runs of words with one label, without punctuation at their ends."""
+def field_items(text: str, labels: np.ndarray) -> Iterator[tuple[str, list[tuple[int, int]]]]:
+    """The kind and the words of each item that the labels show."""
     places = [m.span() for m in WORD.finditer(text)]
-    out: list[Span] = []
     hits = np.flatnonzero(labels)
-    for run in np.split(hits, np.flatnonzero((np.diff(hits) > 1) | (np.diff(labels[hits]) != 0)) + 1):
-        if not len(run):
-            continue
-        start, end = places[run[0]][0], places[run[-1]][1]
-        while start < end and text[start] in EDGE_LEFT:
-            start += 1
-        while end > start and text[end - 1] in EDGE_RIGHT:
-            end -= 1
-        if start < end:
-            out.append((start, end, LABELS[labels[run[0]]]))
-    return out
+    kinds = (labels[hits] + 1) // 2
+    begins = (np.diff(hits, prepend=-2) > 1) | (np.diff(kinds, prepend=-1) != 0) | (labels[hits] % 2 == 1)
+    for run in np.split(hits, np.flatnonzero(begins)[1:]):
+        if len(run):
+            yield KINDS[(labels[run[0]] - 1) // 2], [places[k] for k in run]
+
+
+def trimmed(text: str, start: int, end: int, kind: str) -> Span:
+    """A span without punctuation at its ends."""
+    while start < end and text[start] in EDGE_LEFT:
+        start += 1
+    while end > start and text[end - 1] in EDGE_RIGHT:
+        end -= 1
+    return start, end, kind
+
+
+def parts_of(text: str, words: list[tuple[int, int]], kind: str) -> list[Span]:
+    """The words as one span or, if that is not plausible, the plausible parts that hold most of them, the fewest of those."""
+    whole = trimmed(text, words[0][0], words[-1][1], kind)
+    if plausible(text, whole):
+        return [whole]
+    best: list[tuple[int, int, list]] = [(0, 0, [])]  # words held, parts (negative), parts
+    for end in range(1, len(words) + 1):
+        options = [best[end - 1]]
+        for start in range(max(0, end - WORDS_OF_ITEM), end):
+            span = trimmed(text, words[start][0], words[end - 1][1], kind)
+            if plausible(text, span):
+                held, parts, chain = best[start]
+                options.append((held + end - start, parts - 1, [chain, span]))
+        best.append(max(options, key=lambda o: o[:2]))
+    out, chain = [], best[-1][2]
+    while chain:
+        chain, span = chain
+        out.append(span)
+    return out[::-1]
 
 
 def plausible(text: str, span: Span) -> bool:
@@ -397,9 +435,15 @@ def all_spans(text: str, base: list[Span], labels: np.ndarray) -> list[Span]:
     if not labels.any():
         return base
     more = []
-    for span in field_spans(text, labels):
-        if plausible(text, span) and not any(s < span[1] and span[0] < e for s, e, _ in base):
-            more.append(span)
+    for kind, words in field_items(text, labels):
+        free: list[list[tuple[int, int]]] = [[]]  # what pattern spans leave of the item
+        for start, end in words:
+            if any(s < end and start < e for s, e, _ in base):
+                free.append([])
+            else:
+                free[-1].append((start, end))
+        for part in filter(None, free):
+            more += parts_of(text, part, kind)
     return sorted(base + more, key=lambda s: (s[0], KINDS.index(s[2])))
 
 
