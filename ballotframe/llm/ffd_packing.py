@@ -2,7 +2,7 @@
 
 A document is the ids of its text and one end id. It is cut into pieces of the sequence length; what is left over is a
 shorter last piece. Pieces are dealt to groups by a hash of their document and place, so groups are alike in size and mix
-whatever the input's order or skew. In a group, pieces are placed longest first into the first sequence with room; a
+whatever the input's order or skew; groups that equal keys make large are cut once more. In a group, pieces are placed longest first into the first sequence with room; a
 tournament tree over the free space of the sequences finds it in a logarithmic number of steps. Groups are packed
 independently, one task each at a time, with about ``group_pieces`` pieces, so memory is bounded.
 
@@ -137,7 +137,14 @@ def pack(pieces: DataFrame, params: PackingParams) -> DataFrame:
         return table.append_column("sequence_id", pa.array(group * (1 << 32) + sequence)).append_column("offset", pa.array(offset))
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema) + ", sequence_id long, offset long"
-    dealt = pieces.withColumn("group", F.pmod(F.xxhash64("doc_id", "start"), F.lit(groups)))
+    own = [c for c in ("doc_id", "start") if c in columns]
+    dealt = pieces.withColumn("group", F.pmod(F.xxhash64(*own), F.lit(groups)))
+    # a group grown large by equal keys, such as null ids, is cut by the place of its stored rows
+    parts = F.ceil(F.count(F.lit(1)) / params.group_pieces).cast("int").alias("parts")
+    large = dealt.groupBy("group").agg(parts).where("parts > 2")  # a row for each two groups' worth of pieces at most
+    dealt = dealt.withColumn("place", F.monotonically_increasing_id()).join(F.broadcast(large), "group", "left")
+    part = F.pmod(F.xxhash64("place"), F.coalesce("parts", F.lit(1)))
+    dealt = dealt.select(*columns, (F.col("group") + F.lit(groups) * part).alias("group"))
     return dealt.groupBy("group").applyInArrow(run, schema)
 
 

@@ -76,3 +76,12 @@ def test_sequences_hold_their_ids(make_docs, ids_of):
     check(packed.withColumn("ids_crc32", F.crc32("ids")).collect(), [(k, "some words " * k) for k in range(12)], ids_of, 16)
     for r in ffd_packing.packed_sequences(packed, params).collect():
         assert len(r.ids) == 4 * r.used <= 64
+
+
+def test_equal_pieces_are_spread_over_groups(spark):
+    """Pieces without an id, or of one id, do not fall into one group."""
+    params = PackingParams(group_pieces=60)
+    for doc_id in ("cast(null as bigint)", "7"):
+        pieces = spark.range(3000).selectExpr(f"{doc_id} as doc_id", "0L as start", "5L as length", "9L as ids_crc32", "5L as doc_tokens")
+        groups = ffd_packing.pack(ffd_packing.stored(pieces), params).selectExpr("sequence_id >> 32 as g").groupBy("g").count().collect()
+        assert len(groups) == 50 and max(r["count"] for r in groups) < 150
