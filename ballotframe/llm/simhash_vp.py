@@ -27,7 +27,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import component_stars
@@ -410,27 +410,30 @@ def similar_links(docs: DataFrame, nodes: DataFrame, stars: DataFrame, params: S
     return cut.join(texts, "node").select("top", "class", "q", "d", "node", "row", "column", "text").groupBy("top", "class", "q", "d").applyInArrow(compare, "a long, b long")
 
 
-def checked_duplicates(docs: DataFrame, params: SimHashParams) -> DataFrame:
-    """near_duplicates with ``check``, and each row's digest of its shingle set."""
+def labelled_sets(docs: DataFrame, params: SimHashParams) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, fps, digest, size) of each row, and (node, id, top): each shingle set's least doc_id and component; stored."""
     prints = stored(fingerprints(docs, params))
     nodes = prints.where("doc_id IS NOT NULL").groupBy(F.col("digest").alias("node"))
     nodes = stored(nodes.agg(F.first("fps").alias("fps"), F.first("size").alias("size"), F.min("doc_id").alias("id")))
     edges = similar_links(docs, nodes.select("node", "size"), linked(nodes.select("fps", "node"), params), params)
     stars = component_stars(edges)
     labels = nodes.join(stars.select(F.col("a").alias("node"), "b"), "node", "left").select("node", "id", F.coalesce("b", "node").alias("top"))
-    labels = stored(labels)
+    return prints, stored(labels)
+
+
+def checked_duplicates(docs: DataFrame, params: SimHashParams) -> DataFrame:
+    """near_duplicates with ``check``."""
+    prints, labels = labelled_sets(docs, params)
     least = labels.groupBy("top").agg(F.min("id").alias("least"))
     labels = labels.join(least, "top").select(F.col("node").alias("digest"), "least")
-    return prints.join(labels, "digest", "left").select(
-        "doc_id", "fps", F.when(F.col("doc_id").isNotNull(), F.col("least")).alias("component_id"), "digest"
-    )
+    return prints.join(labels, "digest", "left").select("doc_id", "fps", F.when(F.col("doc_id").isNotNull(), F.col("least")).alias("component_id"))
 
 
 def near_duplicates(docs: DataFrame, params: SimHashParams | None = None) -> DataFrame:
     """(doc_id, fps, component_id) for each row: the smallest doc_id that links reach from it."""
     params = params or SimHashParams()
     if params.check:
-        return checked_duplicates(docs, params).drop("digest")
+        return checked_duplicates(docs, params)
     prints = stored(fingerprints(docs, params))
     nodes = stored(prints.where("doc_id IS NOT NULL").groupBy("fps").agg(F.min("doc_id").alias("node")))
     stars = linked(nodes, params)
@@ -447,11 +450,33 @@ NEAR_COPIES = SimHashParams(shingle=0, prints=8, check=5)
 
 
 def one_of_each(docs: DataFrame, params: SimHashParams = NEAR_COPIES) -> DataFrame:
-    """The rows of ``docs`` whose doc_id is the smallest of their component, one of each; rows without doc_id stay."""
-    stay = near_duplicates(docs, params).where("doc_id = component_id").select(F.col("doc_id").alias("__id")).distinct()
-    number = F.row_number().over(Window.partitionBy("__id").orderBy(F.xxhash64(*docs.columns)))
-    named = docs.where("doc_id IS NOT NULL").withColumn("__id", F.col("doc_id").cast("long")).join(stay, "__id", "left_semi")
-    return named.withColumn("__n", number).where("__n = 1").select(*docs.columns).unionByName(docs.where("doc_id IS NULL"))
+    """One row of each component of ``docs``, one with its smallest doc_id; rows without doc_id stay.
+
+    Rows are told apart by their id and their shingle set: of rows with one id and texts that are not similar, each component
+    keeps its own. ``params`` must have a ``check``.
+    """
+    if not params.check:
+        raise ValueError("rows are told apart by the shingles of a check")
+    prints, labels = labelled_sets(docs, params)
+    chosen = labels.groupBy("top").agg(F.min(F.struct("id", "node")).alias("c"))
+    chosen = chosen.select(F.col("c.id").alias("__id"), F.col("c.node").alias("__digest"))
+    shared = prints.where("doc_id IS NOT NULL").groupBy(F.col("doc_id").alias("__id")).agg(F.count(F.lit(1)).alias("__rows"))
+    shared = shared.where("__rows > 1").select("__id", F.lit(True).alias("__shared"))
+    chosen = stored(chosen.join(shared, "__id", "left"))
+    named = docs.where("doc_id IS NOT NULL").withColumn("__id", F.col("doc_id").cast("long"))
+    kept = named.join(chosen.where("__shared IS NULL").select("__id"), "__id", "left_semi").select(*docs.columns)
+    kept = kept.unionByName(docs.where("doc_id IS NULL"))
+    several = chosen.where("__shared")
+    if several.isEmpty():
+        return kept
+
+    @F.pandas_udf("long")
+    def digest(texts: pd.Series) -> pd.Series:
+        return pd.Series([set_digest(shingle_set(t, params.check)) for t in texts], dtype="int64")
+
+    again = named.join(several.select("__id").distinct(), "__id", "left_semi").withColumn("__digest", digest(text_or_empty()))
+    again = again.join(several.select("__id", "__digest"), ["__id", "__digest"], "left_semi").dropDuplicates(["__id", "__digest"])
+    return kept.unionByName(again.select(*docs.columns))
 
 
 def fingerprint_components(docs: DataFrame, params: SimHashParams | None = None) -> DataFrame:

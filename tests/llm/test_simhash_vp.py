@@ -123,3 +123,14 @@ def test_checked_components_equal_brute_force(make_docs, compared):
                 parent = [x if p == y else p for p in parent]
     got = {r.doc_id: r.component_id for r in simhash_vp.near_duplicates(make_docs(rows), params).collect()}
     assert len(set(parent)) > 8 and got == dict(enumerate(parent))
+
+
+def test_one_row_of_each_component_is_kept_by_id_and_text(make_docs):
+    """Rows that share an id are no copies: each unrelated text stays, whichever ids are null, repeated or smallest."""
+    text = lambda seed: " ".join(f"{seed}word{k * 7919 % 997}" for k in range(60))
+    rows = [(1, text("a")), (1, text("b")), (2, text("b")), (1, text("a")), (3, text("c")), (3, text("c") + " more"), (4, text("d")),
+            (4, text("d")), (None, text("a")), (5, None), (5, ""), (6, text("e")), (7, text("e"))]
+    kept = simhash_vp.one_of_each(make_docs(rows)).collect()
+    got = sorted((r.doc_id or 0, (r.text or "")[:5]) for r in kept)
+    assert got == [(0, "aword"), (1, "aword"), (1, "bword"), (3, "cword"), (4, "dword"), (5, ""), (6, "eword")]
+    assert simhash_vp.one_of_each(make_docs([])).count() == 0
