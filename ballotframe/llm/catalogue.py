@@ -64,7 +64,7 @@ def op8_block_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_line_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_rules.judge_documents(table(spark, sf_dir, "documents")).drop("key", "common")
+    return line_rules.judge_documents(table(spark, sf_dir, "documents")).drop("key", "key2", "common")
 
 
 def op10_pii_crf(spark: SparkSession, sf_dir: str) -> DataFrame:

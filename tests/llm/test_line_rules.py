@@ -1,6 +1,8 @@
 import re
 from collections import Counter
 
+import pytest
+
 from ballotframe.llm import catalogue, line_rules
 from ballotframe.llm.line_rules import LineRuleParams
 
@@ -67,3 +69,40 @@ def test_documents_of_shared_passages_count_one_by_one(make_docs):
     stats = line_rules.stored(line_rules.document_stats(make_docs(rows + rows)))
     found = line_rules.common_lines(stats, LineRuleParams()).collect()
     assert sorted((r.h, r.docs_with) for r in found) == sorted((line_rules.line_hash(x), 128) for x in pool)
+
+
+def brute_kept(docs, p):
+    """Verdicts from plain dictionaries: normalised lines themselves instead of hashes."""
+    def lines_of(text):
+        out = Counter()
+        for line in (text or "").split("\n"):
+            if WORD.search(line):
+                out[" ".join(WORD.findall(line.lower()))] += len(WORD.findall(line))
+        return out
+
+    held = [(i, s or "", lines_of(t), brute_base(t)) for i, s, t in docs]
+    apart = {(host, frozenset(lines)) for _, host, lines, _ in held}
+    sizes = Counter(host for host, _ in apart)
+    times = Counter((host, line) for host, lines in apart for line in lines)
+    common = {k for k, n in times.items() if n > p.host_least and n > p.host_share * sizes[k[0]]}
+    for i, host, lines, base in held:
+        gone = sum(n for line, n in lines.items() if (host, line) in common)
+        left = base[0] - gone
+        yield i, not base[5] and not (2 * left < base[0] and left < p.min_words), left
+
+
+@pytest.mark.parametrize("p", [LineRuleParams(), LineRuleParams(host_least=2, host_share=0.001, sent_lines=0, salts=3)])
+def test_verdicts_equal_brute_force_on_whole_table(spark, sf_dir, p):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    want = sorted(brute_kept([(r.doc_id, r.source, r.text) for r in docs.collect()], p))
+    found = line_rules.judge_documents(docs, p).collect()
+    assert sorted((r.doc_id, r.kept, r.words_left) for r in found) == want
+    assert any(n < r[0] for r, n in zip(((x.n_words,) for x in found), (x.words_left for x in found), strict=True)) or p.host_least == 20
+
+
+def test_rows_that_differ_in_where_a_null_is(spark):
+    text = own_words(1, 30)
+    rows = [(1, None, text), (1, text, None), (None, "", text), (None, None, text)]
+    docs = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    got = line_rules.clean_documents(docs).collect()
+    assert sorted(map(str, got)) == sorted(map(str, docs.where("text is not null").collect()))
