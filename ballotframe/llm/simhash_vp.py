@@ -5,16 +5,18 @@ in one of their 32-bit halves. So there are two metric trees, one for each half:
 vantage point and a distance t; halves at most t away go left, the others right. Every fingerprint lies in
 one leaf (shard) of each tree, and asks all leaves that its ball of radius r // 2 can reach by the triangle
 inequality: left if d - r // 2 <= t, right if d + r // 2 > t. A shard compares whole fingerprints, so the
-pairs are exact. Trees are fitted on a bounded sample of fingerprints; every fingerprint is indexed and asked.
+pairs are exact. Trees are fitted on a sample of fingerprints, a few for each shard; every fingerprint is indexed and asked.
 
-Large shards are split: into a grid of chunks across tasks, and by more vantage points within a task.
+A shard is as large as a task can well hold: each level of a tree sends more fingerprints to both sides, so the finer
+splits, by more vantage points, are made within a task. Larger shards are split into a grid of chunks across tasks.
 A task passes on a spanning forest of the pairs it found, never all pairs of a group.
 
 With ``check``, links of fingerprints only say which texts to compare: within each of their components, all texts are
 compared by the Jaccard similarity of their sets of shingles, and components of the similar pairs are the result.
 
 Nulls: a null text is empty. Its fingerprint is zero, linked like any other. A row without doc_id keeps its
-fingerprint, has no component and links no others. Repeated rows are copies; each has its row in the result.
+fingerprint, has no component and links no others. Repeated rows are copies; each has its row in the result. Of equally
+small ids there is one component; an empty table gives no rows; texts are taken whole, and only doc_id and text are read.
 """
 
 from __future__ import annotations
@@ -42,7 +44,7 @@ PAIRS_AT_ONCE = 4_000_000
 class SimHashParams:
     """``shingle``: words of a shingle, 0 for the set of distinct words; ``prints``: fingerprints of a text, from
     different hashes of the features; texts are linked if one of them links; ``radius``: differing bits; ``leaf``: fingerprints wanted in a shard;
-    ``sample``: fingerprints a tree is fitted on, at most; ``chunk``: fingerprints of a shard in one task;
+    ``sample``: fingerprints a tree is fitted on, or 32 for each ``chunk`` where that is more; ``chunk``: fingerprints of a shard in one task;
     ``check``: words of the shingles that linked texts are compared by, 0 for no check; ``similar``: least Jaccard
     similarity of their sets; ``compared``: shingles of a chunk of texts in one task, a text counts as 1,000 at least."""
 
@@ -50,7 +52,7 @@ class SimHashParams:
     seed: int = 42
     prints: int = 1
     radius: int = 3
-    leaf: int = 1_024
+    leaf: int = 32_768
     sample: int = 32_768
     chunk: int = 100_000
     check: int = 0
@@ -237,7 +239,7 @@ def close_links(points: DataFrame, params: SimHashParams) -> DataFrame:
     """
     spark, reach = points.sparkSession, params.radius // 2
     n = points.count() // params.prints
-    share = min(1.0, params.sample / max(n, 1))
+    share = min(1.0, max(params.sample, 32 * n // params.chunk) / max(n, 1))  # enough for leaves of a chunk
     chosen = F.pmod(F.xxhash64("fp"), F.lit(1 << 20)) < F.lit(int(share * (1 << 20)) + 1)
     sample: list[list[int]] = [[] for _ in range(params.prints)]
     for r in points.where(chosen).select("print", "fp").collect():
