@@ -1,24 +1,37 @@
 """Brown class-based bigram model: exchange clustering, smoothed class transitions and word emissions.
 
-A text is its words (ASCII white space, A-Z in lower case) and one end token. Every word belongs to a
-*unit*: the most frequent words are units of their own, all others share units by their last letters.
-Exchange clustering gives each unit a class. The probability of a word w after a word v is
+A text is its words (ASCII white space, A-Z in lower case) and one end token. Every training word has a class, and the
+probability of a word w after a word v is
 
-    P(class(w) | class(v)) * P(unit(w) | class(w)) * P(w | unit(w))
+    P(class(w) | class(v)) * P(w | class(w))
 
-Transitions are interpolated with the class frequencies (Witten-Bell), emissions are add-one smoothed,
-and each shared unit keeps one share for words that training has not seen, so the probabilities of all
-words and of one unknown word per shared unit sum to one.
+Transitions are interpolated with the class frequencies (Witten-Bell). Emissions are add-one smoothed, and each class keeps
+one share for a word that training has not seen, so the probabilities of all words and of one unknown word a class sum to one.
 
-What tasks hold is bounded by parameters: the frequent words with their counts, and (units x classes)
-count matrices. Counts of all other words stay distributed and are joined to the rare words of the texts.
+Clustering has three steps, each by the neighbours that the words have in all training texts:
 
-Nulls: a null text is empty and scores its end token alone; a null doc_id is an id like any other.
-Repeated rows are scored each by itself. Without training rows every count is zero.
+1. *Core*: the ``own_units`` most frequent words are exchanged one after the other, until the likelihood stands. All other
+   words take part in ``shared_units`` units by their last letters, which only gives them a class to start from.
+2. *Frequent words* beyond the core each move to the class that raises the likelihood most, given the classes of step 1.
+3. *Rare words*, all others, pick classes in sweeps until the likelihood of their neighbours stands; in a sweep all pick at once,
+   given the neighbours that the words of each class had after the last one. Their neighbours are grouped by word in Spark
+   once; words, groups and work grow with the corpus. A rare neighbour of a rare word counts as "rare"; bigrams of two rare
+   words are shared out over the classes by the classes that rare words before and after rare words have.
+
+Unknown words take the class of the unit of their last letters. Texts are written as word numbers once; sweeps read those.
+
+What tasks and driver hold is bounded by parameters: the frequent words with counts and classes, and (units x classes) count
+matrices. Counts and classes of rare words stay distributed and are joined to the rare words of the texts. Words of more than
+64 bytes are known by their first bytes and their SHA-256, so no key is long.
+
+Nulls: a null text is empty and scores its end token alone; a null doc_id is an id like any other. Repeated rows are scored
+each by itself. Without training rows every count is zero; an empty table gives no rows. Equal counts are ordered by word, equal
+gains go to the smaller class. Further columns are not read. Very long texts are one row of word numbers.
 """
 
 from __future__ import annotations
 
+import hashlib
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -26,13 +39,14 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .shared import ascii_lower_words, batch_of, small, stored, text_or_empty
 
 END = b""
-MAX_WORD_BYTES = 64
+LONG_WORD = 64
 FLUSH_WORDS = 500_000
 BLOCK = 64
 COUNT_SCHEMA = pa.schema([("word", pa.binary()), ("n", pa.int64())])
@@ -40,14 +54,16 @@ COUNT_SCHEMA = pa.schema([("word", pa.binary()), ("n", pa.int64())])
 
 @dataclass(frozen=True)
 class BrownParams:
-    """``frequent``: words whose counts every task holds; ``own_units``: words clustered one by one;
-    ``shared_units``: units of the other words; ``rounds``: passes of exchange clustering."""
+    """``frequent``: words whose counts every task holds; ``own_units``: words of the core; ``shared_units``: units that the other
+    words start from; ``rounds``: at most so many sweeps of the core and of the rare words, fewer once a sweep gains less than
+    ``stand`` of what all have gained."""
 
     frequent: int = 131_072
     own_units: int = 6_144
     shared_units: int = 1_024
     classes: int = 64
-    rounds: int = 3
+    rounds: int = 8
+    stand: float = 0.02
 
     @property
     def units(self) -> int:
@@ -62,26 +78,22 @@ class Vocabulary:
     index: dict[bytes, int]
     counts: np.ndarray
     unit: np.ndarray
-    unit_tokens: np.ndarray
-    unit_words: np.ndarray
     train_tokens: int
     train_words: int
 
+    @property
+    def first(self) -> int:
+        return len(self.index)
+
     @property
     def end(self) -> int:
         return len(self.index) + self.params.shared_units
 
-
-class _Indexer(dict):
-    """Word to index; remembers the words that are not frequent."""
-
-    def __init__(self, vocabulary: Vocabulary):
-        super().__init__(vocabulary.index)
-        self.first, self.shared, self.rare = len(vocabulary.index), vocabulary.params.shared_units, []
-
-    def __missing__(self, word: bytes) -> int:
-        self.rare.append(word)
-        return self.first + zlib.crc32(word[-3:]) % self.shared
+    def known_classes(self, classes: np.ndarray) -> np.ndarray:
+        """Classes by index, with one more class, the last, for rare words."""
+        out = classes.copy()
+        out[self.first : self.end] = self.params.classes
+        return out
 
 
 @dataclass
@@ -89,12 +101,15 @@ class BrownModel:
     vocabulary: Vocabulary
     classes: np.ndarray
     transitions: np.ndarray
-    score_part: np.ndarray
-    base_part: np.ndarray
-    known: np.ndarray
+    shares: np.ndarray
     history: list[float] = field(default_factory=list)
 
 
+def word_keys(text: str) -> list[bytes]:
+    words = ascii_lower_words(text)
+    return [w if len(w) <= LONG_WORD else w[: LONG_WORD - 31] + hashlib.sha256(w).digest() for w in words]
+
+
 def word_counts(train: DataFrame) -> DataFrame:
     """(word, n) over all texts, the end token as the empty word; summed in the tasks before the shuffle."""
 
@@ -102,7 +117,7 @@ def word_counts(train: DataFrame) -> DataFrame:
         seen: Counter[bytes] = Counter()
         for batch in batches:
             for text in batch.column("text"):
-                seen.update(ascii_lower_words(text.as_py()))
+                seen.update(word_keys(text.as_py()))
                 seen[END] += 1
                 if len(seen) > FLUSH_WORDS:
                     yield batch_of(COUNT_SCHEMA, [list(seen), list(seen.values())])
@@ -127,48 +142,82 @@ def _threshold(counts: DataFrame, most: int) -> int:
 
 
 def build_vocabulary(counts: DataFrame, params: BrownParams) -> Vocabulary:
-    """The frequent words, and the token and word counts of every unit."""
-    short = counts.where((F.col("word") != F.lit(b"")) & (F.octet_length("word") <= MAX_WORD_BYTES))
-    least = _threshold(short, params.frequent)
-    rows = sorted(((-r.n, bytes(r.word)) for r in short.where(F.col("n") >= least).collect()))
-    index = {word: k for k, (_, word) in enumerate(rows)}
-    words = np.array([-n for n, _ in rows], np.int64)
-    own = min(params.own_units, len(rows))
-    last = F.expr("crc32(CASE WHEN octet_length(word) > 3 THEN substring(word, -3, 3) ELSE word END)")
+    """The frequent words with their counts, and the unit of every index."""
+    words = counts.where(F.col("word") != F.lit(END))
+    least = _threshold(words, params.frequent)
+    rows = sorted(((-r.n, bytes(r.word)) for r in words.where(F.col("n") >= least).collect()))
     totals = counts.agg(F.sum("n").alias("n"), F.count("*").alias("v")).first()
-    end_count = counts.where(F.col("word") == F.lit(b"")).agg(F.sum("n").alias("n")).first().n or 0
-    shared = (
-        counts.where(F.col("word") != F.lit(b""))
-        .groupBy((last % params.shared_units).cast("int").alias("unit"))
-        .agg(F.sum("n").alias("n"), F.count("*").alias("v"))
-        .collect()
-    )
+    end_count = counts.where(F.col("word") == F.lit(END)).agg(F.sum("n").alias("n")).first().n or 0
+    own = min(params.own_units, len(rows))
     unit = np.empty(len(rows) + params.shared_units + 1, np.int32)
-    suffix = np.array([zlib.crc32(w[-3:]) % params.shared_units for _, w in rows], np.int64)
-    unit[: len(rows)] = params.own_units + suffix
+    unit[: len(rows)] = [params.own_units + zlib.crc32(w[-3:]) % params.shared_units for _, w in rows]
     unit[:own] = np.arange(own)
     unit[len(rows) : -1] = params.own_units + np.arange(params.shared_units)
     unit[-1] = params.units - 1
-    tokens, types = np.zeros(params.units, np.int64), np.zeros(params.units, np.int64)
-    for r in shared:
-        tokens[params.own_units + r.unit], types[params.own_units + r.unit] = r.n, r.v
-    np.subtract.at(tokens, params.own_units + suffix[:own], words[:own])
-    np.subtract.at(types, params.own_units + suffix[:own], 1)
-    tokens[:own], types[:own] = words[:own], 1
-    tokens[-1], types[-1] = end_count, 1
-    all_counts = np.concatenate([words, np.zeros(params.shared_units, np.int64), [end_count]])
-    return Vocabulary(params, index, all_counts, unit, tokens, types, totals.n or 0, totals.v or 0)
+    n = np.concatenate([np.array([-n for n, _ in rows], np.int64), np.zeros(params.shared_units, np.int64), [end_count]])
+    return Vocabulary(params, {word: k for k, (_, word) in enumerate(rows)}, n, unit, totals.n or 0, totals.v or 0)
+
+
+class _Encoder(dict):
+    """Word to index; a word that is not frequent to -1 - its place among the rare words of the text."""
+
+    def __init__(self, vocabulary: Vocabulary):
+        super().__init__(vocabulary.index)
+        self.rare: dict[bytes, int] = {}
+
+    def __missing__(self, word: bytes) -> int:
+        return self.rare.setdefault(word, -1 - len(self.rare))
+
+
+ENCODED_SCHEMA = pa.schema(
+    [("doc_id", pa.int64()), ("held_out", pa.bool_()), ("ids", pa.binary()), ("rare", pa.list_(pa.binary())), ("units", pa.binary())]
+)
+
+
+def encode(docs: DataFrame, vocabulary: Vocabulary) -> DataFrame:
+    """Texts as numbers, with a row number: ``ids`` int32 by index or rare word, ``rare`` the rare words and ``units`` theirs."""
+    sent = docs.sparkSession.sparkContext.broadcast(vocabulary)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index, shared = _Encoder(sent.value), sent.value.params.shared_units
+        for batch in small(batches):
+            out: list[list] = [[] for _ in ENCODED_SCHEMA]
+            for doc_id, held_out, text in zip(*(batch.column(k).to_pylist() for k in ("doc_id", "held_out", "text")), strict=True):
+                ids = np.fromiter(map(index.__getitem__, word_keys(text)), np.int32)
+                units = np.array([zlib.crc32(w[-3:]) % shared for w in index.rare], np.int32)
+                for column, x in zip(out, (doc_id, held_out, ids.tobytes(), list(index.rare), units.tobytes()), strict=True):
+                    column.append(x)
+                index.rare.clear()
+            yield batch_of(ENCODED_SCHEMA, out)
+
+    kind = "doc_id long, held_out boolean, ids binary, rare array<binary>, units binary"
+    rows = docs.select("doc_id", "held_out", "text").mapInArrow(run, kind)
+    return stored(rows.withColumn("row", F.monotonically_increasing_id()))
+
+
+def token_stream(batch: pa.RecordBatch, vocabulary: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
+    """The texts of a batch one after the other with an end token around each: the index of every token, and for rare words
+    the place in the flat list of rare words of the batch, else -1."""
+    parts, base, end = [np.array([vocabulary.end], np.int32)], 0, np.array([vocabulary.end], np.int32)
+    for ids, units in zip(batch.column("ids").to_pylist(), batch.column("units").to_pylist(), strict=True):
+        ids = np.frombuffer(ids, np.int32)
+        parts += [np.where(ids < 0, ids - base, ids), end]
+        base += len(units) // 4
+    index = np.concatenate(parts).astype(np.int64)
+    place = np.where(index < 0, -1 - index, -1)
+    units = np.frombuffer(b"".join(batch.column("units").to_pylist()), np.int32)
+    index[place >= 0] = vocabulary.first + units[place[place >= 0]]
+    return index, place
 
 
 def class_neighbours(train: DataFrame, vocabulary: Vocabulary, classes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(units x classes) counts of the class before and after each unit, over all training texts.
+    """(units x classes) counts of the class before and after each unit, over all encoded training texts.
 
     Tasks sum whole matrices; blocks of rows are summed again by block, streaming, so memory stays at
     one matrix however many tasks there were.
     """
-    spark = train.sparkSession
     n_classes, n_units = vocabulary.params.classes, vocabulary.params.units
-    sent = spark.sparkContext.broadcast((vocabulary, classes))
+    sent = train.sparkSession.sparkContext.broadcast((vocabulary, classes))
     schema = pa.schema([("block", pa.int32()), ("before", pa.binary()), ("after", pa.binary())])
 
     def rows(sums: dict[int, np.ndarray]) -> Iterator[pa.RecordBatch]:
@@ -177,27 +226,13 @@ def class_neighbours(train: DataFrame, vocabulary: Vocabulary, classes: np.ndarr
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocab, of_unit = sent.value
-        index, end = _Indexer(vocab), vocab.end
         before, after = (np.zeros(n_units * n_classes, np.int64) for _ in range(2))
-        stream: list[int] = [end]
-
-        def add() -> None:
-            units = vocab.unit[np.array(stream, np.int64)].astype(np.int64)
+        for batch in batches:
+            units = vocab.unit[token_stream(batch, vocab)[0]].astype(np.int64)
             left, right = units[:-1], units[1:]
             np.add(before, np.bincount(right * n_classes + of_unit[left], minlength=before.size), out=before)
             np.add(after, np.bincount(left * n_classes + of_unit[right], minlength=after.size), out=after)
-            stream[:] = [end]
-
-        for batch in batches:
-            for text in batch.column("text"):
-                stream.extend(map(index.__getitem__, ascii_lower_words(text.as_py())))
-                stream.append(end)
-                index.rare.clear()
-                if len(stream) > 1_000_000:
-                    add()
-        add()
-        shape = (2, n_units, n_classes)
-        both = np.stack([before, after]).reshape(shape)
+        both = np.stack([before, after]).reshape(2, n_units, n_classes)
         yield from rows({b: x for b in range(0, n_units, BLOCK) if (x := both[:, b : b + BLOCK]).any()})
 
     def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -210,7 +245,7 @@ def class_neighbours(train: DataFrame, vocabulary: Vocabulary, classes: np.ndarr
 
     out = np.zeros((2, n_units, n_classes), np.int64)
     kind = "block int, before binary, after binary"
-    summed = train.select("text").mapInArrow(count, kind).repartition("block").mapInArrow(total, kind)
+    summed = train.select("ids", "units").mapInArrow(count, kind).repartition("block").mapInArrow(total, kind)
     for r in summed.collect():
         for k, part in enumerate((r.before, r.after)):
             got = np.frombuffer(bytes(part), np.int64).reshape(-1, n_classes)
@@ -252,100 +287,231 @@ def exchange(before: np.ndarray, after: np.ndarray, classes: np.ndarray) -> np.n
     return classes
 
 
-def train_model(train: DataFrame, params: BrownParams | None = None) -> tuple[BrownModel, DataFrame]:
-    """The model and the distributed counts of all training words. ``train`` has a text without nulls."""
-    params = params or BrownParams()
-    counts = stored(word_counts(train))
-    vocab = build_vocabulary(counts, params)
-    classes = np.arange(params.units) % params.classes
-    history = []
-    for _ in range(params.rounds):
-        before, after = class_neighbours(train, vocab, classes)
-        history.append(_bigram_likelihood(before, classes, params.classes))
+def class_pairs(train: DataFrame, vocabulary: Vocabulary, classes: np.ndarray) -> np.ndarray:
+    """Counts of (class before, class) over all bigrams of the encoded texts; ``classes`` by index, the last for rare words."""
+    side = vocabulary.params.classes + 1
+    sent = train.sparkSession.sparkContext.broadcast((vocabulary, classes))
+    schema = pa.schema([("pair", pa.int32()), ("n", pa.int64())])
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vocab, of_index = sent.value
+        pairs = np.zeros(side * side, np.int64)
+        for batch in batches:
+            c = of_index[token_stream(batch, vocab)[0]]
+            pairs += np.bincount(c[:-1] * side + c[1:], minlength=side * side)
+        found = np.flatnonzero(pairs)
+        yield pa.RecordBatch.from_arrays([pa.array(found, pa.int32()), pa.array(pairs[found])], schema=schema)
+
+    out = np.zeros(side * side, np.int64)
+    for r in train.select("ids", "units").mapInArrow(count, "pair int, n long").groupBy("pair").agg(F.sum("n").alias("n")).collect():
+        out[r.pair] = r.n
+    return out.reshape(side, side)
+
+
+def word_contexts(train: DataFrame, vocabulary: Vocabulary, classes: np.ndarray, rare: bool) -> DataFrame:
+    """(word, context) of every rare word, or every frequent word beyond the core: how often each class stands before it
+    (slot = class) and after it (slot = classes + 1 + class). A word has at most 2 (classes + 1) slots."""
+    side = vocabulary.params.classes + 1
+    sent = train.sparkSession.sparkContext.broadcast((vocabulary, classes))
+    schema = pa.schema([("word", pa.binary()), ("slot", pa.int32()), ("n", pa.int64())])
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vocab, of_index = sent.value
+        frequent = None if rare else pa.array(list(vocab.index), pa.binary())
+        for batch in batches:
+            index, place = token_stream(batch, vocab)
+            if rare:
+                words = batch.column("rare").flatten().dictionary_encode()
+                codes = np.append(words.indices.to_numpy(zero_copy_only=False).astype(np.int64), -1)
+                key, words = codes[place], words.dictionary
+            else:
+                key, words = np.where((index >= vocab.params.own_units) & (index < vocab.first), index, -1), frequent
+            of_class = of_index[index]
+            has = key[1:-1] >= 0  # the first and the last token are ends
+            wide = key[1:-1][has] * (2 * side)
+            keys, n = np.unique(np.concatenate([wide + of_class[:-2][has], wide + side + of_class[2:][has]]), return_counts=True)
+            columns = [words.take(pa.array(keys // (2 * side))), pa.array(keys % (2 * side), pa.int32()), pa.array(n, pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, schema=schema)
+
+    slots = train.select("ids", "units", "rare").mapInArrow(count, "word binary, slot int, n long")
+    return slots.groupBy("word", "slot").agg(F.sum("n").alias("n")).groupBy("word").agg(F.collect_list(F.struct("slot", "n")).alias("context"))
+
+
+def known_slots(pairs: np.ndarray) -> np.ndarray:
+    """[slot, class]: the contexts of all words that are not rare, summed by class."""
+    return np.concatenate([pairs[:, :-1], pairs[:-1].T]).astype(float)
+
+
+def context_gains(slots: np.ndarray) -> np.ndarray:
+    """[slot, class]: what a neighbour in a slot adds to the log likelihood if the word is in the class."""
+    out, side = np.empty(slots.shape), len(slots) // 2
+    for part in (slice(0, side), slice(side, 2 * side)):
+        out[part] = np.log((slots[part] + 0.5) / (slots[part].sum(0) + 0.5 * side))
+    return out
+
+
+def _dense(lists: pa.ListArray, slots: int) -> np.ndarray:
+    """The contexts of a batch as rows of ``slots`` counts."""
+    row = np.repeat(np.arange(len(lists)), pc.list_value_length(lists).to_numpy(zero_copy_only=False))
+    slot, n = (x.to_numpy(zero_copy_only=False) for x in lists.flatten().flatten())
+    out = np.zeros((len(lists), slots))
+    out[row, slot] = n
+    return out
+
+
+def _likeliest(seen: np.ndarray, gains: np.ndarray) -> np.ndarray:
+    return np.argmax(np.round(seen @ gains, 6), 1)
+
+
+def pick_classes(contexts: DataFrame, gains: np.ndarray) -> DataFrame:
+    """(word, n, class): the count of each word and the class that its neighbours make likeliest."""
+    side = len(gains) // 2
+    schema = pa.schema([("word", pa.binary()), ("n", pa.int64()), ("class", pa.int32())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            seen = _dense(batch.column("context"), 2 * side)
+            n, best = seen[:, :side].sum(1).astype(np.int64), _likeliest(seen, gains)
+            yield pa.RecordBatch.from_arrays([batch.column("word"), pa.array(n), pa.array(best, pa.int32())], schema=schema)
+
+    return contexts.mapInArrow(run, "word binary, n long, class int")
+
+
+def class_slots(contexts: DataFrame, vocabulary: Vocabulary, classes: np.ndarray, gains: np.ndarray | None) -> np.ndarray:
+    """[slot, class]: contexts summed by the class that ``gains`` give each word, or that it starts from. A task gives one row
+    for each slot and class at most."""
+    c, shared = vocabulary.params.classes, vocabulary.params.shared_units
+    starts, schema = classes[vocabulary.first : vocabulary.end], pa.schema([("key", pa.int32()), ("n", pa.int64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = np.zeros((2 * (c + 1), c))
+        for batch in batches:
+            seen = _dense(batch.column("context"), len(sums))
+            if gains is None:
+                best = starts[[zlib.crc32(w[-3:]) % shared for w in batch.column("word").to_pylist()]]
+            else:
+                best = _likeliest(seen, gains)
+            for k in np.unique(best):
+                sums[:, k] += seen[best == k].sum(0)
+        found = np.flatnonzero(sums)
+        yield pa.RecordBatch.from_arrays([pa.array(found, pa.int32()), pa.array(sums.ravel()[found].astype(np.int64))], schema=schema)
+
+    out = np.zeros(2 * (c + 1) * c)
+    for r in contexts.mapInArrow(run, "key int, n long").groupBy("key").agg(F.sum("n").alias("n")).collect():
+        out[r.key] = r.n
+    return out.reshape(-1, c)
+
+
+def cluster_rare(contexts: DataFrame, vocabulary: Vocabulary, classes: np.ndarray, pairs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The gains by which rare words pick their classes once the likelihood of their neighbours stands, and the contexts
+    summed by those classes. Every sweep lets all words pick at once."""
+    known, p = known_slots(pairs), vocabulary.params
+    sums, gains, history = class_slots(contexts, vocabulary, classes, None), None, []
+    while True:
+        by_class = context_gains(known + sums)
+        history.append(float((sums * by_class).sum()))
+        if len(history) > p.rounds or (len(history) > 1 and history[-1] - history[-2] <= p.stand * (history[-1] - history[0])):
+            return gains, sums
+        gains = by_class
+        sums = class_slots(contexts, vocabulary, classes, gains)
+
+
+def _bigram_likelihood(pairs: np.ndarray) -> float:
+    pairs = pairs.astype(float)
+    return float(_xlogx(pairs).sum() - _xlogx(pairs.sum(0)).sum() - _xlogx(pairs.sum(1)).sum())
+
+
+def cluster_core(train: DataFrame, vocabulary: Vocabulary) -> tuple[np.ndarray, list[float]]:
+    """Classes of the units after sweeps until the likelihood stands, and the likelihood before each sweep and after all."""
+    p = vocabulary.params
+    classes, history = np.arange(p.units) % p.classes, []
+    while True:
+        before, after = class_neighbours(train, vocabulary, classes)
+        pairs = np.zeros((p.classes, p.classes))
+        np.add.at(pairs.T, classes, before.astype(float))
+        history.append(_bigram_likelihood(pairs))
+        if len(history) > p.rounds or (len(history) > 1 and history[-1] - history[-2] <= p.stand * (history[-1] - history[0])):
+            return classes, history
         classes = exchange(before, after, classes)
-    before, _ = class_neighbours(train, vocab, classes)
-    history.append(_bigram_likelihood(before, classes, params.classes))
-    pairs = np.zeros((params.classes, params.classes))
-    np.add.at(pairs.T, classes, before.astype(float))
-    tokens = np.bincount(classes, vocab.unit_tokens, params.classes)
-    share = (tokens + 1) / (tokens.sum() + params.classes)
+
+
+def train_model(train: DataFrame, vocabulary: Vocabulary) -> tuple[BrownModel, DataFrame]:
+    """The model, and (word, n, class) of all rare words, stored. ``train`` is encoded."""
+    p, c = vocabulary.params, vocabulary.params.classes
+    of_unit, history = cluster_core(train, vocabulary)
+    classes = of_unit[vocabulary.unit]
+    known = vocabulary.known_classes(classes)
+    gains = context_gains(known_slots(class_pairs(train, vocabulary, known)))
+    for r in pick_classes(word_contexts(train, vocabulary, known, rare=False), gains).collect():
+        classes[vocabulary.index[bytes(r.word)]] = r["class"]
+    known = vocabulary.known_classes(classes)
+    pairs = class_pairs(train, vocabulary, known).astype(float)
+    contexts = stored(word_contexts(train, vocabulary, known, rare=True))
+    gains, slots = cluster_rare(contexts, vocabulary, classes, pairs)
+    rare = stored(pick_classes(contexts, gains))
+    before, after = slots[: c + 1], slots[c + 1 :].T
+    both = np.outer(after[:, c], before[c]) / max(pairs[c, c], 1.0)  # bigrams of two rare words
+    pairs = pairs[:c, :c] + before[:c] + after[:, :c] + both
+    fixed = np.flatnonzero(vocabulary.counts)
+    tokens = np.bincount(classes[fixed], vocabulary.counts[fixed], c)
+    types = np.bincount(classes[fixed], minlength=c).astype(float)
+    for r in rare.groupBy("class").agg(F.sum("n").alias("n"), F.count("*").alias("v")).collect():
+        tokens[r["class"]] += r.n
+        types[r["class"]] += r.v
+    share = (tokens + 1) / (tokens.sum() + c)
     seen, kinds = pairs.sum(1, keepdims=True), np.maximum((pairs > 0).sum(1, keepdims=True), 1)
     transitions = np.log10((pairs + kinds * share) / (seen + kinds))
-    members = np.bincount(classes, minlength=params.classes)
-    unit_part = np.log10((vocab.unit_tokens + 1) / (tokens + members)[classes])
-    in_unit = np.log10((vocab.unit_tokens + vocab.unit_words + 1).astype(float))
-    base_part = np.log10(vocab.counts + 1.0)
-    own = (vocab.unit < params.own_units) | (vocab.unit == params.units - 1)
-    score_part = unit_part[vocab.unit] + np.where(own, 0.0, base_part - in_unit[vocab.unit])
-    return BrownModel(vocab, classes[vocab.unit], transitions, score_part, base_part, vocab.counts > 0, history), counts
-
-
-def _bigram_likelihood(before: np.ndarray, classes: np.ndarray, n_classes: int) -> float:
-    pairs = np.zeros((n_classes, n_classes))
-    np.add.at(pairs.T, classes, before.astype(float))
-    return float(_xlogx(pairs).sum() - _xlogx(pairs.sum(0)).sum() - _xlogx(pairs.sum(1)).sum())
+    return BrownModel(vocabulary, classes, transitions, np.log10(tokens + types + 1), history), rare
 
 
-PART_SCHEMA = pa.schema(
-    [("part", pa.int32()), ("pos", pa.int64()), ("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()),
-     ("n_known", pa.int64()), ("base", pa.float64()), ("score", pa.float64()),
-     ("rare", pa.list_(pa.struct([("word", pa.binary()), ("n", pa.int64())])))]
+SCORE_SCHEMA = pa.schema(
+    [("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()),
+     ("base_score", pa.float64()), ("score", pa.float64()), ("perplexity", pa.float64())]
 )
 
 
-def score_texts(docs: DataFrame, model: BrownModel, counts: DataFrame) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score and perplexity of each row.
+def score_texts(encoded: DataFrame, model: BrownModel, rare: DataFrame) -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score and perplexity of each encoded text.
 
-    ``docs``: doc_id, held_out, text. Transitions and frequent words are summed where the text is read;
-    only words that are not frequent are shuffled, once per text, to meet their counts.
+    Only words that are not frequent are shuffled, once per text, to meet their counts and classes.
     """
-    from pyspark import TaskContext
-
-    sent = docs.sparkSession.sparkContext.broadcast(model)
+    sent = encoded.sparkSession.sparkContext.broadcast(model)
+    asked = encoded.select("row", F.posexplode("rare").alias("k", "word"))
+    found = asked.join(rare.select("word", "n", "class"), "word").groupBy("row").agg(F.collect_list(F.struct("k", "n", "class")).alias("found"))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m: BrownModel = sent.value
-        vocab, pos = m.vocabulary, 0
-        index, end = _Indexer(vocab), vocab.end
+        vocab = m.vocabulary
         unknown = np.log10(vocab.train_tokens + vocab.train_words + 1.0)
-        part = TaskContext.get().partitionId()
+        log_count = np.log10(vocab.counts + 1.0)
         for batch in small(batches):
-            out: list[list] = [[] for _ in PART_SCHEMA]
-            for doc_id, held_out, text in zip(*(batch.column(k).to_pylist() for k in ("doc_id", "held_out", "text")), strict=True):
-                ids = np.array([end, *map(index.__getitem__, ascii_lower_words(text)), end], np.int64)
-                of_class, tokens = m.classes[ids], ids[1:]
-                base = float(m.base_part[tokens].sum() - len(tokens) * unknown)
-                value = float(m.transitions[of_class[:-1], of_class[1:]].sum() + m.score_part[tokens].sum())
-                rare = [{"word": w, "n": n} for w, n in Counter(index.rare).items()]
-                index.rare.clear()
-                row = (part, pos, doc_id, held_out, len(tokens), int(m.known[tokens].sum()), base, value, rare)
+            lists = batch.column("found")
+            sizes = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
+            k, n, of_rare = (x.to_numpy(zero_copy_only=False) for x in lists.flatten().flatten())
+            out, at = [[] for _ in range(5)], 0
+            for ids, units, size in zip(batch.column("ids").to_pylist(), batch.column("units").to_pylist(), sizes, strict=True):
+                ids, units = np.frombuffer(ids, np.int32), np.frombuffer(units, np.int32)
+                words, here = np.zeros(len(units)), slice(at, at + size)
+                of_word = m.classes[vocab.first + units]
+                words[k[here]], of_word[k[here]] = np.log10(n[here] + 1.0), of_rare[here]
+                at += size
+                of_class, counted = np.full(len(ids) + 2, m.classes[vocab.end]), np.full(len(ids) + 1, log_count[vocab.end])
+                is_rare, places = ids < 0, -1 - ids[ids < 0]
+                of_class[1:-1][~is_rare], counted[:-1][~is_rare] = m.classes[ids[~is_rare]], log_count[ids[~is_rare]]
+                of_class[1:-1][is_rare], counted[:-1][is_rare] = of_word[places], words[places]
+                value = float(counted.sum() + m.transitions[of_class[:-1], of_class[1:]].sum() - m.shares[of_class[1:]].sum())
+                known = int((counted > 0).sum())
+                row = (len(counted), known, float(counted.sum() - len(counted) * unknown), value, 10.0 ** min(300.0, -value / len(counted)))
                 for column, x in zip(out, row, strict=True):
                     column.append(x)
-                pos += 1
-            yield batch_of(PART_SCHEMA, out)
+            tokens, known, base, value, perplexity = out
+            train_tokens = [vocab.train_tokens] * len(tokens)
+            columns = [pa.array(x, f.type) for x, f in zip((tokens, known, train_tokens, base, value, perplexity), list(SCORE_SCHEMA)[2:], strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), *columns], schema=SCORE_SCHEMA)
 
-    kind = (
-        "part int, pos long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double, "
-        "rare array<struct<word: binary, n: long>>"
-    )
-    parts = stored(docs.select("doc_id", "held_out", "text").mapInArrow(score, kind))
-    rare = parts.select("part", "pos", F.explode("rare").alias("r")).select("part", "pos", "r.word", F.col("r.n").alias("times"))
-    found = (
-        rare.join(counts.select("word", "n"), "word")
-        .groupBy("part", "pos")
-        .agg(F.sum("times").alias("more"), F.sum(F.col("times") * F.log10(F.col("n") + 1.0)).alias("gain"))
-    )
-    gain, more = F.coalesce("gain", F.lit(0.0)), F.coalesce("more", F.lit(0))
-    return parts.drop("rare").join(found, ["part", "pos"], "left").select(
-        "doc_id",
-        "held_out",
-        "n_tokens",
-        (F.col("n_known") + more).alias("n_known"),
-        F.lit(model.vocabulary.train_tokens).cast("long").alias("train_tokens"),
-        (F.col("base") + gain).alias("base_score"),
-        (F.col("score") + gain).alias("score"),
-        F.pow(F.lit(10.0), -(F.col("score") + gain) / F.col("n_tokens")).alias("perplexity"),
-    )
+    kind = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, perplexity double"
+    rows = encoded.select("row", "doc_id", "held_out", "ids", "units").join(found, "row", "left")
+    return rows.select("doc_id", "held_out", "ids", "units", "found").mapInArrow(score, kind)
 
 
 def score_documents(docs: DataFrame, params: BrownParams | None = None, held_out=None) -> DataFrame:
@@ -355,5 +521,7 @@ def score_documents(docs: DataFrame, params: BrownParams | None = None, held_out
         F.coalesce(held_out if held_out is not None else F.lit(False), F.lit(False)).alias("held_out"),
         text_or_empty().alias("text"),
     )
-    model, counts = train_model(rows.where(~F.col("held_out")), params)
-    return score_texts(rows, model, counts)
+    vocabulary = build_vocabulary(stored(word_counts(rows.where(~F.col("held_out")))), params or BrownParams())
+    encoded = encode(rows, vocabulary)
+    model, rare = train_model(encoded.where(~F.col("held_out")), vocabulary)
+    return score_texts(encoded, model, rare)

@@ -41,28 +41,96 @@ def test_odd_rows(odd_docs):
     assert sorted(((r.doc_id, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 6)) for r in rows), key=str) == want
 
 
-def test_probabilities_sum_to_one(spark, make_docs):
-    docs = make_docs([(1, "a b c a b d"), (2, "b c d e"), (3, "the cat and the dog")]).select("text")
-    params = brown_lm.BrownParams(frequent=4, own_units=3, shared_units=4, classes=3, rounds=1)
-    model, counts = brown_lm.train_model(docs, params)
+def trained(docs, params):
+    rows = docs.selectExpr("doc_id", "false AS held_out", "coalesce(text, '') AS text")
+    vocabulary = brown_lm.build_vocabulary(brown_lm.word_counts(rows), params)
+    encoded = brown_lm.encode(rows, vocabulary)
+    model, rare = brown_lm.train_model(encoded, vocabulary)
+    return encoded, model, rare
+
+
+def word_classes(model, rare):
+    """Count and class of every training word."""
     v = model.vocabulary
+    out = {w: (int(v.counts[k]), int(model.classes[k])) for w, k in v.index.items()}
+    out[b""] = (int(v.counts[v.end]), int(model.classes[v.end]))
+    out.update({bytes(r.word): (r.n, r["class"]) for r in rare.collect()})
+    return out
+
+
+@pytest.mark.parametrize("frequent", [12, 1_000])
+def test_scores_equal_a_plain_class_model(spark, make_docs, frequent):
+    """Counts, transitions and scores by the formulas of the module, from the classes of the words alone."""
+    import random
+
+    rng = random.Random(8)
+    vocabulary = [f"w{k}" for k in range(60)] + ["long" * 30, "long" * 29 + "lang"]
+    texts = [" ".join(rng.choices(vocabulary, [1 / (k + 1) for k in range(62)], k=rng.randint(0, 40))) for _ in range(60)]
+    docs = make_docs(list(enumerate(texts)))
+    c = 5
+    params = brown_lm.BrownParams(frequent=frequent, own_units=8, shared_units=6, classes=c, rounds=3)
+    encoded, model, rare = trained(docs, params)
+    of = word_classes(model, rare)
+    counts = Counter(w for t in texts for w in [*brown_lm.word_keys(t), b""])
+    assert {w: n for w, (n, _) in of.items()} == dict(counts)
+    is_rare = {w for w in of if w and w not in model.vocabulary.index}
+    assert bool(is_rare) == (frequent == 12)
+    pairs, first, second, both = np.zeros((c, c)), np.zeros(c), np.zeros(c), 0
+    stream = [b""] + [w for t in texts for w in [*brown_lm.word_keys(t), b""]]
+    inner = [[b"", *brown_lm.word_keys(t), b""] for t in texts]
+    assert sum(len(x) - 1 for x in inner) == len(stream) - 1
+    for x, y in zip(stream, stream[1:]):
+        if x in is_rare and y in is_rare:
+            first[of[x][1]] += 1
+            second[of[y][1]] += 1
+            both += 1
+        else:
+            pairs[of[x][1], of[y][1]] += 1
+    pairs += np.outer(first, second) / max(both, 1)
+    tokens, types = np.zeros(c), np.zeros(c)
+    for n, k in of.values():
+        tokens[k] += n
+        types[k] += 1
+    share, kinds = (tokens + 1) / (tokens.sum() + c), np.maximum((pairs > 0).sum(1, keepdims=True), 1)
+    transitions = (pairs + kinds * share) / (pairs.sum(1, keepdims=True) + kinds)
+    assert np.allclose(10**model.transitions, transitions) and np.allclose(transitions.sum(1), 1)
+    got = {r.doc_id: r.score for r in brown_lm.score_texts(encoded, model, rare).collect()}
+    for doc_id, words in enumerate(inner):
+        want = 0.0
+        for x, y in zip(words, words[1:]):
+            n, k = of[y]
+            want += math.log10(transitions[of[x][1], k] * (n + 1) / (tokens[k] + types[k] + 1))
+        assert got[doc_id] == pytest.approx(want)
+
+
+def test_probabilities_sum_to_one(spark, make_docs):
+    docs = make_docs([(1, "a b c a b d"), (2, "b c d e"), (3, "the cat and the dog")])
+    _, model, rare = trained(docs, brown_lm.BrownParams(frequent=4, own_units=3, shared_units=4, classes=3, rounds=1))
     assert np.allclose((10**model.transitions).sum(1), 1)
-    words = {bytes(r.word): r.n for r in counts.collect()}
-    of_class = np.zeros(params.classes)
-    index = brown_lm._Indexer(v)
-    for w, n in words.items():
-        k = v.end if w == b"" else index[w]
-        part = model.score_part[k] + (math.log10(n + 1) if w and w not in v.index else 0.0)
-        of_class[model.classes[k]] += 10**part
-    for unit in range(params.shared_units):  # one unknown word for each shared unit
-        of_class[model.classes[len(v.index) + unit]] += 10 ** (model.score_part[len(v.index) + unit])
-    missing = 1 - of_class  # own units that no word has filled keep their share
-    assert (missing > -1e-9).all() and of_class.max() <= 1 + 1e-9
+    of_class = 10**-model.shares  # one unknown word a class
+    for n, k in word_classes(model, rare).values():
+        of_class[k] += 10 ** (math.log10(n + 1) - model.shares[k])
+    assert np.allclose(of_class, 1)
+
+
+def test_rare_words_go_with_their_neighbours(spark, make_docs):
+    """Words seen twice each, with endings that say nothing, stand either between a and b or between c and d."""
+    import random
+
+    rng = random.Random(3)
+    words = rng.sample(range(10**5, 10**6), 400)
+    texts = [f"a x{w} b" if w % 2 else f"c x{w} d" for w in words for _ in range(2)] + ["a b a b", "c d c d"] * 400
+    params = brown_lm.BrownParams(frequent=4, own_units=4, shared_units=64, classes=12, rounds=8)
+    _, model, rare = trained(make_docs(list(enumerate(texts))), params)
+    of = {bytes(r.word).decode(): r["class"] for r in rare.collect()}
+    assert len(of) == 400
+    odd, even = ({of[f"x{w}"] for w in words if w % 2 == k} for k in (1, 0))
+    assert not odd & even
 
 
 def test_exchange_raises_the_likelihood(spark, sf_dir):
-    docs = shared.table(spark, sf_dir, "documents").select("text")
-    model, _ = brown_lm.train_model(docs, brown_lm.BrownParams(frequent=2000, own_units=500, shared_units=64, classes=16, rounds=2))
+    docs = shared.table(spark, sf_dir, "documents")
+    _, model, _ = trained(docs, brown_lm.BrownParams(frequent=2000, own_units=500, shared_units=64, classes=16, rounds=3))
     assert model.history[-1] > model.history[0]
 
 
