@@ -227,7 +227,7 @@ def class_neighbours(train: DataFrame, vocabulary: Vocabulary, classes: np.ndarr
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocab, of_unit = sent.value
         before, after = (np.zeros(n_units * n_classes, np.int64) for _ in range(2))
-        for batch in batches:
+        for batch in small(batches, 2_000):
             units = vocab.unit[token_stream(batch, vocab)[0]].astype(np.int64)
             left, right = units[:-1], units[1:]
             np.add(before, np.bincount(right * n_classes + of_unit[left], minlength=before.size), out=before)
@@ -296,7 +296,7 @@ def class_pairs(train: DataFrame, vocabulary: Vocabulary, classes: np.ndarray) -
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocab, of_index = sent.value
         pairs = np.zeros(side * side, np.int64)
-        for batch in batches:
+        for batch in small(batches, 2_000):
             c = of_index[token_stream(batch, vocab)[0]]
             pairs += np.bincount(c[:-1] * side + c[1:], minlength=side * side)
         found = np.flatnonzero(pairs)
@@ -318,7 +318,7 @@ def word_contexts(train: DataFrame, vocabulary: Vocabulary, classes: np.ndarray,
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocab, of_index = sent.value
         frequent = None if rare else pa.array(list(vocab.index), pa.binary())
-        for batch in batches:
+        for batch in small(batches, 2_000):
             index, place = token_stream(batch, vocab)
             if rare:
                 words = batch.column("rare").flatten().dictionary_encode()
