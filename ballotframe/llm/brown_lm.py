@@ -430,8 +430,12 @@ def cluster_core(train: DataFrame, vocabulary: Vocabulary) -> tuple[np.ndarray,
         pairs = np.zeros((p.classes, p.classes))
         np.add.at(pairs.T, classes, before.astype(float))
         history.append(_bigram_likelihood(pairs))
-        if len(history) > p.rounds or (len(history) > 1 and history[-1] - history[-2] <= p.stand * (history[-1] - history[0])):
-            return classes, history
+        if history[-1] == max(history):
+            best = classes
+        # a sweep sees the neighbours' classes of the last one, so an early one may lose; those that follow make it up
+        stands = len(history) > 1 and 0 <= history[-1] - history[-2] <= p.stand * (history[-1] - history[0])
+        if len(history) > p.rounds or stands:
+            return best, history
         classes = exchange(before, after, classes)
 
 
