@@ -33,7 +33,6 @@ from __future__ import annotations
 
 import hashlib
 import zlib
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -47,7 +46,6 @@ from .shared import ascii_lower_words, batch_of, small, stored, text_or_empty
 
 END = b""
 LONG_WORD = 64
-FLUSH_WORDS = 500_000
 BLOCK = 64
 COUNT_SCHEMA = pa.schema([("word", pa.binary()), ("n", pa.int64())])
 
@@ -58,7 +56,7 @@ class BrownParams:
     words start from; ``rounds``: at most so many sweeps of the core and of the rare words, fewer once a sweep gains less than
     ``stand`` of what all have gained."""
 
-    frequent: int = 131_072
+    frequent: int = 524_288
     own_units: int = 6_144
     shared_units: int = 1_024
     classes: int = 64
@@ -72,22 +70,26 @@ class BrownParams:
 
 @dataclass
 class Vocabulary:
-    """Bounded part of the vocabulary. Indexes: frequent words, then shared units, then the end token."""
+    """Bounded part of the vocabulary. Indexes: frequent words (``words``, in this order), then shared units, then the end token."""
 
     params: BrownParams
-    index: dict[bytes, int]
+    words: pa.Array
     counts: np.ndarray
     unit: np.ndarray
     train_tokens: int
     train_words: int
 
+    @property
+    def index(self) -> dict[bytes, int]:
+        return {word: k for k, word in enumerate(self.words.to_pylist())}
+
     @property
     def first(self) -> int:
-        return len(self.index)
+        return len(self.words)
 
     @property
     def end(self) -> int:
-        return len(self.index) + self.params.shared_units
+        return len(self.words) + self.params.shared_units
 
     def known_classes(self, classes: np.ndarray) -> np.ndarray:
         """Classes by index, with one more class, the last, for rare words."""
@@ -105,25 +107,46 @@ class BrownModel:
     history: list[float] = field(default_factory=list)
 
 
+def word_key(word: bytes) -> bytes:
+    return word if len(word) <= LONG_WORD else word[: LONG_WORD - 31] + hashlib.sha256(word).digest()
+
+
 def word_keys(text: str) -> list[bytes]:
-    words = ascii_lower_words(text)
-    return [w if len(w) <= LONG_WORD else w[: LONG_WORD - 31] + hashlib.sha256(w).digest() for w in words]
+    """The words of one text; ``coded_words`` gives those of many."""
+    return [word_key(w) for w in ascii_lower_words(text)]
+
+
+def starting_units(keys: pa.Array, shared: int) -> np.ndarray:
+    return np.fromiter((zlib.crc32(w[-3:]) % shared for w in keys.to_pylist()), np.int32, len(keys))
+
+
+def coded_words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    """Row and code of every word of the texts in order, and the word of every code."""
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(texts))
+    row = np.repeat(np.arange(len(texts)), pc.list_value_length(lists).to_numpy(zero_copy_only=False))
+    coded = lists.flatten().dictionary_encode()
+    codes, keys = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), coded.dictionary.cast(pa.binary())
+    size = pc.binary_length(keys).to_numpy(zero_copy_only=False)
+    if (size > LONG_WORD).any():
+        long = pa.array(size > LONG_WORD)
+        keys = pc.replace_with_mask(keys, long, pa.array([word_key(w) for w in keys.filter(long).to_pylist()], pa.binary()))
+    word = size[codes] > 0  # white space at the ends splits off an empty word
+    return row[word], codes[word], keys
 
 
 def word_counts(train: DataFrame) -> DataFrame:
     """(word, n) over all texts, the end token as the empty word; summed in the tasks before the shuffle."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: Counter[bytes] = Counter()
-        for batch in batches:
-            for text in batch.column("text"):
-                seen.update(word_keys(text.as_py()))
-                seen[END] += 1
-                if len(seen) > FLUSH_WORDS:
-                    yield batch_of(COUNT_SCHEMA, [list(seen), list(seen.values())])
-                    seen.clear()
-        if seen:
-            yield batch_of(COUNT_SCHEMA, [list(seen), list(seen.values())])
+        ends = 0
+        for batch in small(batches, 2_000):
+            _, codes, keys = coded_words(batch.column("text"))
+            n = np.bincount(codes, minlength=len(keys))
+            seen = np.flatnonzero(n)
+            yield pa.RecordBatch.from_arrays([keys.take(pa.array(seen)), pa.array(n[seen], pa.int64())], schema=COUNT_SCHEMA)
+            ends += batch.num_rows
+        if ends:
+            yield batch_of(COUNT_SCHEMA, [[END], [ends]])
 
     return train.select("text").mapInArrow(count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
@@ -145,28 +168,28 @@ def build_vocabulary(counts: DataFrame, params: BrownParams) -> Vocabulary:
     """The frequent words with their counts, and the unit of every index."""
     words = counts.where(F.col("word") != F.lit(END))
     least = _threshold(words, params.frequent)
-    rows = sorted(((-r.n, bytes(r.word)) for r in words.where(F.col("n") >= least).collect()))
+    rows = words.where(F.col("n") >= least).select("word", "n").toArrow().sort_by([("n", "descending"), ("word", "ascending")])
     totals = counts.agg(F.sum("n").alias("n"), F.count("*").alias("v")).first()
     end_count = counts.where(F.col("word") == F.lit(END)).agg(F.sum("n").alias("n")).first().n or 0
     own = min(params.own_units, len(rows))
     unit = np.empty(len(rows) + params.shared_units + 1, np.int32)
-    unit[: len(rows)] = [params.own_units + zlib.crc32(w[-3:]) % params.shared_units for _, w in rows]
+    held = rows["word"].combine_chunks().cast(pa.binary())
+    unit[: len(rows)] = params.own_units + starting_units(held, params.shared_units)
     unit[:own] = np.arange(own)
     unit[len(rows) : -1] = params.own_units + np.arange(params.shared_units)
     unit[-1] = params.units - 1
-    n = np.concatenate([np.array([-n for n, _ in rows], np.int64), np.zeros(params.shared_units, np.int64), [end_count]])
-    return Vocabulary(params, {word: k for k, (_, word) in enumerate(rows)}, n, unit, totals.n or 0, totals.v or 0)
+    n = np.concatenate([rows["n"].to_numpy(), np.zeros(params.shared_units, np.int64), [end_count]])
+    return Vocabulary(params, held, n, unit, totals.n or 0, totals.v or 0)
 
 
-class _Encoder(dict):
-    """Word to index; a word that is not frequent to -1 - its place among the rare words of the text."""
+def _numbers(values: np.ndarray, starts: np.ndarray) -> pa.Array:
+    """Rows of int32 as binary values; ``starts`` has the first place of each row and the end."""
+    buffers = [None, pa.py_buffer((4 * starts).astype(np.int32)), pa.py_buffer(values.astype(np.int32))]
+    return pa.Array.from_buffers(pa.binary(), len(starts) - 1, buffers)
 
-    def __init__(self, vocabulary: Vocabulary):
-        super().__init__(vocabulary.index)
-        self.rare: dict[bytes, int] = {}
 
-    def __missing__(self, word: bytes) -> int:
-        return self.rare.setdefault(word, -1 - len(self.rare))
+def _starts(row: np.ndarray, rows: int) -> np.ndarray:
+    return np.concatenate([[0], np.cumsum(np.bincount(row, minlength=rows))])
 
 
 ENCODED_SCHEMA = pa.schema(
@@ -179,16 +202,21 @@ def encode(docs: DataFrame, vocabulary: Vocabulary) -> DataFrame:
     sent = docs.sparkSession.sparkContext.broadcast(vocabulary)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index, shared = _Encoder(sent.value), sent.value.params.shared_units
-        for batch in small(batches):
-            out: list[list] = [[] for _ in ENCODED_SCHEMA]
-            for doc_id, held_out, text in zip(*(batch.column(k).to_pylist() for k in ("doc_id", "held_out", "text")), strict=True):
-                ids = np.fromiter(map(index.__getitem__, word_keys(text)), np.int32)
-                units = np.array([zlib.crc32(w[-3:]) % shared for w in index.rare], np.int32)
-                for column, x in zip(out, (doc_id, held_out, ids.tobytes(), list(index.rare), units.tobytes()), strict=True):
-                    column.append(x)
-                index.rare.clear()
-            yield batch_of(ENCODED_SCHEMA, out)
+        vocab: Vocabulary = sent.value
+        for batch in small(batches, 2_000):
+            row, codes, keys = coded_words(batch.column("text"))
+            index = pc.fill_null(pc.index_in(keys, value_set=vocab.words), -1).to_numpy(zero_copy_only=False)
+            units = np.zeros(len(keys), np.int32)
+            units[index < 0] = starting_units(keys.filter(pa.array(index < 0)), vocab.params.shared_units)
+            ids = index[codes].astype(np.int32)
+            rare = ids < 0
+            pairs, place = np.unique(row[rare] * max(len(keys), 1) + codes[rare], return_inverse=True)
+            of_row, of_code = np.divmod(pairs, max(len(keys), 1))
+            firsts = _starts(of_row, batch.num_rows)
+            ids[rare] = -1 - (place - firsts[row[rare]])
+            words = pa.ListArray.from_arrays(pa.array(firsts, pa.int32()), keys.take(pa.array(of_code)))
+            columns = [_numbers(ids, _starts(row, batch.num_rows)), words, _numbers(units[of_code], firsts)]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), *columns], schema=ENCODED_SCHEMA)
 
     kind = "doc_id long, held_out boolean, ids binary, rare array<binary>, units binary"
     rows = docs.select("doc_id", "held_out", "text").mapInArrow(run, kind)
@@ -317,7 +345,7 @@ def word_contexts(train: DataFrame, vocabulary: Vocabulary, classes: np.ndarray,
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocab, of_index = sent.value
-        frequent = None if rare else pa.array(list(vocab.index), pa.binary())
+        frequent = None if rare else vocab.words
         for batch in small(batches, 2_000):
             index, place = token_stream(batch, vocab)
             if rare:
@@ -446,8 +474,9 @@ def train_model(train: DataFrame, vocabulary: Vocabulary) -> tuple[BrownModel, D
     classes = of_unit[vocabulary.unit]
     known = vocabulary.known_classes(classes)
     gains = context_gains(known_slots(class_pairs(train, vocabulary, known)))
-    for r in pick_classes(word_contexts(train, vocabulary, known, rare=False), gains).collect():
-        classes[vocabulary.index[bytes(r.word)]] = r["class"]
+    picked = pick_classes(word_contexts(train, vocabulary, known, rare=False), gains).toArrow()
+    at = pc.index_in(picked["word"].combine_chunks().cast(pa.binary()), value_set=vocabulary.words)
+    classes[at.to_numpy(zero_copy_only=False)] = picked["class"].to_numpy()
     known = vocabulary.known_classes(classes)
     pairs = class_pairs(train, vocabulary, known).astype(float)
     contexts = stored(word_contexts(train, vocabulary, known, rare=True))
