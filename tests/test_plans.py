@@ -56,6 +56,12 @@ def test_text_work_needs_no_shuffle_of_its_own(spark, sf_dir, name):
     assert text.count("Exchange") <= text.count("REPARTITION_BY_NUM")
 
 
+def test_pages_are_summed_before_they_are_repeated_for_years(spark, sf_dir):
+    """Texts that are repeated for ten or a hundred years and only then sorted for their aggregates fill the disk."""
+    text = plan(QUERIES["load_facts"](spark, sf_dir))
+    assert 0 < text.index("BroadcastHashJoin") < text.index("Aggregate")
+
+
 def exchanges(df) -> int:
     return len(re.findall(r"(?<!Reused)Exchange (?:hash|range|Single)", plan(df)))
 
